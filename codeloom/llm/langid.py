@@ -271,3 +271,18 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *added.columns], names=[*b.schema.names, *added.schema.names])
 
     return kept.mapInArrow(run, out_schema)
+
+
+def accepted(docs: DataFrame, models: Models) -> DataFrame:
+    """The documents that identify() does not reject, their columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(shared.value)
+        for b in slices(batches):
+            keep = [not row[3] for row in decide(shared.value, scorer.sums([t or "" for t in b.column("text").to_pylist()]))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -69,7 +69,7 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, bits: int = 20, shards: int = 8, epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, bits: int = 20, shards: int = 8, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0) -> Model:
     """Fits on a bounded sample of labelled documents, about per_class of each class.
 
     The sample is those labelled rows with the smallest hashes of their doc_id; a document with
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, bits: int =
             yield arrow_table(_WEIGHTS)([at, w[at], np.ones(len(at), dtype=np.int64)])
 
     dealt = {y: min(n, per_class) for y, n in sizes.items()}
-    shards = max(1, min(shards, dealt[1] // 400))  # a shard needs enough examples of the rarer class
+    shards = max(1, min(shards, dealt[1] // 1500))  # a shard needs enough examples of the rarer class
     learned = examples.repartition(shards, F.pmod("_at", F.lit(shards))).sortWithinPartitions("_at").select("y", "features").mapInArrow(learn, fields(_WEIGHTS))
     found = learned.groupBy("feature").agg(F.sum("weight").alias("w"), F.sum("shards").alias("n")).orderBy("feature").collect()  # at most 2 ** bits rows
     at, w = np.array([r.feature for r in found], dtype=np.int64), np.array([r.w for r in found])
