@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.functions import ids, lines, patterns
 from codeloom.operators import findings, graph, metrics, review, rules, textops
@@ -140,30 +141,30 @@ def entry_reachable(spark, sf):
     return graph.reachable(source.dependencies(spark, sf), source.files(spark, sf).filter("is_entry").select(F.col("id").alias("node")))
 
 
-@query(f"WITH {FILES}, {EDGES}, {DEPS} SELECT id AS node FROM files WHERE id NOT IN (SELECT dst FROM deps)")
-def inferred_entries(spark, sf):
-    deps = source.dependencies(spark, sf)
-    files = source.files(spark, sf).select(F.col("id").alias("node"))
-    return files.join(deps, files["node"] == deps["dst"], "left_anti")
-
-
 @query(f"WITH RECURSIVE {EDGES}, {DEPS}, {CLOSURE} SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a")
 def strong_components(spark, sf):
     return graph.strong_components(source.dependencies(spark, sf))
 
 
-def _day_graph(spark, sf):
-    """The graph of what was bought on one day next to each other; sparser, with many components."""
-    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderdate").alias("d"), "o_orderkey")
-    from pyspark.sql.window import Window
-
-    nxt = F.lead("src").over(Window.partitionBy("d").orderBy("o_orderkey"))
-    return o.withColumn("dst", nxt).filter("dst IS NOT NULL AND dst <> src").select("src", "dst").distinct()
+def _day_graph(spark, sf, kind: str | None = None):
+    """Customers whose orders of one day, and of one kind if it is given, follow each other."""
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderdate").alias("d"), "o_orderkey", (F.col(kind) if kind else F.lit("")).alias("kind"))
+    nxt = F.lead("src").over(Window.partitionBy("d", "kind").orderBy("o_orderkey"))
+    rows = o.withColumn("dst", nxt).filter("dst IS NOT NULL")
+    return rows.select("src", "dst", "kind") if kind else rows.filter("dst <> src").select("src", "dst").distinct()
 
 
 _DAYS = "deps AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL AND dst <> src)"
 
 
+@query("WITH deps AS (SELECT lead(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS dst, o_orderpriority AS kind FROM orders) SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT dst FROM deps WHERE kind = '1-URGENT' AND dst IS NOT NULL)")
+def inferred_entries(spark, sf):
+    """Nodes that no edge of the kind leads to, where none is named as an entry."""
+    deps = _day_graph(spark, sf, "o_orderpriority").filter("kind = '1-URGENT'")
+    nodes = read(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
+    return nodes.join(deps, nodes["node"] == deps["dst"], "left_anti")
+
+
 @query(f"WITH RECURSIVE {_DAYS}, {CLOSURE}, c AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT component, count(*) AS nodes FROM c GROUP BY component")
 def cycle_sizes(spark, sf):
     return graph.strong_components(_day_graph(spark, sf)).groupBy("component").agg(F.count("*").alias("nodes"))
@@ -317,17 +318,17 @@ def text_search(spark, sf):
     return textops.search_lines(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "License")
 
 
-@query(f"WITH {FILES} SELECT name, path, is_entry AS is_exported FROM files WHERE contains(lower(name), '1') ORDER BY is_entry DESC, length(name), name, path LIMIT 50")
+@query(f"WITH {FILES} SELECT name, path, is_entry AS is_exported FROM files WHERE contains(lower(name), 'ring') ORDER BY is_entry DESC, length(name), name, path LIMIT 50")
 def symbol_search(spark, sf):
-    return textops.search_symbols(source.files(spark, sf).select("name", "path", F.col("is_entry").alias("is_exported")), "1")
+    return textops.search_symbols(source.files(spark, sf).select("name", "path", F.col("is_entry").alias("is_exported")), "RING")
 
 
 @query(f"""WITH {FILES}, fo AS (SELECT DISTINCT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS folder FROM files)
-SELECT kind, label, path FROM (SELECT 1 AS r, 'file' AS kind, split_part(path, '/', 3) AS label, path FROM files WHERE contains(lower(path), 'brass/brand#5') UNION ALL SELECT 2, 'folder', folder, folder FROM fo WHERE contains(lower(folder), 'brass/brand#5') UNION ALL SELECT 3, 'symbol', name, path FROM files WHERE contains(lower(name), 'brass/brand#5')) ORDER BY r, path, label LIMIT 400""")
+SELECT kind, label, path FROM (SELECT 1 AS r, 'file' AS kind, split_part(path, '/', 3) AS label, path FROM files WHERE contains(lower(path), 'small/brand#1') UNION ALL SELECT 2, 'folder', folder, folder FROM fo WHERE contains(lower(folder), 'small/brand#1') UNION ALL SELECT 3, 'symbol', name, path FROM files WHERE contains(lower(name), 'small/brand#1')) ORDER BY r, path, label LIMIT 400""")
 def search_all(spark, sf):
     f = source.files(spark, sf)
     folders = f.select(F.explode(ids.ancestors(F.col("path"))).alias("folder")).distinct()
-    return textops.search_all(f, folders, f, "brass/brand#5", 400).select("kind", "label", "path")
+    return textops.search_all(f, folders, f, "small/brand#1", 400).select("kind", "label", "path")
 
 
 @query(f"""WITH {FILES}, a AS (SELECT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS folder, size_bytes FROM files)
@@ -350,8 +351,6 @@ def inventory_counts(spark, sf):
 @query(f"""WITH {FILES}, x AS (SELECT {FOLDER} AS folder, path FROM files WHERE path LIKE '%.test.ts') SELECT folder, count(*) AS excluded, array_to_string(list_slice(list(path ORDER BY path), 1, 3), '|') AS examples, greatest(count(*) - 3, 0) AS more FROM x GROUP BY folder""")
 def exclusion_groups(spark, sf):
     f = source.files(spark, sf).filter(patterns.is_test(F.col("path"))).select(ids.folder_of(F.col("path")).alias("folder"), "path")
-    from pyspark.sql.window import Window
-
     first = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
     return f.withColumn("n", first).groupBy("folder").agg(F.count("*").alias("excluded"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") <= 3, F.col("path")))), "|").alias("examples"), F.greatest(F.count("*") - 3, F.lit(0)).alias("more"))
 
