@@ -14,20 +14,21 @@ BROADCAST_SEEDS = 500_000
 
 def words_of(text: str) -> Column:
     """Lower-cased runs of letters and digits; [] for null or none."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _seeds(words: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
     """A row for each window and mask: at (the window's first word, from 0) and seed (its hash).
 
-    Windows are exploded with the word array beside them and hashed in the same generated code.
+    Windows are exploded with the word array beside them and hashed in the same generated code, which
+    does not copy the array.
     """
     spans = sorted({len(m) for _, m in masks})
     size, out = F.size("words"), None
     for span in spans:
-        at = F.explode(F.sequence(F.lit(0), size - span)).alias("at")
-        windows = words.filter(size >= span).select("*", at)
+        # no filter on the size: it would be pushed to the scan and split the text once more
+        at = F.explode(F.when(size >= span, F.sequence(F.lit(0), size - span))).alias("at")
+        windows = words.select("*", at)
         # the mask's number is hashed too, so seeds of different masks do not meet
         hashes = [F.xxhash64(F.lit(k), *(F.get("words", F.col("at") + i) for i, c in enumerate(m) if c == "#")) for k, m in masks if len(m) == span]
         rows = windows.select("*", F.explode(F.array(*hashes)).alias("seed"))
@@ -43,11 +44,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
     pair is returned if among window aligned words (the whole item if it is shorter) at least
     matched_percent in a hundred are equal. Items shorter than the masks are sought as whole word
     sequences. Returns doc_id, item_id, matched and of (the best window's equal words and length)
-    and doc_word, the aligned item's first word's place in the document, which may be negative.
+    doc_word, the aligned item's first word's place in the document, which may be negative, and seeds,
+    the masked windows that hit there.
 
     The seeds are broadcast with the items' words if they are few, which is counted first. Else the
     seeds join by a shuffle and the words are fetched again for hits alone. Null or empty texts on
-    either side give no pairs. Repeated rows give the pairs once. Null ids are a value like others.
+    either side give no pairs. Repeated rows give the pairs once,
+    with all their seeds. Null ids are a value like others.
     Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(item_text).alias("words")).distinct().filter(F.size("words") > 0)
@@ -67,15 +70,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
         pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_word")).distinct()
         with_items = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words")), F.col("item_id").eqNullSafe(F.col("_item")))
         hits = with_items.join(texts.select(F.col("doc_id").alias("_doc"), "words"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # only the aligned words go on, still in generated code: functions with lambdas come after the
+    # count's shuffle, as they would end that code and copy the whole array into each hit
     n = F.size("item_words")
+    aligned = F.slice("words", F.greatest(F.col("doc_word"), F.lit(0)) + 1, n + F.least(F.col("doc_word"), F.lit(0)))
+    hits = hits.select("doc_id", "item_id", "doc_word", aligned.alias("aligned"), "item_words").groupBy("doc_id", "item_id", "doc_word", "aligned", "item_words").agg(F.count("*").alias("seeds"))
     of = F.least(n, F.lit(window))
-    equal = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when((F.col("doc_word") + k >= 0) & (F.get("words", F.greatest(F.col("doc_word") + k, F.lit(0))) == F.get("item_words", k)), 1).otherwise(0))
+    skipped = F.greatest(-F.col("doc_word"), F.lit(0))
+    equal = F.transform("item_words", lambda w, k: F.when(F.get("aligned", F.greatest(k - skipped, F.lit(0))) == w, F.when(k >= skipped, 1).otherwise(0)).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(1), n - of + 1), lambda p: F.aggregate(F.slice("equal", p, of), F.lit(0), lambda a, x: a + x)))
-    checked = hits.select("doc_id", "item_id", "doc_word", of.alias("of"), equal.alias("equal"), "item_words").select("doc_id", "item_id", "doc_word", "of", best.alias("matched"))
-    found = checked.filter(F.col("matched") * 100 >= F.col("of") * matched_percent)
-    # the best alignment, the first of equals
-    top = F.min(F.struct((-F.col("matched")).alias("m"), "doc_word", "of")).alias("top")
-    return found.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", (-F.col("top.m")).alias("matched"), "top.of", "top.doc_word")
+    checked = hits.select("doc_id", "item_id", "doc_word", of.alias("of"), equal.alias("equal"), "item_words", "seeds").select("doc_id", "item_id", "doc_word", "of", "seeds", best.alias("matched"))
+    # the best alignment, the first of equals; the filter comes last, lest it be moved into the join
+    top = F.min(F.struct((-F.col("matched")).alias("m"), "doc_word", "of", "seeds")).alias("top")
+    pairs = checked.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", (-F.col("top.m")).alias("matched"), "top.of", "top.doc_word", "top.seeds")
+    return pairs.filter(F.col("matched") * 100 >= F.col("of") * matched_percent)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -70,8 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LINES_SQL = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS at FROM docs),
-c AS (SELECT line, min((doc_id, at)) AS first, length(line) AS n FROM l WHERE trim(line, chr(32) || chr(9) || chr(13)) <> '' GROUP BY line),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
+c AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM l WHERE trim(line, chr(32) || chr(9) || chr(13)) <> '' GROUP BY line),
 near AS (
   SELECT a.line AS x, b.line AS y, a.first AS xf, b.first AS yf
   FROM c a JOIN c b ON b.n BETWEEN a.n AND a.n + 2 AND a.line <> b.line AND (a.n < b.n OR a.line < b.line)
@@ -81,18 +81,18 @@ near AS (
 ends AS (SELECT x AS line, yf < xf AS late FROM near UNION ALL SELECT y, xf < yf FROM near),
 judged AS (SELECT c.line, c.first, count(ends.line) AS links, coalesce(bool_or(late), false) AS late FROM c LEFT JOIN ends ON ends.line = c.line GROUP BY c.line, c.first),
 marked AS (
-  SELECT l.doc_id, l.at, l.line, j.line IS NULL OR (j.first = (l.doc_id, l.at) AND NOT j.late) AS keep,
-         CASE WHEN j.first = (l.doc_id, l.at) THEN j.links ELSE 0 END AS links
+  SELECT l.doc_id, l.pos, l.line, j.line IS NULL OR (j.first = (l.doc_id, l.pos) AND NOT j.late) AS keep,
+         CASE WHEN j.first = (l.doc_id, l.pos) THEN j.links ELSE 0 END AS links
   FROM l LEFT JOIN judged j ON j.line = l.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_removed, sum(links)::BIGINT AS n_links,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (keep), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, 1, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
 
 _NEAR_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
@@ -107,14 +107,14 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP
 
 _SUBSTRING_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
 late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM late),
-g AS (SELECT doc_id, list(at) AS ats FROM gone GROUP BY doc_id),
-k AS (SELECT d.doc_id, len(w) AS n, CASE WHEN ats IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(ats, i)), i -> w[i]) END AS kept
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM late),
+g AS (SELECT doc_id, list(pos) AS poss FROM gone GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, CASE WHEN poss IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(poss, i)), lambda i: w[i]) END AS kept
       FROM d LEFT JOIN g USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
@@ -122,7 +122,7 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha25
 
 def _decontamination_sql() -> str:
     """The masks' windows of documents and items joined, and the alignments compared."""
-    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
     def seeds(source: str, key: str) -> str:
         parts = []
@@ -138,12 +138,12 @@ def _decontamination_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
 ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS doc_word FROM ds JOIN bs USING (mask, seed)),
-al AS (SELECT h.*, least(len(b.w), 13) AS len_of, list_transform(range(1, len(b.w) + 1), k -> CASE WHEN h.doc_word + k >= 1 AND d.w[greatest(h.doc_word + k, 1)] = b.w[k] THEN 1 ELSE 0 END) AS eq, len(b.w) AS n
+hits AS (SELECT doc_id, item_id, ds.i - bs.i AS doc_word, count(*) AS seeds FROM ds JOIN bs USING (mask, seed) GROUP BY ALL),
+al AS (SELECT h.*, least(len(b.w), 13) AS len_of, list_transform(range(1, len(b.w) + 1), lambda k: CASE WHEN h.doc_word + k >= 1 AND d.w[greatest(h.doc_word + k, 1)] = b.w[k] THEN 1 ELSE 0 END) AS eq, len(b.w) AS n
        FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
-best AS (SELECT doc_id, item_id, doc_word, len_of, list_max(list_transform(range(1, n - len_of + 2), p -> list_sum(list_slice(eq, p, p + len_of - 1)))) AS matched FROM al),
+best AS (SELECT doc_id, item_id, doc_word, seeds, len_of, list_max(list_transform(range(1, n - len_of + 2), lambda p: list_sum(list_slice(eq, p, p + len_of - 1)))) AS matched FROM al),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_word) AS r FROM best WHERE matched * 100 >= len_of * 80)
-SELECT doc_id, item_id, matched::INT AS matched, len_of::INT AS "of", doc_word::INT AS doc_word FROM ranked WHERE r = 1
+SELECT doc_id, item_id, matched::INT AS matched, len_of::INT AS "of", doc_word::INT AS doc_word, seeds FROM ranked WHERE r = 1
 """
 
 
