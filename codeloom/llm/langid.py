@@ -98,7 +98,9 @@ class Scorer:
         new = list({w for ws in split for w in ws if w not in self.rows})
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.table = np.concatenate((self.table, self.models.word_scores(new)))
+            scores = self.models.word_scores(new)
+            scores[[not any(c.isalpha() for c in w) for w in new]] = 0  # superscripts, fractions and the like are no letters
+            self.table = np.concatenate((self.table, scores))
         get = self.rows.__getitem__
         return np.array([self.table[np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))].sum(axis=0) for ws in split]).reshape(len(texts), -1)
 
