@@ -45,3 +45,11 @@ def search_all(files: DataFrame, folders: DataFrame, symbols: DataFrame, needle:
         symbols.filter(F.lower("name").contains(needle.lower())).select(F.lit(3), F.lit("symbol"), "name", "path"),
     ]
     return parts[0].union(parts[1]).union(parts[2]).orderBy("kind_rank", "path", "label").limit(limit)
+
+
+def html_references(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, tag, target and n of the src and href attributes of scripts, images, frames, sources,
+    links and anchors."""
+    pattern = r"""(?i)<(script|img|iframe|source|link|a)\b[^>]*?\b(src|href)\s*=\s*["']([^"']*)["']"""
+    every = lambda group: F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+    return pages.select(key, F.explode(F.arrays_zip(every(1).alias("tag"), every(3).alias("target"))).alias("r")).groupBy(key, F.lower("r.tag").alias("tag"), F.col("r.target").alias("target")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import ids, lines, patterns
-from codeloom.operators import findings, graph, metrics, review, rules, textops
+from codeloom.operators import findings, graph, linediff, metrics, resolve, review, rules, textops
 from codeloom.sources import projection as source
 from codeloom.streaming import changes
 from codeloom.tables import read
@@ -519,3 +519,36 @@ def dashboard(spark, sf):
 SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, arg_max(event_id, (ts, event_id)) AS last_event FROM b GROUP BY user_id, burst""")
 def quiet_bursts(spark, sf):
     return changes.quiet_bursts(read(spark, sf, "events"), "user_id")
+
+
+# Resolution, references, differences ------------------------------------------------------------
+
+
+@query(f"""WITH {FILES}, {EDGES}, i AS (SELECT DISTINCT a.path AS from_path, b.path AS t, CASE WHEN unresolved THEN concat('../../', b.kind, '/lost/', b.id) WHEN edge_type = 'dynamic-import' THEN b.name ELSE concat('../../', regexp_replace(b.path, '\\.ts$', '')) END AS specifier
+FROM edges JOIN files a ON a.id = src JOIN files b ON b.id = dst)
+SELECT from_path, specifier, CASE WHEN starts_with(specifier, '../') AND NOT contains(specifier, '/lost/') THEN t END AS target,
+       CASE WHEN contains(specifier, '/lost/') THEN 'not-found' WHEN NOT starts_with(specifier, '../') THEN CASE WHEN specifier = 'red widget' THEN 'external' ELSE 'unknown' END END AS reason
+FROM (SELECT DISTINCT from_path, specifier, CASE WHEN starts_with(specifier, '../') AND NOT contains(specifier, '/lost/') THEN t END AS t FROM i)""")
+def resolved_imports(spark, sf):
+    f = source.files(spark, sf)
+    a, b = f.select(F.col("id").alias("src"), F.col("path").alias("from_path")), f.select(F.col("id").alias("dst"), "path", "name", "kind")
+    e = source.edges(spark, sf).join(a, "src").join(b, "dst")
+    lost = F.concat(F.lit("../../"), "kind", F.lit("/lost/"), F.col("dst").cast("string"))
+    named = F.when(F.col("unresolved"), lost).when(F.col("edge_type") == "dynamic-import", F.col("name")).otherwise(F.concat(F.lit("../../"), F.regexp_replace("path", r"\.ts$", "")))
+    return resolve.resolved(e.select("from_path", named.alias("specifier")).distinct(), f, ["red widget"])
+
+
+@query(r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(script|img|iframe|source|link|a)\b[^>]*?\b(src|href)\s*=\s*["'']([^"'']*)["'']', 3)) AS target,
+  unnest(regexp_extract_all(html, '(?i)<(script|img|iframe|source|link|a)\b[^>]*?\b(src|href)\s*=\s*["'']([^"'']*)["'']', 1)) AS tag FROM pages)
+SELECT page_id, lower(tag) AS tag, target, count(*) AS n FROM x GROUP BY ALL""")
+def page_references(spark, sf):
+    """References of pages; anchors are told by their tag, as they are no dependency."""
+    return textops.html_references(read(spark, sf, "pages"), "page_id", "html")
+
+
+@query()
+def line_diff(spark, sf):
+    """Each document against the one before it from the same source."""
+    before = Window.partitionBy("source", "lang").orderBy("doc_id")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.lag("text").over(before).alias("old_text"), F.col("text").alias("new_text"))
+    return linediff.line_diff(docs.filter("old_text IS NOT NULL"))
