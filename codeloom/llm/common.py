@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def arrow_schema(columns: str) -> pa.Schema:
@@ -165,20 +165,35 @@ def running_sums(rows: DataFrame, order: list[str], measures: list[str], name: s
 
 # Tokenizers -------------------------------------------------------------------------------------
 
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Characters of Unicode's white space other than space and line feed, and those that chunks are marked with.
+_ODD = [chr(c) for c in (1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
+_GAPS = ("  ", "\n\n", " \n", "\n ")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
+_MARKS = {"\x01.", "\x01,"}
 
 
-class Encoder:
-    """Whole texts to token ids by the tokenizers library, with a memo of chunks.
+def chunks_of(text: str, marks: bool = True) -> list[str] | None:
+    """A text's chunks, whose token ids in a row are the text's; None if only the whole will do.
 
-    A chunk is a run of spaces and line feeds with the run of other characters after it. No
-    pre-token of the tokenizers in use reaches from a non-space to a space, so the ids of a text
-    are those of its chunks in a row. Texts with other white space, where this is not so plain,
-    are encoded as they are. The memo holds at most memo_chunks entries.
+    No pre-token of the tokenizers in use holds a space or line feed after another character, nor
+    a letter or digit beside a full stop or comma, so a text can be cut there. A chunk stands for
+    itself with a space before it; if it starts with \x01 for what follows as it is, and with \x02
+    for what follows with a line feed before it. With marks, full stops and commas at the ends of
+    words are chunks; that is right where no other mark stands before them.
     """
+    if any(c in text for c in _ODD):
+        return None
+    if any(g in text for g in _GAPS) or text[:1] in " \n" or text[-1] in " \n":
+        return ["\x01" + c for c in _CHUNK.findall(text)]
+    if marks:
+        text = (text + "\n").replace(", ", " \x01, ").replace(". ", " \x01. ").replace(",\n", " \x01,\n").replace(".\n", " \x01.\n")[:-1]
+    return ("\x01" + text.replace("\n", " \x02")).split(" ")
+
+
+class Encoder:
+    """Whole texts to token ids by the tokenizers library, with a memo of at most memo_chunks chunks."""
 
-    def __init__(self, path: str, memo_chunks: int = 600_000) -> None:
+    def __init__(self, path: str, memo_chunks: int = 1_400_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -186,48 +201,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.marked: set[str] = set()  # chunks that end with a mark of another kind
         self.memo_chunks = memo_chunks
+        # by id, whether a token ends a word, or begins one after a space; one of them, as the vocabulary marks it
+        vocab = self.tokenizer.get_vocab()
+        flags = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.word_ends = any(t.endswith("</w>") for t in vocab)
+        flags[[i for t, i in vocab.items() if (t.endswith("</w>") if self.word_ends else t.startswith("\u0120"))]] = True
+        self.flags = flags
+
+    def _learn_words(self, words: list[str]) -> bool:
+        """Encodes words of letters as one text and cuts its ids by their marks; false if there are
+        not as many marks as words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        at = np.flatnonzero(self.flags[ids])
+        cuts = np.append(0, at + 1) if self.word_ends else np.append(at, len(ids))
+        if len(cuts) != len(words) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+            return False
+        raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+        self.memo.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        return True
 
     def _learn(self, chunks: list[str]) -> None:
+        """Encodes all the chunks as one text and cuts its ids by their places in it."""
         joined, starts, ends, at = [], [], [], 0
         for c in chunks:
-            if not c.strip(" \n"):
-                self.memo[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+            real = "\n" + c[1:] if c[0] == "\x02" else c[1:] if c[0] == "\x01" else " " + c
+            if not real.strip(" \n"):
+                self.memo[c] = np.array(self.tokenizer.encode(real, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
                 starts.append(-1)
                 ends.append(-1)
                 continue
-            if c[0] not in " \n":
+            if real[0] not in " \n":
                 joined.append("\n")
                 at += 1
-            joined.append(c)
+            joined.append(real)
             starts.append(at)
-            at += len(c)
+            at += len(real)
             ends.append(at)
         code = self.tokenizer.encode("".join(joined), add_special_tokens=False)
         begin = np.fromiter((a for a, _ in code.offsets), dtype=np.int64, count=len(code.ids))
-        ids = np.array(code.ids, dtype=np.uint32)
-        lows, highs = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
+        ids = np.array(code.ids, dtype=np.uint32).tobytes()
+        lows, highs = np.searchsorted(begin, starts) * 4, np.searchsorted(begin, ends) * 4
         for c, s, lo, hi in zip(chunks, starts, lows.tolist(), highs.tolist()):
             if s >= 0:
-                self.memo[c] = ids[lo:hi].tobytes()
+                self.memo[c] = ids[lo:hi]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
-            split = [None if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in part]
-            memo = self.memo
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            memo, marked = self.memo, self.marked
             if len(memo) > self.memo_chunks:
                 memo.clear()
-            unknown = list({c for cs in split if cs is not None for c in cs if c not in memo})
-            if unknown:
-                self._learn(unknown)
+                marked.clear()
+            split = [chunks_of(t) for t in part]
+            unknown = set().union(*(cs for cs in split if cs is not None)).difference(memo)
+            marked.update(c for c in unknown if not c[-1].isalnum() and c not in _MARKS)
+            if marked:
+                split = [cs if cs is None or marked.isdisjoint(cs) else chunks_of(t, False) for t, cs in zip(part, split)]
+                unknown = set().union(*(cs for cs in split if cs is not None)).difference(memo)
+            plain = [c for c in unknown if c.isalpha()]
+            other = [c for c in unknown if not c.isalpha()]
+            for i in range(0, len(plain), 500):
+                if not self._learn_words(plain[i : i + 500]):
+                    other += plain[i : i + 500]
+            for i in range(0, len(other), 500):
+                self._learn(other[i : i + 500])
             for t, cs in zip(part, split):
                 if cs is None:
                     out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
                 else:
-                    out.append(b"".join(map(self.memo.__getitem__, cs)))
+                    out.append(b"".join(map(memo.__getitem__, cs)))
         return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_table, encoder, fields, mix, running_sums, slices, stored, word_hashes, word_spans
 
+#: Of the hashed word-count vectors.
+BUCKETS = 1024
+
 _CODED = "doc_id long, curve_key long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,16 +47,22 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def project(text: bytes, dims: int, bits: int) -> np.ndarray:
-    """The document's hashed word-count vector, projected by random signs and cut to a grid."""
-    starts, ends = word_spans(text)
-    words, counts = np.unique(word_hashes(text, starts, ends), return_counts=True)
-    if not len(words):
-        return np.zeros(dims, dtype=np.int64)
-    weight = np.sqrt(counts)
-    weight /= np.linalg.norm(weight)
-    spots = [weight @ (1.0 - 2.0 * (mix(words + np.uint64(d + 1)) >> np.uint64(63)).astype(np.float64)) for d in range(dims)]
-    return np.clip((np.array(spots) / 3 + 0.5) * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+@lru_cache(maxsize=2)
+def _signs(dims: int) -> np.ndarray:
+    """Random signs for each bucket of the hashed vectors and each dimension."""
+    spots = np.arange(BUCKETS * dims, dtype=np.uint64).reshape(BUCKETS, dims)
+    return 1 - 2 * (mix(spots + np.uint64(1)) >> np.uint64(63)).astype(np.float32)
+
+
+def project(texts: list[bytes], dims: int, bits: int) -> np.ndarray:
+    """The documents' hashed word-count vectors, projected by random signs and cut to a grid."""
+    vectors = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+    for k, text in enumerate(texts):
+        starts, ends = word_spans(text)
+        vectors[k] = np.bincount((word_hashes(text, starts, ends) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS)
+    np.sqrt(vectors, out=vectors)
+    spots = (vectors @ _signs(dims)) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
+    return np.clip((spots / 3 + 0.5) * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
 
 
 def pieces_of(start: int, n: int, total: int, length: int) -> list[tuple[int, int, int]]:
@@ -97,7 +107,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 1, leng
         wide = "<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            keys = hilbert_keys(np.array([project(t.encode(), dims, bits) for t in texts]).reshape(-1, dims), bits)
+            keys = hilbert_keys(project([t.encode() for t in texts], dims, bits), bits)
             ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)) for x in coder.encode(texts)]
             yield batch_of([b.column("doc_id"), keys, [len(x) for x in ids], [x.astype(wide).tobytes() for x in ids]])
 
