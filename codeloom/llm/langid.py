@@ -54,6 +54,7 @@ class Models:
     probs: list[_Table]  # by size of gram, from 1
     backs: list[_Table | None]  # by size of context plus 1: the share left for shorter contexts
     reject_at: np.ndarray | None = None  # by language: mean, variance per character, variance between documents, greatest z
+    reject_bits: float = 2.5  # a document this close to its language's mean, in bits per character, is never rejected
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural-log probability of each word with its end, by language; the last column counts its characters."""
@@ -190,8 +191,9 @@ def calibrate(models: Models, rows: list[tuple[str, str]], slack: float = 3.0) -
 
     A document's bits per character vary about its language's mean with a part that shrinks with
     length and one that does not. It is rejected beyond the greatest such deviation of any of the
-    given documents, plus slack standard deviations. Texts too close to be told apart are not
-    rejected: only those that no model explains.
+    given documents, plus slack standard deviations, and only if it is also reject_bits off: texts of
+    two languages, or with names, numbers and addresses, stay, as do those too close to be told apart.
+    What goes is what no model explains.
     """
     scorer = Scorer(models)
     sums = scorer.sums([t for _, t in rows])
@@ -241,7 +243,8 @@ def decide(models: Models, sums: np.ndarray) -> list[tuple]:
         best = int(np.argmin(per))
         score = 1.0 / np.exp((per[best] - per) * min(n, 40)).sum()
         mean, by_char, between, most = models.reject_at[best]
-        rejected = bool((per[best] - mean) / np.sqrt(by_char / n + between) > most) if np.isfinite(most) else False
+        off = per[best] - mean
+        rejected = bool(np.isfinite(most) and off / np.log(2) > models.reject_bits and off / np.sqrt(by_char / n + between) > most)
         out.append((models.langs[best], float(score), float(per[best] / np.log(2)), rejected))
     return out
 
