@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import arrow_table, fields, stored
 
 _LINK = "u long, v long"
+#: Links that one task unites at most, on average; some 100 MB.
+TASK_LINKS = 500_000
 
 
 def _forest(batches):
@@ -35,16 +37,22 @@ def _forest(batches):
 def components(links: DataFrame) -> DataFrame:
     """node and component (its least node) of every node that a link (columns u, v) touches.
 
-    Each task first unites its own links to a forest. Then all roots move to their least neighbour
-    again and again, and links between what has been united are dropped, until none is left.
+    Each task unites up to TASK_LINKS links to a forest. If one task holds them all, that is the
+    answer. Else all roots move to their least neighbour, links are drawn between what has been
+    united, and what is left is united again, in ever fewer tasks.
     """
-    edges = stored(links.select("u", "v").mapInArrow(_forest, fields(_LINK)), "forest")
-    roots = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("component", F.col("node"))
-    while not edges.isEmpty():
+    edges = stored(links.select("u", "v"), "links")
+    roots = None
+    while True:
+        tasks = -(-edges.count() // TASK_LINKS)
+        edges = stored(edges.coalesce(max(1, tasks)).mapInArrow(_forest, fields(_LINK)), "forest")
+        if roots is None:
+            roots = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("component", F.col("node"))
+        if tasks <= 1:  # links of a single task lead to roots
+            return roots.join(edges, roots["component"] == edges["u"], "left").select("node", F.coalesce("v", "component").alias("component"))
         both = edges.union(edges.select("v", "u"))
         up = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("x"), F.least("u", "v").alias("y"))
         up = stored(up.alias("a").join(up.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", F.col("b.y").alias("y")), "parents")
         roots = stored(roots.join(up, roots["component"] == up["x"], "left").select("node", F.coalesce("y", "component").alias("component")), "roots")
         moved = edges.join(up.select(F.col("x").alias("u"), F.col("y").alias("u2")), "u").join(up.select(F.col("x").alias("v"), F.col("y").alias("v2")), "v")
-        edges = stored(moved.select(F.col("u2").alias("u"), F.col("v2").alias("v")).filter("u <> v").distinct().mapInArrow(_forest, fields(_LINK)), "forest")
-    return roots
+        edges = stored(moved.select(F.col("u2").alias("u"), F.col("v2").alias("v")).filter("u <> v").distinct(), "links")

@@ -16,6 +16,11 @@ BANDS, ROWS = 28, 4
 #: Signatures of a pair at 0.75 agree in fewer places than this in 1 of 100,000 cases.
 AGREE = 63
 
+#: Up to so many nodes' ids are broadcast to fetch their texts.
+BROADCAST_NODES = 1_000_000
+#: Members of a block, on average.
+BLOCK = 256
+
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
 _PAIR = "a long, b long"
 
@@ -51,7 +56,7 @@ def super_minhash(elements: np.ndarray, size: int) -> np.ndarray:
         return out
     order = None
     for j in range(size):
-        r = mix(elements + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        r = mix(elements + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         spot = j + ((r >> np.uint64(40)) * np.uint64(size - j) >> np.uint64(24)).astype(np.int64)
         value = j + (mix(r) >> np.uint64(11)).astype(np.float64) / (1 << 53)
         if j == 0 and size * 3 < len(elements):  # likely the only round: the permutations are not kept
@@ -128,34 +133,34 @@ class _Links:
     def __init__(self, nodes: DataFrame, docs: DataFrame, percent: int) -> None:
         self.nodes, self.docs, self.percent, self.links, self.texts = nodes, docs, percent, None, None
 
-    def check(self, pairs: DataFrame) -> None:
-        """pairs: a, b, n_a, n_b of different nodes."""
+    def sign(self, pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs a, b, n_a, n_b those whose sizes and signatures allow a link."""
         fit = pairs.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         fit = fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sig = self.nodes.select("node", "sig")
         signed = fit.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        close = stored(signed.mapInArrow(_agree, fields(_PAIR)), "close-pairs")
+        return signed.mapInArrow(_agree, fields(_PAIR))
+
+    def check(self, pairs: DataFrame) -> None:
+        """Compares the full sets of pairs a < b and keeps those that are alike."""
+        close = stored(pairs, "close-pairs")
+        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
         if self.texts is None:  # of all that are in any close pair; later pairs bring few others
-            self.texts = stored(self.fetch(close), "near-texts")
+            self.texts = stored(texts_for(self.docs, wanted), "near-texts")
         else:
-            have = self.texts.select("node").distinct()
-            more = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(have, "node", "left_anti")
+            more = stored(wanted.join(self.texts.select("node").distinct(), "node", "left_anti"), "more-nodes")
             if not more.isEmpty():
-                self.texts = self.texts.unionByName(stored(self.docs.join(more, self.docs["doc_id"] == more["node"]).select("node", "text"), "near-texts"))
+                self.texts = self.texts.unionByName(stored(texts_for(self.docs, more), "near-texts"))
         t = self.texts
         both = close.join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         found = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike(self.percent), fields(_PAIR)), "near-links")
         self.links = found if self.links is None else self.links.unionByName(found)
 
-    def fetch(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return self.docs.join(wanted, self.docs["doc_id"] == wanted["node"]).select("node", "text")
-
     def groups(self) -> DataFrame:
         return components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) -> DataFrame:
     """Groups documents whose 5-word shingle sets have a Jaccard similarity of percent or more.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (doc_id
@@ -165,8 +170,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
     linked when its full sets pass. A bucket's pairs are not all made: in each star round, every
     member meets one random member of the bucket, another one in each bucket and round, and buckets
     whose members are all in one group by then are done. What is left in more than one group is
-    checked pair by pair across groups, after leaving out nodes that so many shingles sets apart
-    from all other nodes left that no link is possible; so no link between candidates is lost.
+    compared across groups by signatures, block by block, after leaving out nodes that so many
+    shingles set apart from all other nodes left that no link is possible; so no link between
+    candidates is lost.
 
     Null or empty texts have no shingles and no links. Rows with a null doc_id are in no group and
     kept. Rows of one doc_id count as one document with the links of all of them. An empty table
@@ -186,15 +192,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
     for k in range(star_rounds):
         centre = live.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("n").alias("n_c"), F.col("group").alias("g_c")), F.xxhash64("node", "bucket", F.lit(k))).alias("c"))
         star = live.join(centre, "bucket").filter(F.col("group") != F.col("c.g_c"))
-        links.check(star.select(F.col("node").alias("a"), F.col("c.c").alias("b"), F.col("n").alias("n_a"), F.col("c.n_c").alias("n_b")))
+        links.check(links.sign(star.select(F.col("node").alias("a"), F.col("c.c").alias("b"), F.col("n").alias("n_a"), F.col("c.n_c").alias("n_b"))))
         live = stored(_open_buckets(members.filter("members > 2"), links.groups()), "open-buckets")
-    left = _possible(live, texts, percent)
-    a, b = (left.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "group", "shared"))) for x in "ab")
-    # shared: shingles that another node left has too; their number bounds what two can have in common
-    most = F.least("shared_a", "shared_b")
-    can = (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    rest = a.join(b, "bucket").filter(can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
-    links.check(rest)
+    links.check(_across(_possible(live, texts, percent), nodes, percent))
     groups = links.groups()
     found = classes.join(groups, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     # where rows of one doc_id differ, the least group of them holds for all
@@ -210,6 +210,53 @@ def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return known.join(several, "bucket", "left_semi")
 
 
+def texts_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the nodes; up to BROADCAST_NODES of them are broadcast to the documents, more
+    are joined by a shuffle."""
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    return docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text")
+
+
+def _across(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of nodes of different groups that share a bucket and whose signatures agree.
+
+    A bucket's members are dealt to blocks of about BLOCK, and pairs of blocks are compared; a pair
+    is told where the two first share a bucket. shared bounds what a node can have in common.
+    """
+    packed = F.struct("node", "n", "group", "shared", "sig", "bands")
+    dealt = left.select("bucket", "node", "n", "group", "shared", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block"))
+    blocks = dealt.join(nodes.select("node", "sig", "bands"), "node").groupBy("bucket", "block").agg(F.collect_list(packed).alias("m"))
+    blocks = stored(blocks, "blocks")
+
+    def compare(batches):
+        batch_of = arrow_table(_PAIR)
+
+        def columns(m):
+            node, n, group, shared = (np.array([x[c] for x in m], dtype=np.int64) for c in ("node", "n", "group", "shared"))
+            return node, n, group, shared, np.frombuffer(b"".join(x["sig"] for x in m), dtype="<u4").reshape(len(m), -1), np.array([x["bands"] for x in m], dtype=np.int64)
+
+        for b in batches:
+            for bucket, same_block, m1, m2 in zip(*(b.column(c).to_pylist() for c in ("bucket", "same", "m", "m2"))):
+                x, y = columns(m1), columns(m2)
+                out: list[tuple] = []
+                for i in range(len(x[0])):
+                    most = np.minimum(x[3][i], y[3])
+                    can = (y[2] != x[2][i]) & (100 * most >= percent * (x[1][i] + y[1] - most)) & (100 * np.minimum(x[1][i], y[1]) >= percent * np.maximum(x[1][i], y[1]))
+                    if same_block:
+                        can &= y[0] > x[0][i]
+                    at = np.flatnonzero(can)
+                    at = at[(y[4][at] == x[4][i]).sum(axis=1) >= AGREE]
+                    if len(at):
+                        first = x[5][i][(y[5][at] == x[5][i]).argmax(axis=1)]
+                        out += [(min(x[0][i], o), max(x[0][i], o)) for o in y[0][at[first == bucket]].tolist()]
+                if out:
+                    yield batch_of([list(z) for z in zip(*out)])
+
+    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("m").alias("m2"))
+    pairs = blocks.join(other, "bucket").filter("block <= block2").select("bucket", (F.col("block") == F.col("block2")).alias("same"), "m", "m2")
+    return pairs.mapInArrow(compare, fields(_PAIR)).distinct()
+
+
 def _possible(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Adds shared, the number of a node's shingles that occur in another node of any open bucket,
     and leaves out nodes that can have no link: shared shingles are all that two can have in common."""
@@ -223,7 +270,7 @@ def _possible(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield batch_of([np.full(len(s), node), s])
 
     nodes = live.select("node").distinct()
-    pool = stored(texts.join(nodes, texts["doc_id"] == nodes["node"]).select("node", "text").mapInArrow(run, fields(schema)).distinct(), "open-shingles")
+    pool = stored(texts_for(texts, stored(nodes, "open-nodes")).mapInArrow(run, fields(schema)).distinct(), "open-shingles")
     common = pool.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
     shared = pool.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
     return live.join(shared, "node").filter(100 * F.col("shared") >= percent * F.col("n"))
