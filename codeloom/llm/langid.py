@@ -86,7 +86,7 @@ class Models:
 class Scorer:
     """Scores texts; scores of words that were seen are kept, at most memo_words of them."""
 
-    def __init__(self, models: Models, memo_words: int = 300_000) -> None:
+    def __init__(self, models: Models, memo_words: int = 100_000) -> None:
         self.models, self.memo_words = models, memo_words
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(models.langs) + 1))
