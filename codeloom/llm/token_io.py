@@ -13,58 +13,45 @@ from pyspark.sql.window import Window
 from .common import arrow_table, encoder, fields, shared_dir, slices
 from .simple8b import pack, unpack
 
-_CODED = "doc_id long, n_tokens long, n_words long, words binary"
 _BLOCKS = "part int, block int, first_id long, n_ids long, doc_ids array<long>, counts array<long>, word_counts array<long>, words binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, n_words and words: the ids of each whole text and end_id, in Simple-8b."""
-
-    def run(batches):
-        coder, batch_of = encoder(tokenizer_path), arrow_table(_CODED)
-        end = np.uint32(end_id).tobytes()
-        for b in slices(batches):
-            ids = [x + end for x in coder.encode([t or "" for t in b.column("text").to_pylist()])]
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            words, sizes = pack(np.frombuffer(b"".join(ids), dtype="<u4"), lengths)
-            ends = np.cumsum(sizes)
-            raw = words.astype("<u8").tobytes()
-            yield batch_of([b.column("doc_id"), lengths, sizes, [raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())]])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields(_CODED))
-
-
-def write_blocks(coded: DataFrame, path: str, block_ids: int = 1 << 16) -> None:
-    """Writes encoded documents in ascending doc_id order as blocks of about block_ids ids.
+def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 16) -> None:
+    """Encodes each whole text, appends end_id, and writes documents in ascending doc_id order as
+    blocks of about block_ids ids.
 
     A row of the written Parquet table is a block: its file part, its number there, the number of
     ids before it in the part, and for its documents the doc_ids, id counts and word counts, so any
-    document can be decoded without the others.
+    document can be decoded without the others. Texts are dealt by ranges of doc_id before they are
+    encoded, so that finding the ranges encodes nothing.
     """
 
     def run(batches):
         part, block, first = TaskContext.get().partitionId(), 0, 0
-        batch_of = arrow_table(_BLOCKS)
-        held: list[tuple] = []
-        n = 0
+        coder, batch_of = encoder(tokenizer_path), arrow_table(_BLOCKS)
+        end = np.uint32(end_id).tobytes()
+        doc_ids, ids, n = [], [], 0
 
         def close():
-            ids, counts, sizes, words = zip(*held)
-            return batch_of([[part], [block], [first], [n], [list(ids)], [list(counts)], [list(sizes)], [b"".join(words)]])
+            counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            words, sizes = pack(np.frombuffer(b"".join(ids), dtype="<u4"), counts)
+            return batch_of([[part], [block], [first], [n], [doc_ids], [counts], [sizes], [words.astype("<u8").tobytes()]])
 
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "n_words", "words"))):
-                held.append(row)
-                n += row[1]
+        for b in slices(batches):
+            for doc, x in zip(b.column("doc_id").to_pylist(), coder.encode([t or "" for t in b.column("text").to_pylist()])):
+                doc_ids.append(doc)
+                ids.append(x + end)
+                n += len(x) // 4 + 1
                 if n >= block_ids:
                     yield close()
-                    block, first, held, n = block + 1, first + n, [], 0
-        if held:
+                    block, first, doc_ids, ids, n = block + 1, first + n, [], [], 0
+        if ids:
             yield close()
 
-    order = ["doc_id", "n_tokens", "words"]
-    coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, fields(_BLOCKS)).write.option("compression", "zstd").parquet(path)
+    order = ["doc_id", "text"]
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows.repartitionByRange("doc_id").sortWithinPartitions(*order).mapInArrow(run, fields(_BLOCKS)).write.option("compression", "zstd").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -94,13 +81,13 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str
     """Encodes, writes and reads back: doc_id, start, n_tokens, ids.
 
     Null texts count as empty: only end_id. Rows with a null doc_id come first. Rows with the same
-    doc_id all stay, ordered by their ids. An empty table gives no rows. Other columns are ignored.
+    doc_id all stay, ordered by their texts. An empty table gives no rows. Other columns are ignored.
     """
     import uuid
 
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
-    write_blocks(encode_tokens(docs, tokenizer_path, end_id), path)
+    write_blocks(docs, path, tokenizer_path, end_id)
     return read_blocks(spark, path)
 
 
