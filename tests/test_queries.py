@@ -5,7 +5,7 @@ import __spark_entry__
 from codeloom.plans import queries as plans
 
 
-@pytest.mark.parametrize("name", list(plans.QUERIES))
+@pytest.mark.parametrize("name", list(plans.SQL))
 def test_query_is_what_its_sql_says(spark, duck, name):
     same(plans.QUERIES[name](spark, DATA), duck.execute(plans.SQL[name]))
 
