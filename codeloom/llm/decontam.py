@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seeds: of a window of so many words, those at # are hashed; substitutions at . do not matter.
+#: Of a window of so many words, those at # are equal; alignments report how many such windows they hold.
 MASKS = ("###.#..##.#", "##..#.##.##")
 SPAN = 11
 #: More seeds of the benchmark than this are not broadcast.
 BROADCAST_SEEDS = 500_000
 
 
+def masks_for(words: int, matched_percent: int) -> list[str]:
+    """Masks one of which hits wherever matched_percent in a hundred of so many aligned words are equal.
+
+    With k substitutions allowed the words are cut into k + 2 blocks (k + 1 if they are no more words).
+    At most k blocks hold a substitution, so the mask without those, one of all that leave out k blocks,
+    has equal words only. Outer dots are cut off, which also lets a passage reach over a text's end.
+    """
+    spare = words - -(-words * matched_percent // 100)
+    blocks = min(spare + 2, words)
+    cuts = [-(-words * b // blocks) for b in range(blocks + 1)]
+    sizes = [b - a for a, b in zip(cuts, cuts[1:])]
+    left_out = combinations(range(blocks), spare)
+    return sorted({"".join((".", "#")[b not in out] * n for b, n in enumerate(sizes)).strip(".") for out in left_out})
+
+
 def words_of(text: str) -> Column:
     """Lower-cased runs of letters and digits; [] for null or none."""
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -23,17 +42,14 @@ def _seeds(words: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
     Windows are exploded with the word array beside them and hashed in the same generated code, which
     does not copy the array.
     """
-    spans = sorted({len(m) for _, m in masks})
-    size, out = F.size("words"), None
-    for span in spans:
-        # no filter on the size: it would be pushed to the scan and split the text once more
-        at = F.explode(F.when(size >= span, F.sequence(F.lit(0), size - span))).alias("at")
-        windows = words.select("*", at)
-        # the mask's number is hashed too, so seeds of different masks do not meet
-        hashes = [F.xxhash64(F.lit(k), *(F.get("words", F.col("at") + i) for i, c in enumerate(m) if c == "#")) for k, m in masks if len(m) == span]
-        rows = windows.select("*", F.explode(F.array(*hashes)).alias("seed"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    size, shortest = F.size("words"), min(len(m) for _, m in masks)
+    # no filter on the size: it would be pushed to the scan and split the text once more
+    at = F.explode(F.when(size >= shortest, F.sequence(F.lit(0), size - shortest))).alias("at")
+    windows = words.select("*", at)
+    # the mask's number is hashed too, so seeds of different masks do not meet
+    hashes = {m: F.xxhash64(F.lit(k), *(F.get("words", F.col("at") + i) for i, c in enumerate(m) if c == "#")) for k, m in masks}
+    inside = [h if len(m) == shortest else F.when(F.col("at") + len(m) <= size, h) for m, h in hashes.items()]
+    return windows.select("*", F.explode(F.array(*inside)).alias("seed")).filter("seed IS NOT NULL")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matched_percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -42,44 +58,47 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
     Texts are words (lower-cased runs of letters and digits). Wherever a masked window of a document
     has the hash of one of an item, the two texts are aligned there and compared word by word. The
     pair is returned if among window aligned words (the whole item if it is shorter) at least
-    matched_percent in a hundred are equal. Items shorter than the masks are sought as whole word
-    sequences. Returns doc_id, item_id, matched and of (the best window's equal words and length)
-    doc_word, the aligned item's first word's place in the document, which may be negative, and seeds,
-    the masked windows that hit there.
+    matched_percent in a hundred are equal; masks_for leaves out no such alignment. Items shorter than
+    SPAN are sought as whole word sequences. Returns doc_id, item_id, matched and of (the best window's
+    equal words and length), doc_word, the aligned item's first word's place in the document, which may
+    be negative, and seeds, the windows there that are equal under MASKS (the whole item if it is
+    shorter), which may be none.
 
     The seeds are broadcast with the items' words if they are few, which is counted first. Else the
     seeds join by a shuffle and the words are fetched again for hits alone. Null or empty texts on
-    either side give no pairs. Repeated rows give the pairs once,
-    with all their seeds. Null ids are a value like others.
+    either side give no pairs. Repeated rows give the pairs once. Null ids are a value like others.
     Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(item_text).alias("words")).distinct().filter(F.size("words") > 0)
-    short = [r.n for r in items.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()]  # fewer than SPAN
-    masks = [*enumerate(MASKS), *((100 + n, "#" * n) for n in sorted(short))]
-    whole = items.withColumn("_n", F.size("words"))
-    item_seeds = None
-    for few, part in ((masks[: len(MASKS)], whole.filter(F.col("_n") >= SPAN)), *(([m], whole.filter(F.col("_n") == len(m[1]))) for m in masks[len(MASKS) :])):
-        rows = _seeds(part, few)
-        item_seeds = rows if item_seeds is None else item_seeds.unionByName(rows)
+    whole = items.withColumn("_n", F.least(F.size("words"), F.lit(window)))
+    sizes = sorted(r._n for r in whole.select("_n").distinct().collect())  # at most window
+    shapes = {n: masks_for(n, matched_percent if n >= SPAN else 100) for n in sizes}
+    masks = list(enumerate(sorted({m for shape in shapes.values() for m in shape})))
+    item_seeds = _seeds(whole.limit(0), [(0, "#")])
+    for n, shape in shapes.items():
+        item_seeds = item_seeds.unionByName(_seeds(whole.filter(F.col("_n") == n), [(k, m) for k, m in masks if m in shape]))
     sought = item_seeds.select("seed", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"))
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
     if sought.count() <= BROADCAST_SEEDS:
-        hits = _seeds(texts, masks).join(F.broadcast(sought), "seed").withColumn("doc_word", F.col("at") - F.col("item_at"))
+        hits = _seeds(texts, masks or [(0, "#")]).join(F.broadcast(sought), "seed").withColumn("doc_word", F.col("at") - F.col("item_at"))
     else:
-        pairs = _seeds(texts, masks).select("doc_id", "at", "seed").join(sought.select("seed", "item_id", "item_at"), "seed")
+        pairs = _seeds(texts, masks or [(0, "#")]).select("doc_id", "at", "seed").join(sought.select("seed", "item_id", "item_at"), "seed")
         pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_word")).distinct()
         with_items = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words")), F.col("item_id").eqNullSafe(F.col("_item")))
         hits = with_items.join(texts.select(F.col("doc_id").alias("_doc"), "words"), F.col("doc_id").eqNullSafe(F.col("_doc")))
     # only the aligned words go on, still in generated code: functions with lambdas come after the
-    # count's shuffle, as they would end that code and copy the whole array into each hit
+    # shuffle of the distinct, as they would end that code and copy the whole array into each hit
     n = F.size("item_words")
     aligned = F.slice("words", F.greatest(F.col("doc_word"), F.lit(0)) + 1, n + F.least(F.col("doc_word"), F.lit(0)))
-    hits = hits.select("doc_id", "item_id", "doc_word", aligned.alias("aligned"), "item_words").groupBy("doc_id", "item_id", "doc_word", "aligned", "item_words").agg(F.count("*").alias("seeds"))
+    hits = hits.select("doc_id", "item_id", "doc_word", aligned.alias("aligned"), "item_words").distinct()
     of = F.least(n, F.lit(window))
     skipped = F.greatest(-F.col("doc_word"), F.lit(0))
     equal = F.transform("item_words", lambda w, k: F.when(F.get("aligned", F.greatest(k - skipped, F.lit(0))) == w, F.when(k >= skipped, 1).otherwise(0)).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(1), n - of + 1), lambda p: F.aggregate(F.slice("equal", p, of), F.lit(0), lambda a, x: a + x)))
-    checked = hits.select("doc_id", "item_id", "doc_word", of.alias("of"), equal.alias("equal"), "item_words", "seeds").select("doc_id", "item_id", "doc_word", "of", "seeds", best.alias("matched"))
+    whole_at = lambda m: lambda p: reduce(and_, (F.get("equal", p + i) == 1 for i, c in enumerate(m) if c == "#"))
+    held = sum((F.size(F.filter(F.sequence(F.lit(0), n - SPAN), whole_at(m))) for m in MASKS), F.lit(0))
+    seeds = F.when(n >= SPAN, held).otherwise(F.when(best == n, 1).otherwise(0)).cast("long")
+    checked = hits.select("doc_id", "item_id", "doc_word", of.alias("of"), equal.alias("equal"), "item_words").select("doc_id", "item_id", "doc_word", "of", seeds.alias("seeds"), best.alias("matched"))
     # the best alignment, the first of equals; the filter comes last, lest it be moved into the join
     top = F.min(F.struct((-F.col("matched")).alias("m"), "doc_word", "of", "seeds")).alias("top")
     pairs = checked.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", (-F.col("top.m")).alias("matched"), "top.of", "top.doc_word", "top.seeds")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -195,6 +196,47 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert "Python" not in decontam.contaminations(docs, bench)._jdf.queryExecution().toString()
 
 
+def brute_contaminations(rows, items, window=13, percent=80):
+    out = set()
+    for d, a in rows:
+        for i, b in items:
+            of = min(window, len(b))
+            for at in range(1 - len(b), len(a)):
+                equal = [0 <= at + k < len(a) and a[at + k] == w for k, w in enumerate(b)]
+                if max(sum(equal[p : p + of]) for p in range(len(b) - of + 1)) * 100 >= of * percent:
+                    out.add((d, i))
+    return out
+
+
+def substituted(item, places):
+    return [f"x{k}" if k in places else w for k, w in enumerate(item)]
+
+
+def test_decontamination_finds_every_placement_of_two_substitutions(spark, monkeypatch):
+    items = [(n, [f"w{n}q{k}" for k in range(n)]) for n in (11, 12, 13, 14, 15)]
+    rows = []
+    for _, item in items:
+        for a, b in combinations(range(len(item)), 2):
+            passage = substituted(item, {a, b})
+            rows.append((len(rows), passage if len(rows) % 2 else ["pre", *passage, "post"]))
+        rows += [(len(rows), item[2:]), (len(rows) + 1, item[:-2]), (len(rows) + 2, item[1:-1]), (len(rows) + 3, substituted(item, {0, 5, 9}))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = brute_contaminations(rows, items)
+    assert len(want) > 400
+    for few in (decontam.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", few)
+        got = decontam.contaminations(table(spark, [(d, " ".join(w)) for d, w in rows]), bench).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_masks_leave_no_placement_out():
+    for n in range(1, 17):
+        for percent in (60, 80, 90, 100):
+            spare, masks = n - -(-n * percent // 100), decontam.masks_for(n, percent)
+            for out in combinations(range(n), spare):
+                assert any(all(c == "." or p + i not in out for i, c in enumerate(m)) for m in masks for p in range(n - len(m) + 1))
+
+
 def test_simple8b_round_trip():
     rnd = np.random.default_rng(0)
     for n, top in ((0, 2), (1, 2), (500, 2), (500, 300), (5000, 50_000), (300, 1 << 62)):
