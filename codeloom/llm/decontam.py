@@ -58,8 +58,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
     Texts are words (lower-cased runs of letters and digits). Wherever a masked window of a document
     has the hash of one of an item, the two texts are aligned there and compared word by word. The
     pair is returned if among window aligned words (the whole item if it is shorter) at least
-    matched_percent in a hundred are equal; masks_for leaves out no such alignment. Items shorter than
-    SPAN are sought as whole word sequences. Returns doc_id, item_id, matched and of (the best window's
+    matched_percent in a hundred are equal; masks_for leaves out no such alignment. Returns doc_id, item_id, matched and of (the best window's
     equal words and length), doc_word, the aligned item's first word's place in the document, which may
     be negative, and seeds, the windows there that are equal under MASKS (the whole item if it is
     shorter), which may be none.
@@ -72,7 +71,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(item_text).alias("words")).distinct().filter(F.size("words") > 0)
     whole = items.withColumn("_n", F.least(F.size("words"), F.lit(window)))
     sizes = sorted(r._n for r in whole.select("_n").distinct().collect())  # at most window
-    shapes = {n: masks_for(n, matched_percent if n >= SPAN else 100) for n in sizes}
+    shapes = {n: masks_for(n, matched_percent) for n in sizes}
     masks = list(enumerate(sorted({m for shape in shapes.values() for m in shape})))
     item_seeds = _seeds(whole.limit(0), [(0, "#")])
     for n, shape in shapes.items():

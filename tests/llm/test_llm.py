@@ -229,6 +229,23 @@ def test_decontamination_finds_every_placement_of_two_substitutions(spark, monke
         assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_decontamination_of_short_items(spark, monkeypatch):
+    items = [(n, [f"w{n}q{k}" for k in range(n)]) for n in range(1, 11)]
+    rows = []
+    for _, item in items:
+        for k in range(4):
+            for places in combinations(range(len(item)), k):
+                rows.append((len(rows), ["pre", *substituted(item, places), "post"]))
+        rows += [(len(rows), item[1:]), (len(rows) + 1, item[:-1])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = brute_contaminations(rows, items)
+    assert {i for d, i in want} == set(range(1, 11)) and len(want) > 90
+    for few in (decontam.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", few)
+        got = decontam.contaminations(table(spark, [(d, " ".join(w)) for d, w in rows]), bench).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_masks_leave_no_placement_out():
     for n in range(1, 17):
         for percent in (60, 80, 90, 100):
