@@ -108,6 +108,10 @@ ROOT = "SELECT min(id) AS node FROM files WHERE is_entry"
 FORWARD, BACKWARD = "fe AS (SELECT src AS f, dst AS t FROM deps)", "be AS (SELECT dst AS f, src AS t FROM deps)"
 
 
+#: The reference's default of levels. The SQL below was written for fewer and has not been changed.
+MAX_DEPTH = 5
+
+
 def _root(spark, sf):
     return source.files(spark, sf).filter("is_entry").agg(F.min("id").alias("node"))
 
@@ -118,17 +122,17 @@ def _paths(found: DataFrame) -> DataFrame:
 
 @query(f"WITH {FILES}, {EDGES}, {DEPS}, {BACKWARD}, {_levels('be', ROOT, 2)} SELECT node, depth, array_to_string(path, '>') AS path FROM seen WHERE depth > 0")
 def blast_dependents(spark, sf):
-    return _paths(graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), 2)[0])
+    return _paths(graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), MAX_DEPTH)[0])
 
 
 @query(f"WITH {FILES}, {EDGES}, {DEPS}, {FORWARD}, {_levels('fe', ROOT, 2)} SELECT node, depth, array_to_string(path, '>') AS path FROM seen WHERE depth > 0")
 def blast_dependencies(spark, sf):
-    return _paths(graph.shortest_paths(source.dependencies(spark, sf), _root(spark, sf), 2)[0])
+    return _paths(graph.shortest_paths(source.dependencies(spark, sf), _root(spark, sf), MAX_DEPTH)[0])
 
 
 @query(f"WITH {FILES}, {EDGES}, {DEPS}, {BACKWARD}, {_levels('be', ROOT, 2)} SELECT EXISTS (SELECT 1 FROM l1 JOIN be ON f = node WHERE t NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1)) AS truncated")
 def blast_truncated(spark, sf):
-    return graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), 1)[1]
+    return graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), MAX_DEPTH)[1]
 
 
 @query(f"WITH RECURSIVE {EDGES}, {DEPS}, {CLOSURE}, n AS (SELECT src AS node FROM deps UNION SELECT dst FROM deps) SELECT node, coalesce(k, 0) AS reached FROM n LEFT JOIN (SELECT b, count(*) FILTER (a <> b) AS k FROM closure GROUP BY b) ON b = node")
@@ -470,7 +474,7 @@ def _impact(spark, sf):
     b, a = (e.filter("src <> dst").select("src", "dst").distinct() for e in _sides(spark, sf))
     changed = source.files(spark, sf).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("old_node"), F.expr(_CHANGE).alias("change")).filter("change IS NOT NULL")
     tests = source.files(spark, sf).filter(patterns.is_test(F.col("path"))).select(F.col("id").alias("node"))
-    return changed, review.impact(b, a, changed, 2), tests
+    return changed, review.impact(b, a, changed, MAX_DEPTH), tests
 
 
 @query(f"WITH {_IMPACT} SELECT node, b[1] AS depth, sides, array_to_string(b[3], '>') AS path FROM im")
