@@ -44,3 +44,10 @@ def test_five_levels(spark, tmp_path):
 
 def test_nothing_is_cut_within_five_levels(spark, tmp_path):
     assert not plans.QUERIES["blast_truncated"](spark, chain(spark, tmp_path, (2, 12))).first().truncated
+
+
+def test_entries_have_no_edge_of_any_kind(spark, tmp_path):
+    orders = [(1, 10, "1-URGENT"), (2, 11, "1-URGENT"), (3, 11, "5-LOW"), (4, 12, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").selectExpr("*", "timestamp '1998-08-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(10,), (11,), (12,), (13,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {r.node for r in plans.QUERIES["inferred_entries"](spark, str(tmp_path)).collect()} == {10, 13}
