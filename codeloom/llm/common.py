@@ -165,44 +165,50 @@ def running_sums(rows: DataFrame, order: list[str], measures: list[str], name: s
 
 # Tokenizers -------------------------------------------------------------------------------------
 
-#: Characters of Unicode's white space other than space and line feed, and those that chunks are marked with.
-_ODD = [chr(c) for c in (1, 2, 9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
-_GAPS = ("  ", "\n\n", " \n", "\n ")
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
-_MARKS = {"\x01.", "\x01,"}
-
-
-def chunks_of(text: str, marks: bool = True) -> list[str] | None:
-    """A text's chunks, whose token ids in a row are the text's; None if only the whole will do.
-
-    No pre-token of the tokenizers in use holds a space or line feed after another character, nor
-    a letter or digit beside a full stop or comma, so a text can be cut there. A chunk stands for
-    itself with a space before it; if it starts with \x01 for what follows as it is, and with \x02
-    for what follows with a line feed before it. With marks, full stops and commas at the ends of
-    words are chunks; that is right where no other mark stands before them.
+#: White space other than space and line feed, and what special tokens' strings start with. A text with any is encoded whole.
+_ODD_BYTES = (b"\t", b"\v", b"\f", b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"<|")
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[10, 32]] = True
+_ASCII = np.arange(256) < 128
+_LETTER_OR_DIGIT = np.array([chr(c).isalnum() for c in range(256)]) & _ASCII
+_SIGN = np.array([chr(c).isprintable() for c in range(256)]) & _ASCII & ~_LETTER_OR_DIGIT & ~_GAP
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF.
+_LATIN = np.array([0x80 <= c < 0xC0 and c not in (0x97, 0xB7) for c in range(256)])
+
+
+def cuts_of(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start that lie one after another in data, bytes of UTF-8.
+
+    No pre-token of the tokenizers in use holds a space or line feed after another character, or a
+    letter or digit before a sign. So a text is cut before each run of spaces and line feeds, and
+    before an ASCII sign that follows an ASCII letter or digit or a letter of Latin-1. The ids of a
+    text are those of its pieces, each encoded as it stands.
     """
-    if any(c in text for c in _ODD):
-        return None
-    if any(g in text for g in _GAPS) or text[:1] in " \n" or text[-1] in " \n":
-        return ["\x01" + c for c in _CHUNK.findall(text)]
-    if marks:
-        text = (text + "\n").replace(", ", " \x01, ").replace(". ", " \x01. ").replace(",\n", " \x01,\n").replace(".\n", " \x01.\n")[:-1]
-    return ("\x01" + text.replace("\n", " \x02")).split(" ")
+    gap, letter, ends = _GAP[data], _LETTER_OR_DIGIT[data], np.cumsum(sizes)
+    letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = (gap[1:] & ~gap[:-1]) | (_SIGN[data[1:]] & letter[:-1])
+    cut[(ends - sizes)[sizes > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Whole texts to token ids by the tokenizers library, with a memo of at most memo_chunks chunks."""
+    """Whole texts to token ids by the tokenizers library, with a memo of at most memo_pieces pieces.
+
+    path is that of a tokenizer's file, or the name of one that this machine's public_tokenizers has.
+    """
 
-    def __init__(self, path: str, memo_chunks: int = 1_400_000) -> None:
+    def __init__(self, path: str, memo_pieces: int = 800_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.marked: set[str] = set()  # chunks that end with a mark of another kind
-        self.memo_chunks = memo_chunks
+        self.tokenizer = Tokenizer.from_file(path if os.path.isabs(path) else public_tokenizers.path(path))
+        self.memo_pieces = memo_pieces
+        self._forget()
         # by id, whether a token ends a word, or begins one after a space; one of them, as the vocabulary marks it
         vocab = self.tokenizer.get_vocab()
         flags = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -210,70 +216,109 @@ class Encoder:
         flags[[i for t, i in vocab.items() if (t.endswith("</w>") if self.word_ends else t.startswith("\u0120"))]] = True
         self.flags = flags
 
-    def _learn_words(self, words: list[str]) -> bool:
-        """Encodes words of letters as one text and cuts its ids by their marks; false if there are
-        not as many marks as words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def _forget(self) -> None:
+        self.memo: dict[bytes, int] = {}  # the number of a piece, under which its ids are found
+        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0  # all pieces' ids, one after another
+        self.places = np.zeros((2, 1 << 14), dtype=np.int64)  # by number of piece, start and number of its ids
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Notes pieces whose ids are ids[start:end]."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        first, last = len(self.memo), len(self.memo) + len(pieces)
+        if last > self.places.shape[1]:
+            self.places = np.concatenate((self.places, np.zeros((2, max(last, self.places.shape[1])), dtype=np.int64)), axis=1)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.places[:, first:last] = starts + self.used, ends - starts
+        self.memo.update(zip(pieces, range(first, last)))
+        self.used += len(ids)
+
+    def _learn_words(self, pieces: list[bytes]) -> bool:
+        """Encodes pieces of a space and letters as one text and cuts its ids by their marks; false if
+        there are not as many marks as pieces."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
         at = np.flatnonzero(self.flags[ids])
         cuts = np.append(0, at + 1) if self.word_ends else np.append(at, len(ids))
-        if len(cuts) != len(words) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+        if len(cuts) != len(pieces) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
             return False
-        raw, cuts = ids.tobytes(), (cuts * 4).tolist()
-        self.memo.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        self._keep(pieces, ids, cuts[:-1], cuts[1:])
         return True
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes all the chunks as one text and cuts its ids by their places in it."""
-        joined, starts, ends, at = [], [], [], 0
-        for c in chunks:
-            real = "\n" + c[1:] if c[0] == "\x02" else c[1:] if c[0] == "\x01" else " " + c
-            if not real.strip(" \n"):
-                self.memo[c] = np.array(self.tokenizer.encode(real, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-                starts.append(-1)
-                ends.append(-1)
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes all the pieces as one text and cuts its ids by their places in it."""
+        joined, real, starts, ends, at = [], [], [], [], 0
+        for raw in pieces:
+            piece = raw.decode()
+            if not piece.strip(" \n"):
+                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=np.uint32)
+                self._keep([raw], ids, np.array([0]), np.array([len(ids)]))
                 continue
-            if real[0] not in " \n":
+            if piece[0] not in " \n":
                 joined.append("\n")
                 at += 1
-            joined.append(real)
+            joined.append(piece)
+            real.append(raw)
             starts.append(at)
-            at += len(real)
+            at += len(piece)
             ends.append(at)
         code = self.tokenizer.encode("".join(joined), add_special_tokens=False)
         begin = np.fromiter((a for a, _ in code.offsets), dtype=np.int64, count=len(code.ids))
-        ids = np.array(code.ids, dtype=np.uint32).tobytes()
-        lows, highs = np.searchsorted(begin, starts) * 4, np.searchsorted(begin, ends) * 4
-        for c, s, lo, hi in zip(chunks, starts, lows.tolist(), highs.tolist()):
-            if s >= 0:
-                self.memo[c] = ids[lo:hi]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            memo, marked = self.memo, self.marked
-            if len(memo) > self.memo_chunks:
-                memo.clear()
-                marked.clear()
-            split = [chunks_of(t) for t in part]
-            unknown = set().union(*(cs for cs in split if cs is not None)).difference(memo)
-            marked.update(c for c in unknown if not c[-1].isalnum() and c not in _MARKS)
-            if marked:
-                split = [cs if cs is None or marked.isdisjoint(cs) else chunks_of(t, False) for t, cs in zip(part, split)]
-                unknown = set().union(*(cs for cs in split if cs is not None)).difference(memo)
-            plain = [c for c in unknown if c.isalpha()]
-            other = [c for c in unknown if not c.isalpha()]
-            for i in range(0, len(plain), 500):
-                if not self._learn_words(plain[i : i + 500]):
-                    other += plain[i : i + 500]
-            for i in range(0, len(other), 500):
-                self._learn(other[i : i + 500])
-            for t, cs in zip(part, split):
-                if cs is None:
-                    out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
-                else:
-                    out.append(b"".join(map(memo.__getitem__, cs)))
+        self._keep(real, np.array(code.ids, dtype=np.uint32), np.searchsorted(begin, starts), np.searchsorted(begin, ends))
+
+    def _learn_all(self, pieces: list[bytes]) -> None:
+        words, other = [], []
+        for p in pieces:
+            (words if p[0] == 32 and (p[1:].isalpha() or p[1:].decode().isalpha()) else other).append(p)
+        for i in range(0, len(words), 500):
+            if not self._learn_words(words[i : i + 500]):
+                other += words[i : i + 500]
+        for i in range(0, len(other), 500):
+            self._learn(other[i : i + 500])
+
+    def _encode_cut(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts by their pieces. Equal pieces are found by Arrow's dictionary encoding, so
+        each is looked up once for all texts."""
+        data, sizes = b"".join(texts), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        if not data:
+            return [b""] * len(texts)
+        cuts = cuts_of(np.frombuffer(data, dtype=np.uint8), sizes)
+        places = pa.py_buffer(np.append(cuts, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(cuts), [None, places, pa.py_buffer(data)]).dictionary_encode()
+        _, edges, raw = coded.dictionary.buffers()
+        edges, raw = np.frombuffer(edges, dtype=np.int32)[: len(coded.dictionary) + 1].tolist(), raw.to_pybytes()
+        pieces = [raw[a:b] for a, b in zip(edges, edges[1:])]
+        if len(self.memo) > self.memo_pieces:
+            self._forget()
+        numbers = list(map(self.memo.get, pieces))
+        new = [k for k, n in enumerate(numbers) if n is None]
+        if new:
+            self._learn_all([pieces[k] for k in new])
+            for k in new:
+                numbers[k] = self.memo[pieces[k]]
+        starts, counts = self.places[:, np.array(numbers)[coded.indices.to_numpy(zero_copy_only=False)]]
+        before = np.cumsum(counts) - counts
+        raw = self.ids[np.repeat(starts - before, counts) + np.arange(int(counts.sum()))].astype("<u4", copy=False).tobytes()
+        ends = np.cumsum(sizes)
+        first, stop = np.searchsorted(cuts, ends - sizes), np.searchsorted(cuts, ends)
+        edge = np.append(before, len(raw) // 4) * 4
+        return [raw[a:b] for a, b in zip(edge[first].tolist(), edge[stop].tolist())]
+
+    def encode(self, texts: list[bytes], part_bytes: int = 4 << 20) -> list[bytes]:
+        """The ids of each text, UTF-8, as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        part, size = [], 0
+        for k, raw in enumerate(texts):
+            if any(x in raw for x in _ODD_BYTES) or (not raw.isascii() and _ODD.search(raw.decode())):
+                out[k] = np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            part.append(k)
+            size += len(raw)
+            if size >= part_bytes:
+                for j, ids in zip(part, self._encode_cut([texts[j] for j in part])):
+                    out[j] = ids
+                part, size = [], 0
+        for j, ids in zip(part, self._encode_cut([texts[j] for j in part])):
+            out[j] = ids
         return out
 
 
@@ -285,6 +330,14 @@ def encoder(path: str) -> Encoder:
 # Documents --------------------------------------------------------------------------------------
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(column: Column | str) -> Column:
     """Bytes of a text column, none for null."""
     return F.encode(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")), "UTF-8")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_table, encoder, fields, mix, running_sums, slices, stored, word_hashes, word_spans
+from .common import arrow_table, encoder, fields, mix, running_sums, slices, stored, texts_of, word_hashes, word_spans
 
 #: Of the hashed word-count vectors.
 BUCKETS = 1024
@@ -106,8 +106,8 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 1, leng
         coder, batch_of = encoder(tokenizer_path), arrow_table(_CODED)
         wide = "<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            keys = hilbert_keys(project([t.encode() for t in texts], dims, bits), bits)
+            texts = texts_of(b.column("text"))
+            keys = hilbert_keys(project(texts, dims, bits), bits)
             ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)) for x in coder.encode(texts)]
             yield batch_of([b.column("doc_id"), keys, [len(x) for x in ids], [x.astype(wide).tobytes() for x in ids]])
 

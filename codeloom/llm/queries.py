@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, line_dedup, media, minhash, packing, sharding, substring, token_io, toxicity
 
-#: Where public tokenizer files are; they are read on driver and executors, never copied.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Names of public tokenizers' files; each machine finds them by public_tokenizers.path().
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +26,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_io.ids_digest(token_io.token_files(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return token_io.ids_digest(token_io.token_files(_table(spark, sf_dir, "documents"), WORD_BPE))
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_along_curve(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack_along_curve(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_table, encoder, fields, shared_dir, slices
+from .common import arrow_table, encoder, fields, shared_dir, slices, texts_of
 from .simple8b import pack, unpack
 
 _BLOCKS = "part int, block int, first_id long, n_ids long, doc_ids array<long>, counts array<long>, word_counts array<long>, words binary"
@@ -39,7 +39,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return batch_of([[part], [block], [first], [n], [doc_ids], [counts], [sizes], [words.astype("<u8").tobytes()]])
 
         for b in slices(batches):
-            for doc, x in zip(b.column("doc_id").to_pylist(), coder.encode([t or "" for t in b.column("text").to_pylist()])):
+            for doc, x in zip(b.column("doc_id").to_pylist(), coder.encode(texts_of(b.column("text")))):
                 doc_ids.append(doc)
                 ids.append(x + end)
                 n += len(x) // 4 + 1
