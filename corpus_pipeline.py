@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import decontam, langid, line_dedup, minhash, packing
 from codeloom.llm.common import stored
-from codeloom.llm.queries import TOKENIZERS
+from codeloom.llm.queries import BYTE_BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the pieces of the packed sequences."""
-    return packing.pack_along_curve(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack_along_curve(docs, BYTE_BPE)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
