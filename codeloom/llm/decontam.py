@@ -9,11 +9,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, utf8
+
 #: Of a window of so many words, those at # are equal; alignments report how many such windows they hold.
 MASKS = ("###.#..##.#", "##..#.##.##")
 SPAN = 11
-#: More seeds of the benchmark than this are not broadcast.
-BROADCAST_SEEDS = 500_000
+#: More seeds of the benchmark than this, or seeds whose items' words take more bytes, are not broadcast.
+BROADCAST_SEEDS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def masks_for(words: int, matched_percent: int) -> list[str]:
@@ -63,10 +65,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
     be negative, and seeds, the windows there that are equal under MASKS (the whole item if it is
     shorter), which may be none.
 
-    The seeds are broadcast with the items' words if they are few, which is counted first. Else the
-    seeds join by a shuffle and the words are fetched again for hits alone. Null or empty texts on
-    either side give no pairs. Repeated rows give the pairs once. Null ids are a value like others.
-    Other columns are ignored.
+    The seeds are broadcast with the items' words if they are few and small, which is measured first.
+    Else the seeds join by a shuffle, and the words are fetched again for hits alone, by id and a
+    digest of the text; the result is the same. Null or empty texts on either side give no pairs.
+    Repeated rows give the pairs once, rows of one id with different texts give the pairs of each,
+    the best alignment of a pair being told, the first of equals. Null ids are a value like others.
+    An empty table on either side gives no rows. Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(item_text).alias("words")).distinct().filter(F.size("words") > 0)
     whole = items.withColumn("_n", F.least(F.size("words"), F.lit(window)))
@@ -78,13 +82,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
         item_seeds = item_seeds.unionByName(_seeds(whole.filter(F.col("_n") == n), [(k, m) for k, m in masks if m in shape]))
     sought = item_seeds.select("seed", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"))
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
-    if sought.count() <= BROADCAST_SEEDS:
+    joined = F.concat_ws(" ", "item_words")
+    seeds, size = sought.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(joined) + 16 * F.size("item_words")), F.lit(0))).first()
+    if seeds <= BROADCAST_SEEDS and size <= BROADCAST_BYTES:
         hits = _seeds(texts, masks or [(0, "#")]).join(F.broadcast(sought), "seed").withColumn("doc_word", F.col("at") - F.col("item_at"))
     else:
-        pairs = _seeds(texts, masks or [(0, "#")]).select("doc_id", "at", "seed").join(sought.select("seed", "item_id", "item_at"), "seed")
-        pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_word")).distinct()
-        with_items = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words")), F.col("item_id").eqNullSafe(F.col("_item")))
-        hits = with_items.join(texts.select(F.col("doc_id").alias("_doc"), "words"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+        # a text's digest tells rows of one id, or of none, apart
+        keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(utf8(text_col)).alias("_text"), words_of(text_col).alias("words"))
+        pairs = _seeds(keyed, masks or [(0, "#")]).select("doc_id", "_text", "at", "seed").join(sought.select("seed", "item_id", F.md5(joined).alias("_words"), "item_at"), "seed")
+        pairs = pairs.select("doc_id", "_text", "item_id", "_words", (F.col("at") - F.col("item_at")).alias("doc_word")).distinct()
+        with_items = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words"), F.md5(F.concat_ws(" ", "words")).alias("_digest")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("_words") == F.col("_digest")))
+        fetched = keyed.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of"), "words")
+        hits = with_items.join(fetched, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_of")))
     # only the aligned words go on, still in generated code: functions with lambdas come after the
     # shuffle of the distinct, as they would end that code and copy the whole array into each hit
     n = F.size("item_words")
@@ -107,7 +116,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark passage, their columns unchanged.
 
-    Documents of one doc_id go together, as do those with none.
+    Documents of one doc_id go together, as do those with none; repeated rows all go or all stay.
+    Null and empty texts stay. An empty table gives an empty one, an empty benchmark removes nothing.
+    Further columns may have any names.
     """
-    dirty = contaminations(docs, benchmark, **options).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs[options.get("id_col", "doc_id")].eqNullSafe(dirty["_dirty"]), "left_anti")
+    name = free_name(docs, "dirty")
+    dirty = contaminations(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dirty, docs[options.get("id_col", "doc_id")].eqNullSafe(dirty[name]), "left_anti")

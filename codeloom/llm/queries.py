@@ -120,29 +120,20 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha25
 
 
 def _decontamination_sql() -> str:
-    """The masks' windows of documents and items joined, and the alignments compared."""
+    """Every alignment with enough equal words, compared word by word; no mask takes part in finding them."""
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-
-    def seeds(source: str, key: str) -> str:
-        parts = []
-        for k, mask in enumerate(decontam.MASKS):
-            picked = " || ' ' || ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "#")
-            parts.append(f"SELECT {key}, i, {k} AS mask, {picked} AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - {decontam.SPAN - 2})) AS i FROM {source} WHERE len(w) >= {decontam.SPAN})")
-        # items shorter than the masks are sought whole
-        for n in range(1, decontam.SPAN):
-            size = f"len(w) = {n}" if source == "b" else f"len(w) >= {n}"
-            parts.append(f"SELECT {key}, i, {100 + n} AS mask, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {source} WHERE {size} AND EXISTS (SELECT 1 FROM b WHERE len(b.w) = {n}))")
-        return " UNION ALL ".join(parts)
-
+    held = " + ".join(f"len(list_filter(range(0, n - {decontam.SPAN - 1}), lambda p: {' AND '.join(f'eq[p + {j + 1}] = 1' for j, c in enumerate(mask) if c == '#')}))" for mask in decontam.MASKS)
     return f"""
-WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
-ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
-hits AS (SELECT doc_id, item_id, ds.i - bs.i AS doc_word, count(*) AS seeds FROM ds JOIN bs USING (mask, seed) GROUP BY ALL),
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+bw AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, least(len(w), 13) AS len_of FROM b),
+hits AS (SELECT doc_id, item_id, dw.i - bw.i AS doc_word FROM dw JOIN bw USING (word) GROUP BY ALL HAVING count(*) * 100 >= max(len_of) * 80),
 al AS (SELECT h.*, least(len(b.w), 13) AS len_of, list_transform(range(1, len(b.w) + 1), lambda k: CASE WHEN h.doc_word + k >= 1 AND d.w[greatest(h.doc_word + k, 1)] = b.w[k] THEN 1 ELSE 0 END) AS eq, len(b.w) AS n
        FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
-best AS (SELECT doc_id, item_id, doc_word, seeds, len_of, list_max(list_transform(range(1, n - len_of + 2), lambda p: list_sum(list_slice(eq, p, p + len_of - 1)))) AS matched FROM al),
+best AS (SELECT doc_id, item_id, doc_word, len_of, list_max(list_transform(range(1, n - len_of + 2), lambda p: list_sum(list_slice(eq, p, p + len_of - 1)))) AS matched,
+                CASE WHEN n >= {decontam.SPAN} THEN {held} WHEN list_sum(eq) = n THEN 1 ELSE 0 END AS seeds FROM al),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_word) AS r FROM best WHERE matched * 100 >= len_of * 80)
-SELECT doc_id, item_id, matched::INT AS matched, len_of::INT AS "of", doc_word::INT AS doc_word, seeds FROM ranked WHERE r = 1
+SELECT doc_id, item_id, matched::INT AS matched, len_of::INT AS "of", doc_word::INT AS doc_word, seeds::BIGINT AS seeds FROM ranked WHERE r = 1
 """
 
 

@@ -7,20 +7,22 @@ from itertools import combinations
 from zlib import crc32
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA, same
 from pyspark.sql import functions as F
 
 from codeloom.llm import components, decontam, langid, line_dedup, media, minhash, packing, queries, sharding, simple8b, substring, token_io, toxicity
-from codeloom.llm.common import Encoder, chunks_of
+from codeloom.llm.common import Encoder
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, th string, key string, _part int, bucket long, a long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, th string, key string, _part int, bucket long, a long, _kept string, kept string, _doc long, doc long, _th long, _gone long, gone long, _dirty long, dirty long, _row long, lang_pred string, score double, digest string, shard int, words string, at int, line string, place string, h1 long"
 WORDS = [f"{a}{b}" for a in "bdfklmnprst" for b in ("a", "e", "io", "un", "or")]
 
 
 def table(spark, rows):
     """Documents with further columns of the names that the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "x", "x", 1, 2, 3) for i, t in rows], SCHEMA)
+    odd = ("x", "x", "x", 1, 2, 3, "x", "x", 4, 5, 6, 7, 8, 9, 10, 11, "x", 0.5, "x", 12, "x", 13, "x", "x", 14)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *odd) for i, t in rows], SCHEMA)
 
 
 def odd_rows():
@@ -81,7 +83,9 @@ def test_near_duplicates(docs, none):
     assert minhash.keep_first(docs).columns == docs.columns
 
 
-def test_near_duplicates_of_a_large_family(spark):
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rnd = random.Random(1)
     base = [rnd.choice(WORDS) for _ in range(80)]
     rows = []
@@ -173,11 +177,31 @@ def test_line_dedup(docs, none):
         texts = [t or "" for i, t in odd_rows() if i == r.doc_id]
         kept = {"\n".join(x for at, x in enumerate(t.split("\n")) if r.doc_id is None or not x.strip(" \t\r") or (first[x] == (r.doc_id, at) and x not in late)) for t in texts}
         assert bytes(r.kept).decode() in kept
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs, hot_rows=2).drop("kept").collect()), key=repr) == sorted(map(tuple, line_dedup.dedup_lines(docs).drop("kept").collect()), key=repr)
     out = line_dedup.without_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and out.filter("text IS NULL").count() == 1
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("block, hot_rows", [(1024, 64), (3, 2)])
+def test_links_of_a_family_of_lines(spark, monkeypatch, block, hot_rows):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rnd = random.Random(6)
+    base = "the quick brown fox jumps over the lazy dog"
+    made = {base}
+    while len(made) < 40:
+        line = list(base)
+        for _ in range(rnd.randrange(1, 3)):
+            at = rnd.randrange(len(line))
+            line[at : at + rnd.randrange(2)] = rnd.choice(("", "x", "yz"))
+        made.add("".join(line))
+    lines = sorted(made, key=lambda x: hash((x, 1)) if x != base else 0) + ["aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "\u00e9" * 20, "\u00e9" * 22]
+    want = {i: sum(distance(x, y) <= 2 for j, y in enumerate(lines) if i != j) for i, x in enumerate(lines)}
+    late = {i for i, x in enumerate(lines) if any(distance(x, y) <= 2 for y in lines[:i])}
+    got = line_dedup.dedup_lines(table(spark, list(enumerate(lines))).repartition(5), hot_rows=hot_rows).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and {r.doc_id for r in got if r.n_removed} == late
+
+
 def test_decontamination(spark, docs, none, monkeypatch):
     rnd = random.Random(5)
     item = [rnd.choice(WORDS) for _ in range(30)]
@@ -186,11 +210,16 @@ def test_decontamination(spark, docs, none, monkeypatch):
     half = [w if k % 2 else "q" for k, w in enumerate(item)]
     rows = [(1, "intro " + " ".join(item) + " end"), (2, ("noise " * 40) + " ".join(changed)), (3, " ".join(half)), (4, " ".join(item[:9])), (5, "Short, item!"), (6, None), (1, "short item"), (None, " ".join(item))]
     bench = spark.createDataFrame([(0, " ".join(item), "e"), (0, " ".join(item), "e"), (7, "short ITEM", "e"), (8, None, "e"), (9, "", "e")], "item_id long, text string, words string")
+    rows += [(None, "no passage at all"), (None, " ".join(item[:13])), (1, "intro " + " ".join(item) + " end")]
     want = {(1, 0, 13, 13), (2, 0, 12, 13), (5, 7, 2, 2), (1, 7, 2, 2), (None, 0, 13, 13)}
-    for few in (decontam.BROADCAST_SEEDS, 0):
+    whole = []
+    for few, size in ((decontam.BROADCAST_SEEDS, decontam.BROADCAST_BYTES), (0, decontam.BROADCAST_BYTES), (decontam.BROADCAST_SEEDS, 10)):
         monkeypatch.setattr(decontam, "BROADCAST_SEEDS", few)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
+        whole.append(sorted(map(tuple, decontam.contaminations(table(spark, rows), bench).collect()), key=repr))
         got = {(r.doc_id, r.item_id, r.matched, r["of"]) for r in decontam.contaminations(table(spark, rows), bench).collect()}
         assert {(d, i) for d, i, *_ in got} == {(d, i) for d, i, *_ in want} and all(m >= 11 for _, i, m, _ in got if i == 0)
+    assert whole[0] == whole[1] == whole[2] and len(whole[0]) == len(want)
     assert {r.doc_id for r in decontam.decontaminate(table(spark, rows), bench).collect()} == {3, 4, 6}
     assert decontam.contaminations(none, bench).count() == decontam.contaminations(docs, bench.limit(0)).count() == 0
     assert "Python" not in decontam.contaminations(docs, bench)._jdf.queryExecution().toString()
@@ -266,16 +295,21 @@ def test_simple8b_round_trip():
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_chunks_encode_as_the_whole(file):
-    coder = Encoder(f"{queries.TOKENIZERS}/{file}", memo_chunks=20)
-    texts = [t or "" for _, t in odd_rows()] + [" a", "a ", "a\n\nb", "don't, it's. x'.", "x_. y", "<|endoftext|> z", ".", ", a", "a \x01 b", "é. z", "a.,\nb"]
-    whole = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    assert coder.encode(texts) == whole and coder.encode(texts[::-1]) == whole[::-1]
-    assert chunks_of("a\tb") is None and chunks_of("") == []
+def test_pieces_encode_as_the_whole(file):
+    coder = Encoder(file, memo_pieces=20)
+    rnd = random.Random(4)
+    signs = list("ab Z1.,  \n\n!?'\"-_\u00e9\u4e2dn\u0301\u0130\u00df\u00bd\u00b2()<|>;:\u3000\xa0\t\r")
+    texts = [t or "" for _, t in odd_rows()] + [" a", "a ", "a\n\nb", "don't, it's. x'.", "x_. y", "x . y", "<|endoftext|> z", ".", ", a", "a \x01 b", "a\0b", "\u00e9. z", "a.,\nb"]
+    texts += ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(2000)]
+    texts += [r.text or "" for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pandas().itertuples()]
+    whole = [np.array(x.ids, dtype="<u4").tobytes() for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    raw = [t.encode() for t in texts]
+    assert coder.encode(raw) == whole and coder.encode(raw[::-1], 1000) == whole[::-1]
+    assert coder.encode([]) == [] and coder.encode([b"", b""]) == [b"", b""]
 
 
 def test_token_files(docs, none, spark, tmp_path):
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.WORD_BPE
     coder, at, want = Encoder(path), 0, []
     for i, t in sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1])
@@ -334,7 +368,7 @@ def test_hilbert_keys_are_a_walk_through_all_cells():
 
 
 def test_packing(docs, none):
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = queries.BYTE_BPE
     coder = Encoder(path)
     pieces = packing.pack_along_curve(docs, path, length=256).collect()
     want = sorted((i or 0, len(coder.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in odd_rows())
