@@ -6,17 +6,24 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import arrow_table, fields, slices, stored, texts_of
+from .common import arrow_table, fields, free_name, slices, stored, texts_of
 
-#: Up to so many lines in candidate pairs, their hashes are broadcast to fetch the lines.
+#: Up to so many candidate lines, their hashes are broadcast to fetch the lines.
 BROADCAST_LINES = 1_000_000
+#: Lines of one key that are compared with each other in one go, and their bytes, on average.
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
+#: A key with this share of a batch's rows, and HOT_ROWS of them, is hot; its rows are dealt to so many salts.
+HOT_SHARE, HOT_ROWS, SALTS = 1 / 1000, 64, 1024
 
-_SEEDS = "key long, line long, parity int"
-_LINK = "a long, b long"
+_SEEDS = "key long, line long, salt long"
+_JUDGED = "h1 long, h2 long, links long, late boolean"
 _DONE = "doc_id long, th long, n_lines long, n_removed long, n_links long, kept_sha256 string, kept binary"
 _BLANK = " \t\r"
 
@@ -106,14 +113,26 @@ def _parities(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes)
 
 
-def _seed_rows(docs: DataFrame, edits: int, min_chars: int, probe: bool) -> DataFrame:
-    """Hashes of the index segments, or of the probing substrings, of every line, once in each task."""
+def _salts(keys: np.ndarray, lines: np.ndarray, hot_rows: int) -> np.ndarray:
+    """0, but from 1 on by line where the key is hot in this batch; two rows of every such key keep 0."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    counted = pc.value_counts(pa.array(keys))
+    many = counted.field("values").to_numpy()[counted.field("counts").to_numpy() >= max(hot_rows, HOT_SHARE * len(keys))]
+    for k in many.tolist():
+        at = np.flatnonzero(keys == k)[2:]
+        out[at] = 1 + lines[at] % SALTS
+    return out
+
+
+def _seed_rows(docs: DataFrame, edits: int, min_chars: int, hot_rows: int) -> DataFrame:
+    """Hashes of the probing substrings of every line, once in each task; a line's own segments are
+    among them."""
 
     def run(batches):
         batch_of = arrow_table(_SEEDS)
         seen: set[int] = set()
         for b in slices(batches, 2 << 20):
-            lines, hashes, keys, counts = [], [], [], []
+            hashes, keys, counts = [], [], []
             for text in b.column("text").to_pylist():
                 for line in _near_lines(text or "", min_chars):
                     raw = line.encode()
@@ -121,16 +140,17 @@ def _seed_rows(docs: DataFrame, edits: int, min_chars: int, probe: bool) -> Data
                     if h in seen:
                         continue
                     seen.add(h)
-                    ascii_, n = len(raw) == len(line), len(line)
-                    wanted = probes(n, edits) if probe else [(n * 16 + i, p, p + k) for i, (p, k) in enumerate(segments(n, edits))]
-                    keys += [xxh64_intdigest(raw[s:e], k) for k, s, e in wanted] if ascii_ else [xxh64_intdigest(line[s:e].encode(), k) for k, s, e in wanted]
-                    lines.append(line)
+                    n = len(line)
+                    wanted = probes(n, edits)
+                    own = {xxh64_intdigest(raw[s:e], k) for k, s, e in wanted} if len(raw) == n else {xxh64_intdigest(line[s:e].encode(), k) for k, s, e in wanted}
+                    keys += own
                     hashes.append(h)
-                    counts.append(len(wanted))
+                    counts.append(len(own))
             if len(seen) > 1_000_000:
                 seen.clear()
-            if lines:
-                yield batch_of([np.array(keys, dtype=np.uint64).view(np.int64), np.repeat(np.array(hashes, dtype=np.uint64).view(np.int64), counts), np.repeat(_parities(lines), counts)])
+            if keys:
+                found, owners = np.array(keys, dtype=np.uint64).view(np.int64), np.repeat(np.array(hashes, dtype=np.uint64).view(np.int64), counts)
+                yield batch_of([found, owners, _salts(found, owners, hot_rows)])
 
     return docs.select("text").mapInArrow(run, fields(_SEEDS))
 
@@ -142,43 +162,93 @@ def _lines(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", "th", "at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def line_links(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFrame:
-    """Pairs a, b of hashes (xxhash64) of different lines at an edit distance of at most edits.
+def _judge(rows: list[tuple], key: int, across: bool, edits: int, out: dict) -> None:
+    """Finds the near lines among rows (h1, h2, place, text, block) of one key and one block, or across two.
+
+    A pair is told where its shorter line is indexed (of equal lengths, that with the lesser hash),
+    under the first of its segments that the other line holds.
+    """
+    texts = [r[3] for r in rows]
+    lengths, blocks = np.array([len(t) for t in texts]), np.array([r[4] for r in rows])
+    ranks = np.argsort(np.argsort(np.array([(r[0], r[1]) for r in rows], dtype="i8,i8"), kind="stable"))
+    parity = _parities(texts)
+    for i, x in enumerate(texts):
+        n = len(x)
+        if n <= edits:
+            continue
+        parts = segments(n, edits)
+        own = [k for k, (p, m) in enumerate(parts) if np.uint64(xxh64_intdigest(x[p : p + m].encode(), n * 16 + k)).astype(np.int64) == key]
+        if not own:
+            continue
+        can = (lengths >= n) & (lengths <= n + edits) & ((lengths > n) | (ranks > ranks[i])) & (np.bitwise_count(parity ^ parity[i]) <= 2 * edits)
+        if across:
+            can &= blocks != blocks[i]
+        for j in np.flatnonzero(can).tolist():
+            y = texts[j]
+            if x == y:
+                continue
+            held = {k - 16 * n for k, s, e in probes(len(y), edits) if k // 16 == n and y[s:e] == x[parts[k % 16][0] : sum(parts[k % 16])]}
+            if held and min(held) in own and within(x, y, edits):
+                later = i if rows[i][2] > rows[j][2] else j
+                for k in (i, j):
+                    links, late = out.get(rows[k][:2], (0, False))
+                    out[rows[k][:2]] = links + 1, late or k == later
+
+
+def linked_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """h1, h2 (hashes of a line), links (how many other lines are within edits edits of it) and late
+    (whether one of them occurs earlier), for each line that has any.
 
     A line of length n is cut into edits + 1 segments, of which one is untouched in any line so
-    near. Segments are indexed under n and their number; longer lines look up the substrings that
-    can match. Candidates must also agree in the parities of their characters' counts up to what so
-    many edits can flip, which is checked in the join, before pairs are made. The edit distance of
-    the rest is computed on the lines.
+    near. Segments are keyed by their text, n and their number; lines that are as long, or longer by
+    up to edits, look up the substrings that can match. Keys that a single line has are dropped as
+    rows of the sorted keys go by. A hot key's rows skip that shuffle: they are seen as such where
+    they are made. The lines of each key that is left are dealt to blocks by number and bytes, and
+    each pair of blocks is a group of its own that a task compares: first the parities of the
+    characters' counts, of which an edit flips two at most, then the edit distance. So a task holds
+    two blocks at a time, and rows are counts of a line's links, not pairs.
     """
-    texts = docs.select("text").filter(F.col("text").isNotNull())
-    index = _seed_rows(texts, edits, min_chars, probe=False)
-    probe = _seed_rows(texts, edits, min_chars, probe=True).select("key", F.col("line").alias("other"), F.col("parity").alias("parity2"))
-    fits = (F.col("line") != F.col("other")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2"))) <= 2 * edits)
-    pairs = index.join(probe, (index["key"] == probe["key"]) & fits).select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    wanted = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "line-hashes")
+    by_key = Window.partitionBy("key", "salt").orderBy("line")
+    several = (F.lag("line").over(by_key) != F.col("line")) | (F.lead("line").over(by_key) != F.col("line"))
+    rows = _seed_rows(docs, edits, min_chars, hot_rows).withColumn("several", several).filter("several OR salt > 0")
+    members = stored(rows.select("key", "line").distinct(), "line-keys")
+    wanted = stored(members.select(F.col("line").alias("h1")).distinct(), "line-hashes")
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    lines = texts.select(F.explode(F.split("text", "\n", -1)).alias("line")).select("line", F.xxhash64("line").alias("h"))
-    found = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "near-lines")
-
-    def verify(batches):
-        batch_of = arrow_table(_LINK)
+    found = _lines(docs).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "at")).alias("place"), F.any_value("line").alias("text"))
+    held = stored(members.join(found.withColumnRenamed("h1", "line"), "line"), "key-lines")
+    sizes = stored(held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks")), "key-sizes")
+    dealt = held.join(sizes, "key").withColumn("block", F.pmod("h2", "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("key", "line", "h2", "place.*", "text", "block", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+    def compare(batches):
+        batch_of = arrow_table(_JUDGED)
+        last, group, out = None, [], {}
         for b in batches:
-            rows = [(a, c) for a, c, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y"))) if within(x, y, edits)]
-            if rows:
-                yield batch_of([list(z) for z in zip(*rows)])
-
-    both = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, fields(_LINK))
+            for key, lo, hi, h1, h2, doc, th, at, text, block in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "line", "h2", "doc_id", "th", "at", "text", "block"))):
+                if (key, lo, hi) != last:
+                    if len(group) > 1:
+                        _judge(group, last[0], last[1] != last[2], edits, out)
+                    last, group = (key, lo, hi), []
+                group.append((h1, h2, (doc, th, at), text, block))
+            if len(out) > 20_000:
+                yield batch_of([*map(list, zip(*((*k, *v) for k, v in out.items())))])
+                out = {}
+        if len(group) > 1:
+            _judge(group, last[0], last[1] != last[2], edits, out)
+        if out:
+            yield batch_of([*map(list, zip(*((*k, *v) for k, v in out.items())))])
+
+    told = pairs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, fields(_JUDGED))
+    return told.groupBy("h1", "h2").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
 
 
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Removes each line that an earlier line equals, or is near to by at most edits edits.
 
     Lines are what lies between line feeds. Earlier is a smaller doc_id or, in one document, a line
@@ -198,11 +268,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFra
     real = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     place = F.struct("doc_id", "th", "at")
     firsts = stored(_lines(real).groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
-    links = stored(line_links(real, edits, min_chars), "line-links")
-    ends = links.select(F.col("a").alias("h1"), F.col("b").alias("other")).union(links.select("b", "a"))
-    here = firsts.select("h1", "h2", "first").join(ends, "h1")
-    pairs = here.join(firsts.select(F.col("h1").alias("other"), F.col("first").alias("other_first")), "other")
-    linked = pairs.groupBy("h1", "h2").agg(F.count("*").alias("links"), F.max(F.col("other_first") < F.col("first")).alias("late"))
+    linked = stored(linked_lines(real, edits, min_chars, hot_rows), "linked-lines")
     judged = firsts.join(linked, ["h1", "h2"], "left").select("first.*", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
     per_doc = judged.groupBy("doc_id", "th").agg(F.collect_list(F.when(~F.col("late"), F.col("at"))).alias("keep"), F.sum("links").alias("links"))
 
@@ -227,9 +293,15 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFra
 
 def without_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents with the lines removed from their texts, the other columns unchanged; n_chars,
-    if there is one, is counted anew. Null texts stay null, and a document of which no line is left
-    stays with an empty text."""
-    done = dedup_lines(docs, **options).filter("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_doc", "_th"])
-    out = docs.join(done, (docs["doc_id"].cast("long") == done["_doc"]) & (_text_hash() == done["_th"]), "left")
-    text = F.coalesce("_kept", "text")
-    return out.select(*(text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.char_length("_kept")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
+    if there is one, is counted anew.
+
+    Null texts stay null, and a document of which no line is left stays with an empty text. Ties and
+    repeated rows are as in dedup_lines: rows of one doc_id are ordered by a hash of their texts, and
+    copies of a row all become the same. An empty table gives no rows. Further columns may have any
+    names.
+    """
+    doc, th, kept = (free_name(docs, n) for n in ("doc", "th", "kept"))
+    done = dedup_lines(docs, **options).filter("n_removed > 0").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.decode("kept", "UTF-8").alias(kept)).dropDuplicates([doc, th])
+    out = docs.join(done, (docs["doc_id"].cast("long") == done[doc]) & (_text_hash() == done[th]), "left")
+    text = F.coalesce(kept, "text")
+    return out.select(*(text.alias(c) if c == "text" else F.when(F.col(kept).isNull(), F.col(c)).otherwise(F.char_length(kept)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
