@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,21 +15,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, an own one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="codeloom-")
-        atexit.register(shutil.rmtree, _OWN_DIR[app], True)
-    return f"file://{_OWN_DIR[app]}"
+    """This application's folder below the one that spark.checkpoint.dir names; it is deleted when the
+    application ends. Where that is unset, a local master gets an own one, and a cluster an error, as
+    its machines share no other folder."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _FOLDERS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"{root.rstrip('/') if root else 'file://' + tempfile.gettempdir()}/codeloom-{app}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = folder
+    return _FOLDERS[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back; each round of a loop does so, to end its
-    lineage in files that outlive executors."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost
+    executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
