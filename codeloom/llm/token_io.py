@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_table, encoder, fields, shared_dir, slices, texts_of
+from codeloom.tables import shared_dir
+
+from .common import arrow_table, encoder, fields, slices, texts_of
 from .simple8b import pack, unpack
 
 _BLOCKS = "part int, block int, first_id long, n_ids long, doc_ids array<long>, counts array<long>, word_counts array<long>, words binary"
