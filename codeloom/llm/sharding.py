@@ -1,29 +1,70 @@
-"""Contiguous shards of near-equal byte size, from prefix sums."""
+"""Shards of near-equal byte size that hold equal texts together, from prefix sums."""
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import running_sums, stored, utf8
 
+#: Groups of equal texts that are larger than this share of a shard are dealt one by one.
+LARGE = 1 / 100
+
+
+def _deal(groups: list[tuple[int, int]], shards: int, share: float) -> tuple[list[tuple[int, int | None]], list[float]]:
+    """(digest, shard) of groups (digest, bytes), the largest first to the emptiest shard; no shard for
+    those that fit in none. Also returns the room left in each shard."""
+    loads = [(0, s) for s in range(shards)]
+    out: list[tuple[int, int | None]] = []
+    for digest, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        load, s = loads[0]
+        fits = load + size <= share
+        out.append((digest, s if fits else None))
+        if fits:
+            heapq.heapreplace(loads, (load + size, s))
+    room = dict((s, share - load) for load, s in loads)
+    return out, [room[s] for s in range(shards)]
+
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Cuts the documents, in doc_id order, into contiguous shards of near-equal size.
+    """Cuts the documents into shards of near-equal size; equal texts are in one shard.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, shard, and slot, the gapless
-    position in the shard. The prefix sums come from totals of range partitions, so no task sees
-    more than one partition and the texts are not shuffled. A document goes to the shard in whose
-    equal share of all bytes its middle byte lies; a shard's size is off its share by less than one
-    document.
-
-    A null text counts as empty. Rows with a null doc_id come first. Rows with the same doc_id are
-    ordered by size and checksum; those that are alike are interchangeable. An empty table gives no
-    rows; other columns are ignored.
+    position in the shard. Documents are ordered by a digest of their text and then doc_id, so that
+    equal texts are neighbours, and that order is cut at equal targets: prefix sums come from totals
+    of range partitions, so no task sees more than one partition and the texts are not shuffled. A
+    group of equal texts goes where its middle byte lies, which leaves a shard off its share by less
+    than a group. So that this is little, groups of more than LARGE of a shard, at most
+    shards / LARGE of them, are dealt beforehand and the targets leave room for them. A group that
+    fits in no shard, as one larger than a shard's share, is cut like single documents.
+
+    A null text counts as empty. Rows with a null doc_id come first in their group. Rows with the same
+    doc_id and text are interchangeable. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(utf8("text")).alias("text_crc32"))
-    placed, total = running_sums(rows, ["doc_id", "size", "text_crc32"], ["size"], "shard-rows")
-    middle = F.expr(f"((2 * size_before + size) * {shards}L) div {max(1, 2 * total['size'])}L")
-    cut = stored(placed.select("doc_id", "size", "text_crc32", "row_before", F.least(middle, F.lit(shards - 1)).cast("int").alias("shard")), "shards")
-    first = cut.groupBy("shard").agg(F.min("row_before").alias("_first"))
-    return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row_before") - F.col("_first")).alias("slot"))
+    spark, columns = docs.sparkSession, ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(utf8("text")).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = stored(rows, "shard-sizes")
+    share = (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    sizes = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > share * LARGE)
+    dealt, room = _deal([(r.digest, r.bytes) for r in sizes.collect()], shards, share)  # at most shards / LARGE rows
+    large = F.broadcast(spark.createDataFrame(dealt, "digest long, large_shard int").withColumn("large", F.lit(True)))
+    tagged = rows.join(large, "digest", "left")
+    whole = tagged.filter("large_shard IS NOT NULL").select(*columns, "digest", F.col("large_shard").alias("shard"))
+    rest = tagged.filter("large_shard IS NULL").select(*columns, "digest", F.coalesce("large", F.lit(False)).alias("large"))
+    placed, _ = running_sums(rest, ["digest", "doc_id", "size", "text_crc32"], ["size"], "shard-rows")
+    group = Window.partitionBy("digest")
+    alone = placed.filter("large").withColumn("middle", 2 * F.col("size_before") + F.col("size"))
+    together = placed.filter("NOT large").withColumn("middle", 2 * F.min("size_before").over(group) + F.sum("size").over(group))
+    targets, cut = 0.0, F.lit(0)
+    for r in room[:-1]:
+        targets += r
+        cut = cut + (F.col("middle") >= 2 * targets).cast("int")
+    shard = [*columns, "digest", cut.alias("shard")]
+    cut_rows = whole.unionByName(alone.select(*shard)).unionByName(together.select(*shard))
+    order = ["shard", "digest", "doc_id", "size", "text_crc32"]
+    final, _ = running_sums(cut_rows, order, ["size"], "shards")
+    first = final.groupBy("shard").agg(F.min("row_before").alias("first"))
+    return final.join(F.broadcast(first), "shard").select(*columns, "shard", (F.col("row_before") - F.col("first")).alias("slot"))  # a row for each shard
