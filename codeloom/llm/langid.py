@@ -15,6 +15,7 @@ from .common import arrow_table, fields, mix, slices
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FIRST, _LAST = "\x02", "\x03"
 _COUNTS = "lang string, gram string, n long"
+_MEASURED = "lang string, sums array<double>"
 _SCORED = "lang_pred string, score double, bits_per_char double, rejected boolean"
 
 
@@ -50,7 +51,7 @@ class Models:
 
     langs: list[str]
     order: int
-    uniform: float
+    unseen: np.ndarray  # probability of a character that no gram has, by language
     probs: list[_Table]  # by size of gram, from 1
     backs: list[_Table | None]  # by size of context plus 1: the share left for shorter contexts
     reject_at: np.ndarray | None = None  # by language: mean, variance per character, variance between documents, greatest z
@@ -58,13 +59,15 @@ class Models:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural-log probability of each word with its end, by language; the last column counts its characters."""
+        if not self.langs:
+            return np.array([[float(len(w) + 1)] for w in words])
         text = "".join(_FIRST + w + _LAST for w in words)
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
         is_first = codes == ord(_FIRST)
         owner = np.cumsum(is_first) - 1
         depth = np.arange(len(codes)) - np.flatnonzero(is_first)[owner]
         at = np.flatnonzero(~is_first)
-        p = np.full((len(at), len(self.langs)), self.uniform, dtype=np.float64)
+        p = np.tile(self.unseen, (len(at), 1))
         for size in range(1, self.order + 1):
             rows = np.flatnonzero(depth[at] >= size - 1)
             if not len(rows):
@@ -111,10 +114,12 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
-def sample_by_lang(docs: DataFrame, per_lang: int) -> DataFrame:
-    """About per_lang documents of each language, those with the smallest hashes of their doc_id."""
+def sample_by_lang(docs: DataFrame, per_lang: int, lang_bytes: int, max_langs: int) -> DataFrame:
+    """About per_lang documents, or lang_bytes of text, of each of the max_langs languages with most
+    documents: those documents with the smallest hashes of their doc_id."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    shares = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("_share"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), (F.sum(F.octet_length("text")) + 1).alias("bytes")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    shares = sizes.select("lang", F.least(per_lang / F.col("n"), lang_bytes / F.col("bytes")).alias("_share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(F.broadcast(shares), "lang").filter(place < F.col("_share")).drop("_share")  # a row for each language
 
@@ -170,6 +175,8 @@ def fit(counts: dict[str, dict[str, int]], order: int) -> Models:
                 sums.setdefault(g[:-1], np.zeros(len(langs)))[k] += n
                 kinds.setdefault(g[:-1], np.zeros(len(langs)))[k] += 1
         rest = {h: np.where(s > 0, discount * kinds[h] / np.maximum(s, 1), 1.0) for h, s in sums.items()}
+        if size == 1:
+            unseen = uniform * rest.get("", np.ones(len(langs)))
         grams = sorted({g for own in level for g in own})
         values = np.zeros((len(grams), len(langs)))
         for i, g in enumerate(grams):
@@ -183,52 +190,63 @@ def fit(counts: dict[str, dict[str, int]], order: int) -> Models:
         probs.append(_Table(grams, values))
         contexts = sorted(rest)
         backs.append(_Table(contexts, np.array([rest[h] for h in contexts])) if size > 1 else None)
-    return Models(langs, order, uniform, probs, backs)
+    return Models(langs, order, unseen, probs, backs)
 
 
-def calibrate(models: Models, rows: list[tuple[str, str]], slack: float = 3.0) -> Models:
-    """Sets when a best language is rejected, from documents that the counts do not hold.
+def calibrate(models: Models, langs: list[str], sums: np.ndarray, slack: float = 3.0) -> Models:
+    """Sets when a best language is rejected, from the languages and sums (see Scorer) of documents that
+    the counts do not hold.
 
     A document's bits per character vary about its language's mean with a part that shrinks with
-    length and one that does not. It is rejected beyond the greatest such deviation of any of the
-    given documents, plus slack standard deviations, and only if it is also reject_bits off: texts of
-    two languages, or with names, numbers and addresses, stay, as do those too close to be told apart.
-    What goes is what no model explains.
+    length and one that does not. It is rejected beyond what 95 in 100 of the given documents deviate,
+    plus slack standard deviations, and only if it is also reject_bits off: texts of two languages, or
+    with names, numbers and addresses, stay, as do those too close to be told apart. Medians take the
+    place of means, so a few junk documents among the labelled ones do not lift the bar. What goes is
+    what no model explains.
     """
-    scorer = Scorer(models)
-    sums = scorer.sums([t for _, t in rows])
     out = np.zeros((len(models.langs), 4))
     for k, lang in enumerate(models.langs):
-        own = np.array([i for i, (x, _) in enumerate(rows) if x == lang and sums[i, -1] > 0], dtype=int)
+        own = np.array([i for i, x in enumerate(langs) if x == lang and sums[i, -1] > 0], dtype=int)
         if not len(own):
             out[k] = 0, 0, 0, np.inf
             continue
         n = sums[own, -1]
         per = -sums[own, k] / n
-        mean = np.average(per, weights=n)
+        mean = np.median(per)
         by_char = np.median((per - mean) ** 2 * n) * 2.2 + 0.05
-        between = max(0.0, float(np.var(per[n >= np.median(n)])))
+        between = float(1.4826 * np.median(np.abs(per[n >= np.median(n)] - mean))) ** 2
         z = (per - mean) / np.sqrt(by_char / n + between)
-        out[k] = mean, by_char, between, max(6.0, float(z.max())) + slack
+        out[k] = mean, by_char, between, max(6.0, float(np.quantile(z, 0.95))) + slack
     models.reject_at = out
     return models
 
 
-def train(docs: DataFrame, per_lang: int = 1000, order: int = 4) -> Models:
-    """Models from a bounded sample: about per_lang documents of each language, whole texts.
+def train(docs: DataFrame, per_lang: int = 1000, order: int = 4, lang_bytes: int = 16 << 20, max_langs: int = 32) -> Models:
+    """Models from a bounded sample of whole texts: about per_lang documents, or lang_bytes of text, of
+    each language; of more than max_langs languages those with most documents.
 
     A tenth of the sample calibrates the rejection and is not counted. The counts come to the
-    driver; the sample bounds them. Rows with a null text or lang teach nothing. Without any row to
-    learn from, an error is raised.
+    driver, bounded by the sample; of the documents that calibrate only their sums do. Rows with a
+    null text or lang teach nothing. Without any row to learn from there are no models, and every
+    prediction is und.
     """
-    sample = sample_by_lang(docs, per_lang)
+    sample = sample_by_lang(docs, per_lang, lang_bytes, max_langs)
     part = F.pmod(F.hash("doc_id"), F.lit(10))
     counts: dict[str, dict[str, int]] = {}
     for lang, gram, n in count_grams(sample.filter(part != 0), order).collect():
         counts.setdefault(lang, {})[gram] = n
+    models = fit(counts, order)
     if not counts:
-        raise ValueError("there is no document to learn from")
-    return calibrate(fit(counts, order), [(r.lang, r.text) for r in sample.filter(part == 0).select("lang", "text").collect()])
+        return models
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
+
+    def measure(batches):
+        scorer, batch_of = Scorer(shared.value), arrow_table(_MEASURED)
+        for b in slices(batches):
+            yield batch_of([b.column("lang"), scorer.sums(b.column("text").to_pylist()).tolist()])
+
+    rows = sample.filter(part == 0).select("lang", "text").mapInArrow(measure, fields(_MEASURED)).collect()
+    return calibrate(models, [r.lang for r in rows], np.array([r.sums for r in rows]).reshape(len(rows), len(models.langs) + 1))
 
 
 def decide(models: Models, sums: np.ndarray) -> list[tuple]:
@@ -236,8 +254,8 @@ def decide(models: Models, sums: np.ndarray) -> list[tuple]:
     out = []
     for row in sums:
         n = row[-1]
-        if n == 0:
-            out.append(("und", 0.0, None, True))
+        if n == 0 or not models.langs:
+            out.append(("und", 0.0, None, bool(n == 0)))
             continue
         per = -row[:-1] / n
         best = int(np.argmin(per))
@@ -252,11 +270,12 @@ def decide(models: Models, sums: np.ndarray) -> list[tuple]:
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """Adds lang_pred, score, bits_per_char and rejected to the documents, by their text alone.
 
-    lang_pred is the language whose model gives the lowest cross-entropy per character; score is its
-    share among the languages at up to 40 characters' worth of evidence. Null texts and those with
-    no letter get und, score 0, and are rejected. Other columns stay as they are; those of the names
-    added are replaced. Rows are judged one by one, so repeated rows and an empty table need no
-    special care.
+    lang_pred is the language whose model gives the lowest cross-entropy per character, of equals the
+    first by name; score is its share among the languages at up to 40 characters' worth of evidence.
+    Null texts and those with no letter get und, score 0, and are rejected. Without models all texts
+    get und and score 0, and those with a letter are not rejected. Other columns stay as they are;
+    those of the names added are replaced. Rows are judged one by one, so repeated rows have the same
+    result, and an empty table gives no rows.
     """
     kept = docs.drop(*(f.name for f in fields(_SCORED)))
     out_schema = kept.select().schema
@@ -279,7 +298,11 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def accepted(docs: DataFrame, models: Models) -> DataFrame:
-    """The documents that identify() does not reject, their columns unchanged."""
+    """The documents that identify() does not reject, their columns unchanged.
+
+    Rows are judged one by one, so repeated rows go or stay together. Null texts and those without a
+    letter go. An empty table gives an empty one. Further columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
 
     def run(batches):
