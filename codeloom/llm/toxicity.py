@@ -112,9 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, bits: int =
     dealt = {y: min(n, per_class) for y, n in sizes.items()}
     shards = max(1, min(shards, dealt[1] // 1500))  # a shard needs enough examples of the rarer class
     learned = examples.repartition(shards, F.pmod("_at", F.lit(shards))).sortWithinPartitions("_at").select("y", "features").mapInArrow(learn, fields(_WEIGHTS))
-    found = learned.groupBy("feature").agg(F.sum("weight").alias("w"), F.sum("shards").alias("n")).orderBy("feature").collect()  # at most 2 ** bits rows
-    at, w = np.array([r.feature for r in found], dtype=np.int64), np.array([r.w for r in found])
-    taught = next((r.n for r in found if r.feature == 1 << bits), 1)
+    found = learned.groupBy("feature").agg(F.sum("weight").alias("w"), F.sum("shards").alias("n")).orderBy("feature").toArrow()  # at most 2 ** bits rows
+    at, w, n = (found.column(c).to_numpy() for c in ("feature", "w", "n"))
+    at, w = at.astype(np.int64), w.astype(np.float64)
+    taught = max([1, *n[at == 1 << bits].tolist()])
     w /= taught
     shift = math.log(sizes[1] / sizes[0]) - math.log(dealt[1] / dealt[0])
     real = at < 1 << bits

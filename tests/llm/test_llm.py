@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 from zlib import crc32
 
@@ -320,26 +321,48 @@ def test_token_files(docs, none, spark, tmp_path):
     assert token_io.token_files(none, path).count() == 0
 
 
-def test_shards(docs, none):
+def test_shards(docs, none, spark):
     got = sharding.shard_by_bytes(docs, 4).collect()
     rows = sorted((i is not None, i or 0, len((t or "").encode()) + 1, crc32((t or "").encode())) for i, t in odd_rows())
     assert sorted((r.doc_id is not None, r.doc_id or 0, r["size"], r.text_crc32) for r in got) == rows
-    order = sorted(got, key=lambda r: (r.shard, r.slot))
-    assert [(r.doc_id or 0) for r in order] == [r[1] for r in rows]
-    total, before = sum(r[2] for r in rows), 0
-    for r in order:
-        assert r.shard == min(3, (2 * before + r["size"]) * 4 // (2 * total))
-        before += r["size"]
     for s in range(4):
-        own = [r.slot for r in order if r.shard == s]
-        assert own == list(range(len(own)))
+        own = [r.slot for r in got if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
     assert sharding.shard_by_bytes(none).count() == 0
 
 
+def test_shards_hold_equal_texts_together(spark):
+    rnd = random.Random(3)
+    copies = [400, 90, 60, 60, 30, 30, 3, 2, 2, 2] + [1] * 900
+    texts = [t for k, n in enumerate(copies) for t in [f"{k} " + "x" * (50 + k % 40)] * n]
+    rnd.shuffle(texts)
+    got = sharding.shard_by_bytes(table(spark, list(enumerate(texts))).repartition(5), 8).collect()
+    total, sizes, where = sum(len(t) + 1 for t in texts), [0] * 8, {}
+    for r in got:
+        sizes[r.shard] += r["size"]
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(got) == len(texts) and max(sizes) - min(sizes) <= total / 8 / 50
+    assert [len(where[t]) for t in sorted(where, key=lambda t: -texts.count(t))] == [len(where[max(where, key=texts.count)]), *[1] * (len(where) - 1)]
+    for s in range(8):
+        own = [r.slot for r in got if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+
+
 def test_media(docs, none, spark):
     got = media.media_digest(media.store_texts(docs)).collect()
     want = sorted((i or 0, hashlib.sha256(b + b"\xff" * ((-len(b)) % 576 if b else 576)).hexdigest()) for i, b in ((i, (t or "").encode()) for i, t in odd_rows()))
     assert sorted((r.doc_id or 0, r.payload_sha256) for r in got) == want
+    plain = {(i, t or "") for i, t in odd_rows()}
+    by_payload = {}
+    for i, t in plain:
+        raw = t.encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        by_payload[hashlib.sha256(payload).hexdigest()] = (len(raw), len(payload), crc32(payload[-32:]), media.write_container(payload, keyframe_every=8), raw)
+    for r in got:
+        n, size, tail, file, raw = by_payload[r.payload_sha256]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (n, size, tail)
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+    assert len({(r.payload_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
     assert len({r.media_sha256 for r in got if r.doc_id in (3, 5, 9)}) == 1
     assert media.media_digest(media.store_texts(none)).count() == 0
     good = media.write_container(bytes(range(256)) * 18, keyframe_every=3)
@@ -404,44 +427,75 @@ def test_language(spark, none):
     assert all((by[k].lang_pred, by[k].score, by[k].rejected) == ("und", 0.0, True) for k in (1, 2, 3, 5))
     assert by[4].rejected and by[4].lang_pred in models.langs
     assert langid.identify(none, models).count() == 0 and langid.accepted(none, models).columns == none.columns
-    with pytest.raises(ValueError):
-        langid.train(none)
-
-
-def test_kneser_ney_sums_to_one():
-    counts = {"x": {"\x02ab": 3, "abc": 2, "bc\x03": 2, "ab\x03": 1, "\x02a": 3, "\x02b": 1, "\x02ba": 1, "ba\x03": 1}}
-    models = langid.fit(counts, 3)
-    letters = "abc\x03"
-    for start in ("", "a", "ab", "b"):
-        total = 0
-        for c in letters:
-            word = start + (c if c != "\x03" else "")
-            full = models.word_scores([word])[0, 0]
-            if c == "\x03":
-                total += np.exp(full - _prefix(models, start))
-            else:
-                total += np.exp(_prefix(models, word) - _prefix(models, start))
-        assert abs(total - 1) < 0.35  # the rest is for characters that were not seen
-
-
-def _prefix(models, s):
-    """Log probability of a word's first characters, without its end."""
-    out = 0.0
-    for n in range(1, len(s) + 1):
-        codes = "\x02" + s[:n]
-        p = models.uniform
-        for size in range(1, min(models.order, len(codes)) + 1):
-            at = np.array([len(codes) - 1])
-            c = np.array([ord(x) for x in codes], dtype=np.uint64)
-            if size > 1:
-                known, where = models.backs[size - 1].find(langid._gram_hash(c, at - 1, size - 1))
-                if known[0]:
-                    p *= models.backs[size - 1].values[where[0], 0]
-            found, where = models.probs[size - 1].find(langid._gram_hash(c, at, size))
-            if found[0]:
-                p = models.probs[size - 1].values[where[0], 0]
-        out += np.log(p)
-    return out
+    nothing = langid.train(none)
+    bare = langid.identify(table(spark, [(1, None), (2, ""), (3, "words")]), nothing).collect()
+    assert {(r.doc_id, r.lang_pred, r.score, r.rejected) for r in bare} == {(1, "und", 0.0, True), (2, "und", 0.0, True), (3, "und", 0.0, False)}
+    assert [r.doc_id for r in langid.accepted(table(spark, [(1, None), (3, "words")]), nothing).collect()] == [3]
+    assert langid.identify(none, langid.train(docs.withColumn("lang", F.lit(None).cast("string")))).count() == 0
+
+
+def test_languages_left_out_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for left_out in ("fr", "es"):
+        models = langid.train(docs.filter(F.col("lang") != left_out))
+        by = {r.own: r for r in langid.identify(docs, models).groupBy((F.col("lang") == left_out).alias("own")).agg(F.avg(F.col("rejected").cast("int")).alias("share"), F.count("*").alias("n")).collect()}
+        assert by[True].n > 100 and by[True].share >= 0.85 and by[False].share <= 0.01
+
+
+def test_junk_among_the_labelled_does_not_lift_the_bar(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
+    rnd = random.Random(8)
+    junk = [(10**6 + k, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)), "en") for k in range(30)]
+    models = langid.train(docs.unionByName(spark.createDataFrame(junk[:6], docs.schema)))
+    fresh = langid.identify(spark.createDataFrame(junk[6:], docs.schema), models).collect()
+    assert sum(r.rejected for r in fresh) >= 22
+    assert langid.identify(docs, models).filter("rejected").count() <= 2
+
+
+def brute_kneser_ney(words, order):
+    """Log probability of a word by the recursion of interpolated Kneser-Ney, on dictionaries."""
+    raw = Counter()
+    for w, n in words.items():
+        s = "\x02" + w + "\x03"
+        for i in range(1, len(s)):
+            raw[s[max(0, i - order + 1) : i + 1]] += n
+    level = {order: {g: n for g, n in raw.items() if len(g) == order}}
+    for size in range(order - 1, 0, -1):
+        level[size] = {g: len({h[0] for h in level[size + 1] if h[1:] == g}) + (raw[g] if len(g) == size else 0) for g in {h[1:] for h in level[size + 1]} | {g for g in raw if len(g) == size}}
+    letters = len({c for g in raw for c in g})
+
+    def p(context, c):
+        size = len(context) + 1
+        lower = 1 / (letters + 1) if not context else p(context[1:], c)
+        ones, twos = (sum(n == k for n in level[size].values()) for k in (1, 2))
+        d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        seen = {g[-1]: n for g, n in level[size].items() if g[:-1] == context}
+        total = sum(seen.values())
+        return lower if not total else max(seen.get(c, 0) - d, 0) / total + d * len(seen) / total * lower
+
+    def score(w):
+        s = "\x02" + w + "\x03"
+        return sum(np.log(p(s[max(0, i - order + 1) : i], s[i])) for i in range(1, len(s)))
+
+    return score
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    words = {"x": Counter({"abc": 3, "ab": 2, "abab": 1, "cab": 4, "b": 1, "bacca": 2}), "y": Counter({"bca": 2, "cc": 5, "abca": 1, "acbd": 3})}
+    rows = [(k * 100 + j, " ".join([w] * n), lang, 0) for k, (lang, own) in enumerate(words.items()) for j, (w, n) in enumerate(own.items())]
+    counts = {}
+    for r in langid.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string, n int"), 4).collect():
+        counts.setdefault(r.lang, {})[r.gram] = r.n
+    models = langid.fit(counts, 4)
+    letters = {c for own in counts.values() for g in own for c in g}
+    for k, lang in enumerate(models.langs):
+        other = Counter()
+        score = brute_kneser_ney(words[lang], 4)
+        if len({c for g in counts[lang] for c in g}) != len(letters):
+            continue  # the brute force counts its own language's letters alone
+        for w in ("abc", "ab", "b", "cabab", "zz", "acbd", "bbbb", "a"):
+            other[w] = models.word_scores([w])[0, k]
+            assert abs(other[w] - score(w)) < 1e-6 * len(w + "..")
 
 
 def test_toxicity(spark, none):
@@ -461,6 +515,46 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.score(docs.limit(5), toxicity.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def brute_ftrl(examples, alpha, beta, l1, l2):
+    z, n = Counter(), Counter()
+
+    def weight(i, free):
+        if abs(z[i]) <= (0 if free else l1):
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * (0 if free else l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for at, y, free in examples:
+        w = {i: weight(i, i == free) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in at:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    return lambda i, free: weight(i, i == free)
+
+
+def test_ftrl_against_dictionaries():
+    rnd = np.random.default_rng(3)
+    bits, options = 6, dict(alpha=0.7, beta=1.0, l1=0.4, l2=0.5)
+    model, examples = toxicity.Ftrl(bits, *options.values()), []
+    for _ in range(300):
+        at = np.append(np.unique(rnd.integers(0, 64, 6)), 1 << bits)
+        y = int(at[0] % 3 == 0)
+        model.learn(at, y)
+        examples.append((at.tolist(), y, 1 << bits))
+    want, found = brute_ftrl(examples, **options), model.weights(np.arange((1 << bits) + 1))
+    assert all(abs(want(i, 1 << bits) - found[i]) < 1e-9 for i in range((1 << bits) + 1)) and (found == 0).any()
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").collect()}
+    got = [(r.score, labels[r.doc_id]) for r in queries.op10_toxicity(spark, sf).filter("held_out").collect() if r.doc_id in labels]
+    good, bad = np.array([s for s, y in got if y == 0]), np.array([s for s, y in got if y == 1])
+    assert len(bad) >= 20 and len(good) >= 300
+    assert (bad[:, None] > good).mean() + 0.5 * (bad[:, None] == good).mean() > 0.9
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_is_what_its_sql_says(spark, duck, name):
     same(queries.queries()[name](spark, DATA), duck.execute(queries.oracle_sql()[name]))
@@ -479,5 +573,8 @@ def test_pipeline_stages(spark):
     assert decontam.contaminations(kept, spark.read.parquet(f"{DATA}/benchmark.parquet")).count() == 0
     want = groups_of([(r.doc_id, r.text) for r in rows])
     assert all(root == i for i, (_, root) in want.items())
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
     pieces = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in rows}
