@@ -41,10 +41,11 @@ def fingerprint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("persisted"))
 
 
-def keyed_delta(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
-    """direction (added, removed) and key of the keys that only one side has."""
-    b, a = before.select(*key).distinct(), after.select(*key).distinct()
-    return a.join(b, key, "left_anti").withColumn("direction", F.lit("added")).unionByName(b.join(a, key, "left_anti").withColumn("direction", F.lit("removed")))
+def keyed_delta(rows: DataFrame, key: list[str], before: Column, after: Column) -> DataFrame:
+    """direction (added, removed) and key of the keys that only one side has, in one aggregation; a
+    row is on a side if before or after says so."""
+    sides = rows.groupBy(*key).agg(F.max(before.cast("int")).alias("b"), F.max(after.cast("int")).alias("a")).filter("a <> b")
+    return sides.select(*key, F.when(F.col("a") == 1, "added").otherwise("removed").alias("direction"))
 
 
 def retained(delta: DataFrame, order: list[str], keep: int = 2000) -> tuple[DataFrame, DataFrame]:

@@ -8,45 +8,55 @@ from pyspark.sql import DataFrame
 _HUNK = "key long, hunk int, old_start int, old_lines int, new_start int, new_lines int"
 
 
-def hunks(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
-    """(old start, old lines, new start, new lines) of the runs that differ, from a shortest edit
-    script (E. Myers, 1986); starts count from 1."""
-    start = 0
-    while start < min(len(old), len(new)) and old[start] == new[start]:
-        start += 1
-    end = 0
-    while end < min(len(old), len(new)) - start and old[-1 - end] == new[-1 - end]:
-        end += 1
-    a, b = old[start : len(old) - end], new[start : len(new) - end]
-    reach, trail = {1: 0}, []
-    for d in range(len(a) + len(b) + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= len(a) and x - k >= len(b):
-                break
-        else:
+def _common(old: list[str], new: list[str]) -> list[int]:
+    """The length of the longest common subsequence of old and each prefix of new, by bit vectors: a
+    zero bit marks where it grows."""
+    where: dict[str, int] = {}
+    for j, line in enumerate(new):
+        where[line] = where.get(line, 0) | 1 << j
+    full = grown = (1 << len(new)) - 1
+    for line in old:
+        met = grown & where.get(line, 0)
+        grown = ((grown + met) | (grown - met)) & full
+    out = [0]
+    for bit in reversed(f"{grown:0{len(new)}b}" if new else ""):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def kept_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: old is halved, new is split where both halves' common
+    parts are longest together, so that memory is of the order of the lines."""
+    out, open_ = [], [(0, len(old), 0, len(new))]
+    while open_:
+        a, b, c, d = open_.pop()
+        while a < b and c < d and old[a] == new[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            at = next((j for j in range(c, d) if new[j] == old[a]), None)
+            out += [] if at is None else [(a, at)]
             continue
-        break
-    x, y, edits = len(a), len(b), []
-    for d in range(len(trail) - 1, 0, -1):
-        k, before = x - y, trail[d]
-        down = k == -d or (k != d and before[k - 1] < before[k + 1])
-        from_k = k + 1 if down else k - 1
-        px = before[from_k]
-        py = px - from_k
-        edits.append((px, py, down))
-        x, y = px, py
-    out: list[list[int]] = []
-    for px, py, down in reversed(edits):
-        if out and out[-1][0] + out[-1][1] == px and out[-1][2] + out[-1][3] == py:
-            out[-1][3 if down else 1] += 1
-        else:
-            out.append([px, int(not down), py, int(down)])
-    return [(start + p + 1, n, start + q + 1, m) for p, n, q, m in out]
+        mid = (a + b) // 2
+        ahead, behind = _common(old[a:mid], new[c:d]), _common(old[mid:b][::-1], new[c:d][::-1])
+        cut = max(range(d - c + 1), key=lambda j: ahead[j] + behind[d - c - j])
+        open_ += [(a, mid, c, c + cut), (mid, b, c + cut, d)]
+    return sorted(out)
+
+
+def hunks(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
+    """(old start, old lines, new start, new lines) of the runs that differ; starts count from 1."""
+    out, a, c = [], 0, 0
+    for i, j in [*kept_lines(old, new), (len(old), len(new))]:
+        if i > a or j > c:
+            out.append((a + 1, i - a, c + 1, j - c))
+        a, c = i + 1, j + 1
+    return out
 
 
 def line_diff(pairs: DataFrame) -> DataFrame:

@@ -1,19 +1,26 @@
-"""Import specifiers to files: ordered candidates, probed by one join."""
+"""Import specifiers to files: every file tells the names it can be imported by, and one join meets them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values, in the order in which they are tried.
-SUFFIXES = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", ".json", ".vue", ".svelte", ".astro", ".py", ".go", ".rs", ".html", ".css", ".scss")
-INDEXES = ("/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/__init__.py", "/mod.rs")
+# Extensions that are appended to a specifier, in the order in which they are tried.
+EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts", ".vue", ".svelte", ".astro", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".py", ".go", ".rs")
+# Extensions of files that are sources.
+SOURCE_EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".py", ".go", ".rs")
+# What an output's extension may stand for, in order.
+OUTPUT_TO_SOURCE = {".js": (".ts", ".tsx", ".js", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs"), ".jsx": (".tsx", ".jsx")}
+# Extensions of imports that are no sources.
+ASSETS = (".styl", ".json", ".json5", ".yaml", ".yml", ".toml", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".avif", ".ico", ".bmp", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".md", ".mdx", ".txt", ".csv", ".xml", ".wasm", ".glsl", ".frag", ".vert", ".graphql", ".gql")
+
+_TEXTS = "array<string>"
 
 
 def joined(folder: Column, specifier: Column) -> Column:
     """folder/specifier without . and .. segments; null if it leaves the root."""
     parts = F.filter(F.split(F.concat_ws("/", folder, specifier), "/"), lambda p: (p != "") & (p != "."))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(False).alias("out"))
+    start = F.struct(F.array().cast(_TEXTS).alias("path"), F.lit(False).alias("out"))
     step = F.aggregate(
         parts,
         start,
@@ -24,20 +31,89 @@ def joined(folder: Column, specifier: Column) -> Column:
     return F.when(~step["out"], F.array_join(step["path"], "/"))
 
 
-def resolved(imports: DataFrame, files: DataFrame, packages: list[str] = ()) -> DataFrame:
-    """Adds target and reason to imports (from_path, specifier).
+def _ends(text: Column, extensions: tuple[str, ...]) -> Column:
+    return text.rlike("(" + "|".join(e.replace(".", "[.]") for e in extensions) + ")$")
+
+
+def names_of(files: DataFrame) -> DataFrame:
+    """name, rank, lang and path: under which names a file is found, the best rank first.
+
+    A file is found by its path, by a path with the extension of its output, without its extension,
+    and by its folder if it is an index; for importers in one language (lang) also by the folder of a
+    package or module file, and of any file of the package.
+    """
+    path, folder = F.col("path"), F.regexp_replace("path", "/?[^/]*$", "")
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    row = lambda name, rank, lang=None: F.struct(name.alias("name"), F.lit(rank).alias("rank"), F.lit(lang).cast("string").alias("lang"))
+    cut = lambda e: F.expr(f"left(path, length(path) - {len(e)})")
+    names = [row(path, 0)]
+    for output, sources in OUTPUT_TO_SOURCE.items():
+        names += [F.when(path.endswith(e), row(F.concat(cut(e), F.lit(output)), 10 + k)) for k, e in enumerate(sources)]
+    for k, e in enumerate(EXTENSIONS):
+        names.append(F.when(path.endswith(e), row(cut(e), 100 + k)))
+        names.append(F.when(base == f"index{e}", row(folder, 200 + k)))
+        names.append(F.when(base == f"__init__{e}", row(folder, 300 + k, ".py")))
+        names.append(F.when(base == f"mod{e}", row(folder, 300 + k, ".rs")))
+    own = base == F.concat(F.regexp_extract(folder, "([^/]*)$", 1), F.lit(".go"))
+    names.append(F.when(F.lower(path).endswith(".go"), F.when(own, row(folder, 400, ".go")).otherwise(row(folder, 401, ".go"))))
+    return files.select("path", F.explode(F.array_compact(F.array(*names))).alias("n")).select("path", "n.*")
+
+
+def nearest_config(imports: DataFrame, configs: DataFrame) -> DataFrame:
+    """Adds base_url and aliases of the config in the deepest folder above from_path, of several there
+    the first by config_path. configs: config_path, folder ("" for the root), base_url, aliases
+    (pattern, targets). Null without any."""
+    folders = F.expr("transform(sequence(0, size(split(from_path, '/')) - 1), k -> array_join(slice(split(from_path, '/'), 1, k), '/'))")
+    above = imports.select("from_path").distinct().select("from_path", F.explode(folders).alias("folder"))
+    best = F.min_by(F.struct("base_url", "aliases"), F.struct(-F.length("folder"), F.col("config_path"))).alias("c")
+    found = above.join(configs, "folder").groupBy("from_path").agg(best)
+    return imports.join(found, "from_path", "left").select(*imports.columns, "c.base_url", "c.aliases")
+
+
+def alias_targets(specifier: Column, aliases: Column) -> Column:
+    """Paths that a specifier stands for: by the alias that equals it, or by that whose part before
+    the star is longest, the first of equals."""
+    prefix, suffix = (lambda a: F.substring_index(a["pattern"], "*", 1)), (lambda a: F.regexp_extract(a["pattern"], r"^[^*]*\*([\s\S]*)$", 1))
+    wild = F.filter(aliases, lambda a: a["pattern"].contains("*") & specifier.startswith(prefix(a)) & specifier.endswith(suffix(a)) & (F.length(specifier) >= F.length(prefix(a)) + F.length(suffix(a))))
+    best = F.array_sort(F.transform(wild, lambda a, k: F.struct((-F.length(prefix(a))).alias("n"), k.alias("k"), a.alias("a"))))
+    first = F.get(best, F.lit(0))["a"]
+    held = F.substring(specifier, F.length(prefix(first)) + 1, F.length(specifier) - F.length(prefix(first)) - F.length(suffix(first)))
+    star = F.transform(first["targets"], lambda t: F.when(t.contains("*"), F.concat(F.substring_index(t, "*", 1), held, F.regexp_extract(t, r"^[^*]*\*([\s\S]*)$", 1))).otherwise(t))
+    exact = F.get(F.filter(aliases, lambda a: ~a["pattern"].contains("*") & (a["pattern"] == specifier)), F.lit(0))["targets"]
+    return F.coalesce(exact, star, F.array().cast(_TEXTS))
+
+
+def resolved(imports: DataFrame, files: DataFrame, packages: list[str] = (), configs: DataFrame | None = None, workspaces: list[str] = (), builtins: list[str] = ()) -> DataFrame:
+    """Adds target, via_alias and reason to imports (from_path, specifier).
 
-    A relative specifier is tried with each suffix and as a folder with an index file; the first that
-    is a file wins. Other specifiers are a declared package or unknown. A target is never guessed:
-    what is not found keeps a null target and a reason.
+    A relative specifier, or one that names a source file, is sought from its folder, one with a
+    leading slash from the root, others through the aliases and the base of the nearest config. Of a
+    place's files that with the best rank of names_of wins. A target is never guessed: what is not
+    found keeps a null target and a reason: file-not-found, external-package, alias-not-configured
+    or non-source-asset. packages, workspaces and builtins are names of known packages.
     """
-    rows = imports.withColumn("_row", F.struct("from_path", "specifier"))
-    folder = F.regexp_replace(F.regexp_replace("from_path", "/?[^/]*$", ""), "^$", "")
-    relative = F.col("specifier").rlike(r"^\.\.?(/|$)")
-    wanted = rows.select("_row", joined(folder, F.col("specifier")).alias("base")).filter(F.col("_row.specifier").rlike(r"^\.\.?(/|$)")).distinct()
-    tails = F.array(*(F.lit(x) for x in (*SUFFIXES, *INDEXES)))
-    tried = wanted.filter("base IS NOT NULL").select("_row", "base", F.posexplode(tails).alias("rank", "tail")).select("_row", "rank", F.concat("base", "tail").alias("path"))
-    found = tried.join(files.select("path"), "path").groupBy("_row").agg(F.min_by("path", "rank").alias("target"))
-    package = F.regexp_extract("specifier", "^(@[^/]+/[^/]+|[^/]+)", 1)
-    reason = F.when(F.col("target").isNotNull(), F.lit(None)).when(F.col("specifier") == "", "empty").when(relative, "not-found").when(package.isin(list(packages)), "external").otherwise("unknown")
-    return rows.join(found, "_row", "left").withColumn("reason", reason).drop("_row")
+    rows = imports.select("*", F.struct("from_path", "specifier").alias("_row"), F.trim("specifier").alias("_s"))
+    if configs is None:
+        rows = rows.withColumn("base_url", F.lit(None).cast("string")).withColumn("aliases", F.lit(None).cast("array<struct<pattern:string,targets:array<string>>>"))
+    else:
+        rows = nearest_config(rows, configs)
+    s, folder = F.col("_s"), F.regexp_replace("from_path", "/?[^/]*$", "")
+    bare = F.lower(F.substring_index(s, "?", 1))
+    asset = _ends(bare, ASSETS)
+    relative = s.startswith("./") | s.startswith("../") | s.isin(".", "..") | (~s.startswith("/") & _ends(bare, SOURCE_EXTENSIONS))
+    rows = rows.withColumn("_aliased", F.when((s != "") & ~asset & ~relative & ~s.startswith("/"), F.coalesce(alias_targets(s, F.col("aliases")), F.array().cast(_TEXTS))))
+    alone = lambda path: F.array_compact(F.array(path))
+    bases = F.when((s == "") | asset, F.array().cast(_TEXTS)).when(relative, alone(joined(folder, s))).when(s.startswith("/"), alone(joined(F.lit(""), s)))
+    bases = bases.when(F.size("_aliased") > 0, F.col("_aliased")).when(F.col("base_url").isNotNull(), alone(joined(F.col("base_url"), s))).otherwise(F.array().cast(_TEXTS))
+    lang = F.lower(F.regexp_extract("from_path", r"(\.[^./]*)$", 1))
+    wanted = rows.select("_row", lang.alias("_lang"), F.posexplode(bases).alias("_k", "name")).distinct()
+    names = names_of(files.select("path"))
+    hits = wanted.join(names, "name").filter(F.col("lang").isNull() | (F.col("lang") == F.col("_lang")))
+    found = hits.groupBy("_row").agg(F.min_by("path", F.struct("_k", "rank", "path")).alias("target"))
+    package = F.regexp_extract(s, "^(@[^/]+/[^/]+|[^/]+)", 1)
+    known = s.startswith("node:") | package.isin(list(builtins)) | package.isin(list(packages)) | package.isin(list(workspaces))
+    aliaslike = s.startswith("~") | s.startswith("#") | (s.startswith("@") & (F.size(F.split(s, "/")) >= 3))
+    reason = F.when(asset, "non-source-asset").when((s == "") | relative | s.startswith("/") | (F.size("_aliased") > 0), "file-not-found").when(~known & aliaslike, "alias-not-configured").otherwise("external-package")
+    out = rows.join(found, "_row", "left")
+    via = F.col("target").isNotNull() & F.col("_aliased").isNotNull()
+    return out.select(*imports.columns, "target", via.alias("via_alias"), F.when(F.col("target").isNull(), reason).alias("reason"))

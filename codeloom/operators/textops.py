@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codeloom.functions.lines import lines_of, squeezed
 
@@ -13,13 +12,14 @@ def clone_groups(texts: DataFrame, key: str, size: int = 6) -> DataFrame:
     """Blocks of so many lines that occur twice or more, in normal form and without blank lines:
     block (SHA-256), occurrences, files, first_file and first_line.
 
-    Each window is a frame over the text's own lines; blocks meet by their digest, aggregated before
-    the shuffle, so a block that all texts share is no large group.
+    Windows are cut within a text's own row; only their digests travel, aggregated before the
+    shuffle, so a block that all texts share is no large group.
     """
-    kept = lines_of(texts, key).withColumn("line", squeezed(F.col("line"))).filter("line IS NOT NULL")
-    frame = Window.partitionBy(key).orderBy("line_no").rowsBetween(0, size - 1)
-    block = kept.withColumn("block", F.collect_list("line").over(frame)).filter(F.size("block") == size)
-    hashed = block.select(key, "line_no", F.sha2(F.array_join("block", "\n"), 256).alias("block"))
+    lines = F.transform(F.split("text", "\r?\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), squeezed(x).alias("line")))
+    kept = texts.select(key, F.filter(lines, lambda x: x["line"].isNotNull()).alias("kept"))
+    starts = kept.filter(F.size("kept") >= size).select(key, "kept", F.explode(F.sequence(F.lit(1), F.size("kept") - size + 1)).alias("at"))
+    window = F.slice("kept", F.col("at"), F.lit(size))
+    hashed = starts.select(key, window[0]["line_no"].alias("line_no"), F.sha2(F.array_join(F.transform(window, lambda x: x["line"]), "\n"), 256).alias("block"))
     per_file = hashed.groupBy("block", key).agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
     groups = per_file.groupBy("block").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.min(F.struct(key, "line_no")).alias("first")).filter("occurrences > 1")
     return groups.select("block", "occurrences", "files", F.col(f"first.{key}").alias("first_file"), F.col("first.line_no").alias("first_line"))
@@ -48,8 +48,11 @@ def search_all(files: DataFrame, folders: DataFrame, symbols: DataFrame, needle:
 
 
 def html_references(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, tag, target and n of the src and href attributes of scripts, images, frames, sources,
-    links and anchors."""
-    pattern = r"""(?i)<(script|img|iframe|source|link|a)\b[^>]*?\b(src|href)\s*=\s*["']([^"']*)["']"""
-    every = lambda group: F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    return pages.select(key, F.explode(F.arrays_zip(every(1).alias("tag"), every(3).alias("target"))).alias("r")).groupBy(key, F.lower("r.tag").alias("tag"), F.col("r.target").alias("target")).agg(F.count("*").alias("n"))
+    """key, tag, target and n of what pages depend on: src of scripts, images, frames and sources,
+    href of links. Values may stand in quotes of either kind or in none."""
+    value = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = []
+    for pattern in (rf"(?i)<(script|img|iframe|source)\b[^>]*?\ssrc{value}", rf"(?i)<(link)\b[^>]*?\shref{value}"):
+        found.append(F.arrays_zip(*(F.regexp_extract_all(html, F.lit(pattern), F.lit(k)).alias(c) for k, c in ((1, "tag"), (2, "target")))))
+    target = F.regexp_replace("r.target", """^["']|["']$""", "")
+    return pages.select(key, F.explode(F.concat(*found)).alias("r")).groupBy(key, F.lower("r.tag").alias("tag"), target.alias("target")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import ids, lines, patterns
-from codeloom.operators import findings, graph, linediff, metrics, resolve, review, rules, textops
+from codeloom.operators import findings, graph, linediff, metrics, ranges, resolve, review, rules, textops
 from codeloom.sources import projection as source
 from codeloom.streaming import changes
 from codeloom.tables import read
@@ -120,17 +120,17 @@ def _paths(found: DataFrame) -> DataFrame:
     return found.filter("depth > 0").select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(f"WITH {FILES}, {EDGES}, {DEPS}, {BACKWARD}, {_levels('be', ROOT, 2)} SELECT node, depth, array_to_string(path, '>') AS path FROM seen WHERE depth > 0")
+@query(f"WITH {FILES}, {EDGES}, {DEPS}, {BACKWARD}, {_levels('be', ROOT, 5)} SELECT node, depth, array_to_string(path, '>') AS path FROM seen WHERE depth > 0")
 def blast_dependents(spark, sf):
     return _paths(graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), MAX_DEPTH)[0])
 
 
-@query(f"WITH {FILES}, {EDGES}, {DEPS}, {FORWARD}, {_levels('fe', ROOT, 2)} SELECT node, depth, array_to_string(path, '>') AS path FROM seen WHERE depth > 0")
+@query(f"WITH {FILES}, {EDGES}, {DEPS}, {FORWARD}, {_levels('fe', ROOT, 5)} SELECT node, depth, array_to_string(path, '>') AS path FROM seen WHERE depth > 0")
 def blast_dependencies(spark, sf):
     return _paths(graph.shortest_paths(source.dependencies(spark, sf), _root(spark, sf), MAX_DEPTH)[0])
 
 
-@query(f"WITH {FILES}, {EDGES}, {DEPS}, {BACKWARD}, {_levels('be', ROOT, 2)} SELECT EXISTS (SELECT 1 FROM l1 JOIN be ON f = node WHERE t NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1)) AS truncated")
+@query(f"WITH {FILES}, {EDGES}, {DEPS}, {BACKWARD}, {_levels('be', ROOT, 5)} SELECT EXISTS (SELECT 1 FROM l5 JOIN be ON f = node WHERE t NOT IN (SELECT node FROM seen)) AS truncated")
 def blast_truncated(spark, sf):
     return graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), MAX_DEPTH)[1]
 
@@ -161,9 +161,9 @@ def _day_graph(spark, sf, kind: str | None = None):
 _DAYS = "deps AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL AND dst <> src)"
 
 
-@query("WITH deps AS (SELECT lead(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS dst, o_orderpriority AS kind FROM orders) SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT dst FROM deps WHERE kind = '1-URGENT' AND dst IS NOT NULL)")
+@query("WITH deps AS (SELECT lead(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS dst FROM orders) SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT dst FROM deps WHERE dst IS NOT NULL)")
 def inferred_entries(spark, sf):
-    """Nodes that no edge of any kind leads to, where none is named as an entry. The SQL knows one kind."""
+    """Nodes that no edge of any kind leads to, where none is named as an entry."""
     deps = _day_graph(spark, sf, "o_orderpriority")
     nodes = read(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
     return nodes.join(deps, nodes["node"] == deps["dst"], "left_anti")
@@ -221,7 +221,8 @@ def top_impact(spark, sf):
 @query(f"""WITH {TOUCHES} SELECT file, count(DISTINCT commit) AS commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions
 FROM touches WHERE day >= (SELECT max(day) FROM touches) - INTERVAL 90 DAY GROUP BY file ORDER BY commits DESC, file LIMIT 200""")
 def churn_90d(spark, sf):
-    return metrics.churn(source.touches(spark, sf))
+    commits = read(spark, sf, "orders").join(read(spark, sf, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    return metrics.churn(source.touches(spark, sf), days_of=commits.select(F.col("o_orderdate").alias("day")))
 
 
 @query(f"""WITH {TOUCHES}, mine AS (SELECT DISTINCT commit, day FROM touches WHERE file = 1 ORDER BY day DESC, commit DESC LIMIT 50)
@@ -436,7 +437,8 @@ def _sides(spark, sf):
 
 
 def _delta(spark, sf):
-    return findings.keyed_delta(*_sides(spark, sf), ["src", "dst", "edge_type"])
+    cut = F.lit("1998-07-01").cast("timestamp")
+    return findings.keyed_delta(source.edges(spark, sf), ["src", "dst", "edge_type"], F.col("day") < cut, F.col("day") >= cut)
 
 
 @query(f"WITH {_KEYED} SELECT src, dst, edge_type, direction FROM delta")
@@ -465,8 +467,8 @@ def edge_evidence(spark, sf):
 _CHANGE = "CASE weight WHEN 46 THEN 'added' WHEN 47 THEN 'deleted' WHEN 48 THEN 'modified' WHEN 49 THEN 'renamed' END"
 _IMPACT = f"""{FILES}, {EDGES}, {_SIDES}, chg AS (SELECT id AS node, {_CHANGE} AS change FROM files WHERE weight BETWEEN 46 AND 49),
 bb AS (SELECT DISTINCT dst AS f, src AS t FROM bef WHERE src <> dst), ab AS (SELECT DISTINCT dst AS f, src AS t FROM aft WHERE src <> dst),
-tb AS (WITH {_levels("bb", "SELECT node FROM chg WHERE change <> 'added'", 2)} SELECT *, 'baseline' AS side FROM seen WHERE depth > 0),
-ta AS (WITH {_levels("ab", "SELECT node FROM chg WHERE change <> 'deleted'", 2)} SELECT *, 'target' AS side FROM seen WHERE depth > 0),
+tb AS (WITH {_levels("bb", "SELECT node FROM chg WHERE change <> 'added'", 5)} SELECT *, 'baseline' AS side FROM seen WHERE depth > 0),
+ta AS (WITH {_levels("ab", "SELECT node FROM chg WHERE change <> 'deleted'", 5)} SELECT *, 'target' AS side FROM seen WHERE depth > 0),
 im AS (SELECT node, min((depth, CASE side WHEN 'target' THEN 0 ELSE 1 END, path)) AS b, array_to_string(list_sort(list(DISTINCT side)), '+') AS sides FROM (SELECT * FROM tb UNION ALL SELECT * FROM ta) GROUP BY node)"""
 
 
@@ -531,7 +533,7 @@ def quiet_bursts(spark, sf):
 @query(f"""WITH {FILES}, {EDGES}, i AS (SELECT DISTINCT a.path AS from_path, b.path AS t, CASE WHEN unresolved THEN concat('../../', b.kind, '/lost/', b.id) WHEN edge_type = 'dynamic-import' THEN b.name ELSE concat('../../', regexp_replace(b.path, '\\.ts$', '')) END AS specifier
 FROM edges JOIN files a ON a.id = src JOIN files b ON b.id = dst)
 SELECT from_path, specifier, CASE WHEN starts_with(specifier, '../') AND NOT contains(specifier, '/lost/') THEN t END AS target,
-       CASE WHEN contains(specifier, '/lost/') THEN 'not-found' WHEN NOT starts_with(specifier, '../') THEN CASE WHEN specifier = 'red widget' THEN 'external' ELSE 'unknown' END END AS reason
+       false AS via_alias, CASE WHEN contains(specifier, '/lost/') THEN 'file-not-found' WHEN NOT starts_with(specifier, '../') THEN 'external-package' END AS reason
 FROM (SELECT DISTINCT from_path, specifier, CASE WHEN starts_with(specifier, '../') AND NOT contains(specifier, '/lost/') THEN t END AS t FROM i)""")
 def resolved_imports(spark, sf):
     f = source.files(spark, sf)
@@ -542,17 +544,21 @@ def resolved_imports(spark, sf):
     return resolve.resolved(e.select("from_path", named.alias("specifier")).distinct(), f, ["red widget"])
 
 
-@query(r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(script|img|iframe|source|link|a)\b[^>]*?\b(src|href)\s*=\s*["'']([^"'']*)["'']', 3)) AS target,
-  unnest(regexp_extract_all(html, '(?i)<(script|img|iframe|source|link|a)\b[^>]*?\b(src|href)\s*=\s*["'']([^"'']*)["'']', 1)) AS tag FROM pages)
-SELECT page_id, lower(tag) AS tag, target, count(*) AS n FROM x GROUP BY ALL""")
+_VALUE = r"""\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+_REFERENCE = {"(script|img|iframe|source)": "src", "(link)": "href"}
+
+
+@query("WITH x AS (" + " UNION ALL ".join(rf"SELECT page_id, unnest(regexp_extract_all(html, '(?i)<{tags}\b[^>]*?\s{name}{_VALUE}', 2)) AS target, unnest(regexp_extract_all(html, '(?i)<{tags}\b[^>]*?\s{name}{_VALUE}', 1)) AS tag FROM pages" for tags, name in _REFERENCE.items()) + """)
+SELECT page_id, lower(tag) AS tag, regexp_replace(target, '^["'']|["'']$', '', 'g') AS target, count(*) AS n FROM x GROUP BY ALL""")
 def page_references(spark, sf):
-    """References of pages; anchors are told by their tag, as they are no dependency."""
+    """What pages depend on."""
     return textops.html_references(read(spark, sf, "pages"), "page_id", "html")
 
 
 @query()
 def line_diff(spark, sf):
     """Each document against the one before it from the same source."""
-    before = Window.partitionBy("source", "lang").orderBy("doc_id")
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.lag("text").over(before).alias("old_text"), F.col("text").alias("new_text"))
-    return linediff.line_diff(docs.filter("old_text IS NOT NULL"))
+    docs = read(spark, sf, "documents")
+    follows = ranges.with_previous(docs.select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"], "doc_id", "old_id").filter("old_id IS NOT NULL").select(F.col("doc_id").alias("key"), "old_id")
+    new, old = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("new_text")), docs.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old_text"))
+    return linediff.line_diff(follows.join(new, "key").join(old, "old_id").filter("old_text IS NOT NULL"))

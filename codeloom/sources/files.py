@@ -8,20 +8,38 @@ from pyspark.sql import functions as F
 from codeloom.functions.ids import package_of
 
 # Folders that are never listed.
-PRUNED = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "release", "vendor", "__pycache__", "target")
+PRUNED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "out", "vendor", ".turbo", ".cache", ".svelte-kit", ".nuxt")
 MAX_ANALYSED = 2 * 1024 * 1024
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def folders_below(spark: SparkSession, root: str, max_depth: int = 100) -> list[str]:
+    """The folder and those below it, by Hadoop's listing, without pruned ones, links and what is
+    deeper than max_depth. Files are not listed one by one."""
+    context = spark.sparkContext
+    path_of = context._jvm.org.apache.hadoop.fs.Path
+    files = path_of(root).getFileSystem(context._jsc.hadoopConfiguration())
+    found, open_ = [], [(path_of(root), 0)]
+    while open_:
+        folder, depth = open_.pop()
+        found.append(folder.toString())
+        below = [s for s in files.listStatus(folder) if s.isDirectory() and not s.isSymlink() and s.getPath().getName() not in PRUNED]
+        open_ += [(s.getPath(), depth + 1) for s in below if depth < max_depth]
+    return sorted(found)
+
+
+def read_tree(spark: SparkSession, root: str, max_depth: int = 100) -> DataFrame:
     """relative_path, modified_at, size_bytes, content of every file below a folder that Spark can
-    read, pruned folders left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    read. Pruned folders are not entered; the content of files too large to be analysed is null and
+    not read."""
+    places = folders_below(spark, root, max_depth)
+    every = spark.read.format("binaryFile").load(places)
+    large = every.filter(F.col("length") > MAX_ANALYSED).select("path", "modificationTime", "length").withColumn("content", F.lit(None).cast("binary"))
+    files = every.filter(F.col("length") <= MAX_ANALYSED).unionByName(large)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_extract("path", r"^[a-z]+:/*(.*)$", 1)
     relative = F.expr("substring(p, length(b) + 2)")
     named = files.withColumn("p", path).withColumn("b", F.lit(base)).withColumn("relative_path", relative)
-    pruned = F.arrays_overlap(F.split("relative_path", "/"), F.array(*(F.lit(x) for x in PRUNED)))
-    return named.filter(~pruned).select("relative_path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")
+    return named.select("relative_path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")
 
 
 def encoding_of(content: Column) -> Column:
@@ -59,21 +77,22 @@ def external_packages(specifiers: DataFrame, column: str = "specifier") -> DataF
     return bare.select(package_of(F.col(column)).alias("package")).distinct()
 
 
-def numstat(log: DataFrame, line: str = "value", at: str = "n") -> DataFrame:
-    """commit, day, path, additions, deletions of "git log --numstat --format=%H%x09%at" lines.
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """value, a commit's lines, of "git log --numstat --format=%x1e%H%x09%at" output: the record mark
+    lets Spark split a log between commits."""
+    return spark.read.option("lineSep", "\x1e").text(path).filter(F.trim("value") != "")
 
-    log: at, the line's number, and line. A header belongs to the lines after it; within one log
-    file, a commit's lines are numbered together. "-" counts as 0.
-    """
-    from pyspark.sql.window import Window
 
-    head = F.regexp_extract(line, r"^([0-9a-f]{7,40})\t(\d+)$", 1)
-    day = F.regexp_extract(line, r"^[0-9a-f]{7,40}\t(\d+)$", 1)
-    order = Window.partitionBy("file").orderBy(at)
-    tagged = log.withColumn("commit", F.last(F.when(head != "", head), True).over(order)).withColumn("day", F.timestamp_seconds(F.last(F.when(day != "", day), True).over(order).cast("long")))
+def numstat(log: DataFrame, record: str = "value") -> DataFrame:
+    """commit, day, path, additions, deletions of each file of each commit of read_log(). "-" counts as
+    0, a rename by its new path."""
+    lines = F.split(F.col(record), "\r?\n")
+    head = r"^([0-9a-f]{7,40})\t(\d+)$"
+    rows = log.select(F.regexp_extract(lines[0], head, 1).alias("commit"), F.timestamp_seconds(F.regexp_extract(lines[0], head, 2).try_cast("long")).alias("day"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
     row = r"^(\d+|-)\t(\d+|-)\t(.+)$"
-    number = lambda k: F.coalesce(F.regexp_extract(line, row, k).try_cast("long"), F.lit(0))
-    return tagged.filter(F.col(line).rlike(row)).select("commit", "day", F.regexp_extract(line, row, 3).alias("path"), number(1).alias("additions"), number(2).alias("deletions"))
+    number = lambda k: F.coalesce(F.regexp_extract("line", row, k).try_cast("long"), F.lit(0))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", row, 3), r"\{[^{}]* => ([^{}]*)\}", "$1"), r"^.* => ", "")
+    return rows.filter((F.col("commit") != "") & F.col("line").rlike(row)).select("commit", "day", F.regexp_replace(path, "//", "/").alias("path"), number(1).alias("additions"), number(2).alias("deletions"))
 
 
 def name_status(diff: DataFrame, line: str = "value") -> DataFrame:

@@ -11,11 +11,11 @@ from codeloom.streaming import changes
 
 
 def test_tree_and_classification(spark, tmp_path):
-    for name, data in {"src/a.ts": b"x\n", "src/b.bin": b"a\0b", "src/c.txt": b"\xff\xfea\0", "src/d.txt": b"\xef\xbb\xbfhi", "src/bad": b"\xc3(", "node_modules/x.ts": b"x"}.items():
+    for name, data in {"src/a.ts": b"x\n", "src/b.bin": b"a\0b", "src/c.txt": b"\xff\xfea\0", "src/d.txt": b"\xef\xbb\xbfhi", "src/bad": b"\xc3(", "node_modules/x.ts": b"x", "src/.nuxt/y.ts": b"y", "src/release/z.ts": b"z"}.items():
         os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {r.relative_path: (r.status, r.text) for r in files.classified(files.read_tree(spark, f"file://{tmp_path}")).collect()}
-    assert got == {"src/a.ts": ("eligible", "x\n"), "src/b.bin": ("binary", None), "src/c.txt": ("eligible", "a"), "src/d.txt": ("eligible", "hi"), "src/bad": ("binary", None)}
+    assert got == {"src/a.ts": ("eligible", "x\n"), "src/b.bin": ("binary", None), "src/c.txt": ("eligible", "a"), "src/d.txt": ("eligible", "hi"), "src/bad": ("binary", None), "src/release/z.ts": ("eligible", "z")}
 
 
 def test_manifests_and_specifiers(spark):
@@ -25,20 +25,44 @@ def test_manifests_and_specifiers(spark):
     assert {r.package for r in files.external_packages(sp).collect()} == {"@x/b", "a"}
 
 
-def test_git_output(spark):
-    log = ["abcdef1\t86400", "3\t1\ta.ts", "-\t-\tb.png", "abcdef2\t172800", "2\t0\ta.ts"]
-    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(log)], "file string, n int, value string")
-    got = sorted((r.commit, r.path, r.additions, r.deletions, r.day.day) for r in files.numstat(df).collect())
-    assert got == [("abcdef1", "a.ts", 3, 1, 2), ("abcdef1", "b.png", 0, 0, 2), ("abcdef2", "a.ts", 2, 0, 3)]
+def test_git_output(spark, tmp_path):
+    (tmp_path / "log").write_text("\x1eabcdef1\t86400\n\n3\t1\ta.ts\n-\t-\tb.png\n\x1eabcdef2\t172800\n\n2\t0\ta.ts\n1\t1\tsrc/{old => new}/c.ts\n0\t0\tx.ts => y.ts\n")
+    got = sorted((r.commit, r.path, r.additions, r.deletions, r.day.day) for r in files.numstat(files.read_log(spark, f"file://{tmp_path}/log")).collect())
+    assert got == [("abcdef1", "a.ts", 3, 1, 2), ("abcdef1", "b.png", 0, 0, 2), ("abcdef2", "a.ts", 2, 0, 3), ("abcdef2", "src/new/c.ts", 1, 1, 3), ("abcdef2", "y.ts", 0, 0, 3)]
     diff = spark.createDataFrame([("M\ta",), ("R096\tb\tc",), ("D\td",)], "value string")
     assert sorted(map(tuple, files.name_status(diff).na.fill("").collect())) == [("deleted", "d", ""), ("modified", "a", ""), ("renamed", "c", "b")]
 
 
+def targets(spark, paths, imports, **known):
+    files_ = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = spark.createDataFrame([i if isinstance(i, tuple) else ("src/m.ts", i) for i in imports], "from_path string, specifier string")
+    return {(r.from_path, r.specifier) if r.from_path != "src/m.ts" else r.specifier: (r.target or r.reason) for r in resolve.resolved(rows, files_, **known).collect()}
+
+
 def test_resolution_order(spark):
-    paths = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/a.js", "src/b/index.ts", "c.ts", "src/x")], "path string")
-    imports = spark.createDataFrame([("src/m.ts", s) for s in ("./a", "./b", "../c", "../../c", "./x", "./none", "lib/y", "zed", "")], "from_path string, specifier string")
-    got = {r.specifier: (r.target, r.reason) for r in resolve.resolved(imports, paths, ["lib"]).collect()}
-    assert got == {"./a": ("src/a.ts", None), "./b": ("src/b/index.ts", None), "../c": ("c.ts", None), "../../c": (None, "not-found"), "./x": ("src/x", None), "./none": (None, "not-found"), "lib/y": (None, "external"), "zed": (None, "unknown"), "": (None, "empty")}
+    paths = ("src/a.ts", "src/a.js", "src/b/index.ts", "c.ts", "src/x", "src/d.d.ts", "src/d.js", "src/e.d.ts", "src/f.ts", "src/g.tsx", "src/g.jsx", "src/h.js", "src/h.ts", "src/i.mts", "src/k/index.vue", "src/k/index.js", "page.htm", "src/style.less")
+    got = targets(spark, paths, ("./a", "./b", "../c", "../../c", "./x", "./none", "lib/y", "zed", "", "./d", "./e", "./f.js", "./g.js", "./g.jsx", "./h.js", "./i.mjs", "./k", "../page", "style.less", "./logo.SVG?url", "/c", "@app/db/x", "~/y", "@app/db", "node:fs"), packages=["lib"])
+    assert got == {
+        "./a": "src/a.ts", "./b": "src/b/index.ts", "../c": "c.ts", "../../c": "file-not-found", "./x": "src/x", "./none": "file-not-found", "lib/y": "external-package", "zed": "external-package", "": "file-not-found",
+        "./d": "src/d.js", "./e": "src/e.d.ts", "./f.js": "src/f.ts", "./g.js": "src/g.tsx", "./g.jsx": "src/g.jsx", "./h.js": "src/h.js", "./i.mjs": "src/i.mts", "./k": "src/k/index.js", "../page": "page.htm", "style.less": "src/style.less",
+        "./logo.SVG?url": "non-source-asset", "/c": "c.ts", "@app/db/x": "alias-not-configured", "~/y": "alias-not-configured", "@app/db": "external-package", "node:fs": "external-package",
+    }
+
+
+def test_packages_of_other_languages(spark):
+    paths = ("py/pkg/__init__.py", "rs/m/mod.rs", "go/util/b.go", "go/util/util.go", "go/two/z.go", "go/two/a.go", "index.ts")
+    got = targets(spark, paths, [("py/x.py", "./pkg"), ("py/x.ts", "./pkg"), ("rs/x.rs", "./m"), ("go/x.go", "./util"), ("go/x.go", "./two"), ("go/x.ts", "./two"), ("x.ts", ".")])
+    assert got == {("py/x.py", "./pkg"): "py/pkg/__init__.py", ("py/x.ts", "./pkg"): "file-not-found", ("rs/x.rs", "./m"): "rs/m/mod.rs", ("go/x.go", "./util"): "go/util/util.go", ("go/x.go", "./two"): "go/two/a.go", ("go/x.ts", "./two"): "file-not-found", ("x.ts", "."): "index.ts"}
+
+
+def test_aliases_of_the_nearest_config(spark):
+    configs = spark.createDataFrame(
+        [("tsconfig.json", "", None, [("@/*", ["lib/*"]), ("@/deep/*", ["gone/*", "deep/*"]), ("one", ["lib/a.ts"])]), ("app/tsconfig.json", "app", "app/src", [("@/*", ["app/own/*"])]), ("app/jsconfig.json", "app", "app/other", None)],
+        "config_path string, folder string, base_url string, aliases array<struct<pattern:string,targets:array<string>>>",
+    )
+    paths = ("lib/a.ts", "deep/b.ts", "app/own/a.ts", "app/other/c.ts", "app/src/d.ts")
+    got = targets(spark, paths, [("x.ts", "@/a"), ("x.ts", "@/deep/b"), ("x.ts", "one"), ("x.ts", "@/none"), ("x.ts", "c"), ("app/z/y.ts", "@/a"), ("app/z/y.ts", "c"), ("app/z/y.ts", "d")], configs=configs)
+    assert got == {("x.ts", "@/a"): "lib/a.ts", ("x.ts", "@/deep/b"): "deep/b.ts", ("x.ts", "one"): "lib/a.ts", ("x.ts", "@/none"): "file-not-found", ("x.ts", "c"): "external-package", ("app/z/y.ts", "@/a"): "external-package", ("app/z/y.ts", "c"): "app/other/c.ts", ("app/z/y.ts", "d"): "external-package"}
 
 
 def test_hunks_turn_old_into_new():
@@ -53,6 +77,12 @@ def test_hunks_turn_old_into_new():
             out += new[q - 1 : q - 1 + m]
             at = p - 1 + n
         assert out + old[at:] == new
+        kept = linediff.kept_lines(old, new)
+        best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+        for i, x in enumerate(old):
+            for j, y in enumerate(new):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(kept) == best[-1][-1] and all(old[i] == new[j] for i, j in kept)
     assert linediff.hunks(["a"], ["a"]) == [] and linediff.hunks(list("abc"), list("axc")) == [(2, 1, 2, 1)]
 
 
