@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_table, fields, mix, slices, stored, texts_of, window_hashes, word_hashes, word_spans
+from .common import arrow_table, fields, free_name, mix, slices, stored, texts_of, window_hashes, word_hashes, word_spans
 from .components import components
 
 #: Bands of so many rows. Of pairs at a similarity of 0.75 they miss 2 in 100,000, above it fewer.
@@ -18,11 +18,12 @@ AGREE = 63
 
 #: Up to so many nodes' ids are broadcast to fetch their texts.
 BROADCAST_NODES = 1_000_000
-#: Members of a block, on average.
-BLOCK = 256
+#: Members of a block, and shingles of their sets, on average.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
 _PAIR = "a long, b long"
+_CANDIDATES = "bucket long, lo long, hi long, node long, group long, others array<long>"
 
 
 def shingles(text: bytes, k: int = 5) -> np.ndarray:
@@ -153,7 +154,10 @@ class _Links:
                 self.texts = self.texts.unionByName(stored(texts_for(self.docs, more), "near-texts"))
         t = self.texts
         both = close.join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        found = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike(self.percent), fields(_PAIR)), "near-links")
+        self.add(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike(self.percent), fields(_PAIR)))
+
+    def add(self, links: DataFrame) -> None:
+        found = stored(links, "near-links")
         self.links = found if self.links is None else self.links.unionByName(found)
 
     def groups(self) -> DataFrame:
@@ -172,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     whose members are all in one group by then are done. What is left in more than one group is
     compared across groups by signatures, block by block, after leaving out nodes that so many
     shingles set apart from all other nodes left that no link is possible; so no link between
-    candidates is lost.
+    candidates is lost. Sets are of 64-bit hashes of shingles.
 
     Null or empty texts have no shingles and no links. Rows with a null doc_id are in no group and
     kept. Rows of one doc_id count as one document with the links of all of them. An empty table
@@ -185,16 +189,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     ours = classes.withColumnRenamed("node", "doc_id")
     nodes = stored(full.join(ours, ["n_shingles", "d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["node", "sig"]), "nodes")
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "bucket-sizes")
     members = stored(rows.join(sizes, "bucket"), "bucket-members")
     links = _Links(nodes.select("node", "sig"), texts, percent)
     live = members.withColumn("group", F.col("node"))
     for k in range(star_rounds):
         centre = live.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("n").alias("n_c"), F.col("group").alias("g_c")), F.xxhash64("node", "bucket", F.lit(k))).alias("c"))
-        star = live.join(centre, "bucket").filter(F.col("group") != F.col("c.g_c"))
+        star = live.join(stored(centre, "bucket-centres"), "bucket").filter(F.col("group") != F.col("c.g_c"))
         links.check(links.sign(star.select(F.col("node").alias("a"), F.col("c.c").alias("b"), F.col("n").alias("n_a"), F.col("c.n_c").alias("n_b"))))
         live = stored(_open_buckets(members.filter("members > 2"), links.groups()), "open-buckets")
-    links.check(_across(_possible(live, texts, percent), nodes, percent))
+    pool = _open_shingles(live, texts)
+    links.add(_across(_possible(live, pool, percent), nodes, pool, percent))
     groups = links.groups()
     found = classes.join(groups, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     # where rows of one doc_id differ, the least group of them holds for all
@@ -207,7 +212,7 @@ def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of buckets that are not in one group yet, with their groups."""
     known = members.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     several = known.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("bucket")
-    return known.join(several, "bucket", "left_semi")
+    return known.join(stored(several, "still-open"), "bucket", "left_semi")
 
 
 def texts_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,49 +222,101 @@ def texts_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text")
 
 
-def _across(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of nodes of different groups that share a bucket and whose signatures agree.
+def _across(left: DataFrame, nodes: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Links a < b that unite nodes of different groups that share a bucket and whose full sets are
+    alike; of links within two blocks only as many as unite the same nodes.
 
-    A bucket's members are dealt to blocks of about BLOCK, and pairs of blocks are compared; a pair
-    is told where the two first share a bucket. shared bounds what a node can have in common.
+    A bucket's members are dealt to blocks of about BLOCK members or BLOCK_SHINGLES shingles, and
+    each pair of blocks is a group of rows of its own, so that a task holds two blocks at a time.
+    Signatures are compared first; a pair is told where the two first share a bucket. Only for nodes
+    that are then still in a pair are the full sets fetched, again by pairs of blocks. pool has the
+    nodes' shingles; shared bounds what a node can have in common.
     """
-    packed = F.struct("node", "n", "group", "shared", "sig", "bands")
-    dealt = left.select("bucket", "node", "n", "group", "shared", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block"))
-    blocks = dealt.join(nodes.select("node", "sig", "bands"), "node").groupBy("bucket", "block").agg(F.collect_list(packed).alias("m"))
-    blocks = stored(blocks, "blocks")
-
-    def compare(batches):
+    blocks = left.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = left.join(stored(blocks, "block-numbers"), "bucket").select("bucket", "node", "n", "group", "shared", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    dealt = stored(dealt.join(nodes.select("node", "sig", "bands"), "node"), "dealt-nodes")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    key = ["bucket", "lo", "hi"]
+    by_pair = dealt.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+
+    def candidates(batches):
+        batch_of = arrow_table(_CANDIDATES)
+        for (bucket, lo, hi), columns in _groups(batches, key, ["node", "n", "group", "shared", "block", "sig", "bands"]):
+            node, n, group, shared, block = (np.array(c, dtype=np.int64) for c in columns[:5])
+            sig, bands = np.frombuffer(b"".join(columns[5]), dtype="<u4").reshape(len(node), -1), np.array(columns[6], dtype=np.int64)
+            pairs: dict[int, list[int]] = {}
+            for i in np.flatnonzero(block == lo).tolist():
+                most = np.minimum(shared[i], shared)
+                can = (block == hi) & (group != group[i]) & (100 * most >= percent * (n[i] + n - most)) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n))
+                if lo == hi:
+                    can &= node > node[i]
+                at = np.flatnonzero(can)
+                at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]
+                if len(at):
+                    first = bands[i][(bands[at] == bands[i]).argmax(axis=1)]
+                    at = at[first == bucket]
+                if len(at):
+                    pairs[i] = node[at].tolist()
+            met = {x for others in pairs.values() for x in others}
+            rows = [(bucket, lo, hi, int(node[i]), int(group[i]), pairs.get(i, [])) for i in range(len(node)) if i in pairs or node[i] in met]
+            for at in range(0, len(rows), 1000):
+                yield batch_of([list(c) for c in zip(*rows[at : at + 1000])])
+
+    found = by_pair.repartition(*key).sortWithinPartitions(*key).mapInArrow(candidates, fields(_CANDIDATES))
+    asked = stored(found, "block-pairs")
+    sets = stored(pool.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("set")), "open-sets")
+
+    def unite(batches):
         batch_of = arrow_table(_PAIR)
-
-        def columns(m):
-            node, n, group, shared = (np.array([x[c] for x in m], dtype=np.int64) for c in ("node", "n", "group", "shared"))
-            return node, n, group, shared, np.frombuffer(b"".join(x["sig"] for x in m), dtype="<u4").reshape(len(m), -1), np.array([x["bands"] for x in m], dtype=np.int64)
-
-        for b in batches:
-            for bucket, same_block, m1, m2 in zip(*(b.column(c).to_pylist() for c in ("bucket", "same", "m", "m2"))):
-                x, y = columns(m1), columns(m2)
-                out: list[tuple] = []
-                for i in range(len(x[0])):
-                    most = np.minimum(x[3][i], y[3])
-                    can = (y[2] != x[2][i]) & (100 * most >= percent * (x[1][i] + y[1] - most)) & (100 * np.minimum(x[1][i], y[1]) >= percent * np.maximum(x[1][i], y[1]))
-                    if same_block:
-                        can &= y[0] > x[0][i]
-                    at = np.flatnonzero(can)
-                    at = at[(y[4][at] == x[4][i]).sum(axis=1) >= AGREE]
-                    if len(at):
-                        first = x[5][i][(y[5][at] == x[5][i]).argmax(axis=1)]
-                        out += [(min(x[0][i], o), max(x[0][i], o)) for o in y[0][at[first == bucket]].tolist()]
-                if out:
-                    yield batch_of([list(z) for z in zip(*out)])
-
-    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("m").alias("m2"))
-    pairs = blocks.join(other, "bucket").filter("block <= block2").select("bucket", (F.col("block") == F.col("block2")).alias("same"), "m", "m2")
-    return pairs.mapInArrow(compare, fields(_PAIR)).distinct()
-
-
-def _possible(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Adds shared, the number of a node's shingles that occur in another node of any open bucket,
-    and leaves out nodes that can have no link: shared shingles are all that two can have in common."""
+        for _, (node, group, others, shingle) in _groups(batches, key, ["node", "group", "others", "set"]):
+            own, top = {x: np.array(v, dtype=np.int64) for x, v in zip(node, shingle)}, dict(zip(node, group))
+            up: dict[int, int] = {}
+
+            def root(x, up=up):
+                while up.setdefault(x, x) != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            links = []
+            for x, ys in zip(node, others):
+                for y in ys:
+                    a, b = root(top[x]), root(top[y])
+                    if a != b:
+                        both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                        if both and 100 * both >= percent * (len(own[x]) + len(own[y]) - both):
+                            up[max(a, b)] = min(a, b)
+                            links.append((min(x, y), max(x, y)))
+            if links:
+                yield batch_of([list(c) for c in zip(*links)])
+
+    full = asked.join(sets, "node")
+    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(unite, fields(_PAIR))
+
+
+def _groups(batches, key: list[str], columns: list[str]):
+    """(key, columns) of each run of rows that have the same key, as lists."""
+    last, kept = None, [[] for _ in columns]
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in key)))
+        values = [b.column(c).to_pylist() for c in columns]
+        at = 0
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != last:
+                if last is not None:
+                    yield last, kept
+                last, kept = keys[at], [[] for _ in columns]
+            for have, more in zip(kept, values):
+                have += more[at:end]
+            at = end
+    if last is not None:
+        yield last, kept
+
+
+def _open_shingles(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and shingle (a hash) of all nodes of open buckets."""
     schema = "node long, shingle long"
 
     def run(batches):
@@ -270,14 +327,24 @@ def _possible(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield batch_of([np.full(len(s), node), s])
 
     nodes = live.select("node").distinct()
-    pool = stored(texts_for(texts, stored(nodes, "open-nodes")).mapInArrow(run, fields(schema)).distinct(), "open-shingles")
-    common = pool.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    return stored(texts_for(texts, stored(nodes, "open-nodes")).mapInArrow(run, fields(schema)).distinct(), "open-shingles")
+
+
+def _possible(live: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Adds shared, the number of a node's shingles that occur in another node of any open bucket,
+    and leaves out nodes that can have no link: shared shingles are all that two can have in common."""
+    common = stored(pool.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle"), "common-shingles")
     shared = pool.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-    return live.join(shared, "node").filter(100 * F.col("shared") >= percent * F.col("n"))
+    return live.join(stored(shared, "shared-shingles"), "node").filter(100 * F.col("shared") >= percent * F.col("n"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that are near-duplicates of one with a smaller doc_id, their
-    columns unchanged."""
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    columns unchanged.
+
+    Rows of one doc_id stay or go together, whatever their texts; those without a doc_id, a text or a
+    word stay. An empty table gives an empty one. Further columns may have any names.
+    """
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
