@@ -89,6 +89,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     firsts = stored(one, "super-kmer-heads")
     kmers = firsts.select("doc_id", "th", F.explode(F.arrays_zip("minis", "starts", "sizes")).alias("k")).select("doc_id", "th", F.col("k.minis").alias("mini"), F.col("k.starts").alias("start"), F.col("k.sizes").alias("size"))
     shared = kmers.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("mini", (F.col("n") > HOT).alias("hot"))
+    shared = stored(shared, "shared-minimisers")  # as a table it lets a skewed join be split
     wanted = kmers.join(shared, "mini").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "mini", "hot")).alias("wanted"))
 
     def send(batches):
@@ -148,6 +149,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     cold = sent.filter(~F.col("hot")).select("mini", "doc_id", "th", "start", "packed").repartition("mini").sortWithinPartitions("mini", "doc_id", "start").mapInArrow(bucket, fields(_RUNS))
     alone = sent.filter("hot").select(F.col("packed").alias("digest"), "doc_id", "th", "start")
     least = alone.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    least = stored(least, "hot-windows")
     split = alone.join(least, "digest").filter("least < doc_id").select("doc_id", "th", "start", F.lit(1).cast("long").alias("n"))
     runs = cold.unionByName(split).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     marks = firsts.select("doc_id", "th").join(runs, ["doc_id", "th"], "left").select("doc_id", "th", F.coalesce("runs", F.array().cast("array<struct<start:bigint,n:bigint>>")).alias("runs"))
