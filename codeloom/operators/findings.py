@@ -60,3 +60,17 @@ def page(rows: DataFrame, order: list[str], offset: int, size: int = 100) -> Dat
     if offset < 0 or not 1 <= size <= 500:
         raise ValueError("offset must not be negative, and size from 1 to 500")
     return rows.orderBy(*order).offset(offset).limit(size)
+
+
+def in_scope(findings: DataFrame, scope: str, value: str | None = None) -> DataFrame:
+    """Findings of a report's scope: the project, a part of a related file's path, a related symbol, or
+    a type of finding. related: the node addresses that a finding is about."""
+    if scope == "project":
+        return findings
+    if scope == "file":
+        return findings.filter(F.exists("related", lambda n: n.startswith("file:") & n.contains(value)))
+    if scope == "symbol":
+        return findings.filter(F.array_contains("related", value))
+    if scope == "type":
+        return findings.filter(F.col("finding_type") == value)
+    raise ValueError(f"no scope {scope}")

@@ -104,7 +104,7 @@ def resolved(imports: DataFrame, files: DataFrame, packages: list[str] = (), con
     rows = rows.withColumn("_aliased", F.when((s != "") & ~asset & ~relative & ~s.startswith("/"), F.coalesce(alias_targets(s, F.col("aliases")), F.array().cast(_TEXTS))))
     alone = lambda path: F.array_compact(F.array(path))
     bases = F.when((s == "") | asset, F.array().cast(_TEXTS)).when(relative, alone(joined(folder, s))).when(s.startswith("/"), alone(joined(F.lit(""), s)))
-    bases = bases.when(F.size("_aliased") > 0, F.col("_aliased")).when(F.col("base_url").isNotNull(), alone(joined(F.col("base_url"), s))).otherwise(F.array().cast(_TEXTS))
+    bases = bases.when(F.size("_aliased") > 0, F.array_compact(F.transform("_aliased", lambda t: joined(F.lit(""), t)))).when(F.col("base_url").isNotNull(), alone(joined(F.col("base_url"), s))).otherwise(F.array().cast(_TEXTS))
     lang = F.lower(F.regexp_extract("from_path", r"(\.[^./]*)$", 1))
     wanted = rows.select("_row", lang.alias("_lang"), F.posexplode(bases).alias("_k", "name")).distinct()
     names = names_of(files.select("path"))

@@ -2,6 +2,7 @@ import pytest
 from conftest import DATA, same
 
 import __spark_entry__
+from codeloom.plans import more  # noqa: F401
 from codeloom.plans import queries as plans
 
 

@@ -57,7 +57,7 @@ def test_packages_of_other_languages(spark):
 
 def test_aliases_of_the_nearest_config(spark):
     configs = spark.createDataFrame(
-        [("tsconfig.json", "", None, [("@/*", ["lib/*"]), ("@/deep/*", ["gone/*", "deep/*"]), ("one", ["lib/a.ts"])]), ("app/tsconfig.json", "app", "app/src", [("@/*", ["app/own/*"])]), ("app/jsconfig.json", "app", "app/other", None)],
+        [("tsconfig.json", "", None, [("@/*", ["src/../lib/*"]), ("@/deep/*", ["gone/*", "deep/*"]), ("one", ["lib/a.ts"])]), ("app/tsconfig.json", "app", "app/src", [("@/*", ["app/own/*"])]), ("app/jsconfig.json", "app", "app/other", None)],
         "config_path string, folder string, base_url string, aliases array<struct<pattern:string,targets:array<string>>>",
     )
     paths = ("lib/a.ts", "deep/b.ts", "app/own/a.ts", "app/other/c.ts", "app/src/d.ts")
