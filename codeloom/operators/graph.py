@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloom.tables import stored
 
+#: Edges that one task may search, counted first; some 200 MB.
+TASK_EDGES = 500_000
+#: Bits of reached targets that one task holds at a time.
+BLOCK_BITS = 1 << 30
+
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def shortest_paths(edges: DataFrame, roots: DataFrame, max_depth: int, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first search, one join a level: node, depth, path (an array from the root).
 
     roots has a column node. Of a node's shortest paths the one that sorts first is kept, over all
-    roots. The second result is a row with truncated, whether an edge leads from the last level to
-    a node that was not seen.
+    roots. With by, a column of edges and roots, graphs are searched side by side. The second result
+    is a row with truncated, whether an edge leads from the last level to a node that was not seen.
     """
-    edges = stored(edges, "bfs-edges")
-    seen = stored(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "bfs")
+    own = [by] if by else []
+    edges = stored(edges.select(*own, "src", "dst"), "bfs-edges")
+    seen = stored(roots.select(*own, "node").distinct().select(*own, "node", F.lit(0).alias("depth"), F.array("node").alias("path")), "bfs")
     frontier, truncated = seen, F.lit(False)
     for depth in range(1, max_depth + 2):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy("dst").agg(F.min("path").alias("before"))
-        new = step.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        step = frontier.withColumnRenamed("node", "src").join(edges, [*own, "src"]).groupBy(*own, "dst").agg(F.min("path").alias("before"))
+        new = step.join(seen.select(*own, F.col("node").alias("dst")), [*own, "dst"], "left_anti")
         if depth > max_depth:
             truncated = F.lit(not new.isEmpty())
             break
-        frontier = stored(new.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("before", F.array("dst")).alias("path")), "bfs")
+        frontier = stored(new.select(*own, F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("before", F.array("dst")).alias("path")), "bfs")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -57,61 +67,203 @@ def _least_upstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         colours = new.select("node", "colour")
 
 
+def _shortened(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The edges without nodes that no cycle can run through, and with chains made shorter; and the
+    nodes v that were taken out of a chain, with their only neighbours p -> v -> w.
+
+    Nodes without an edge in or out go. Of nodes with one edge in and one out those go that have a
+    lesser hash than such neighbours, a third of a chain; p -> w takes their place.
+    """
+    ins = edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("n_in"), F.min("src").alias("p"))
+    outs = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("n_out"), F.min("dst").alias("w"))
+    nodes = stored(ins.join(outs, "v"), "scc-nodes")
+    chain = nodes.filter("n_in = 1 AND n_out = 1").select("v", "p", "w", F.xxhash64("v", F.lit(turn)).alias("h"))
+    near = lambda end: chain.select(F.col("v").alias(end), F.col("h").alias(f"h_{end}"))
+    least = chain.join(near("p"), "p", "left").join(near("w"), "w", "left").filter("(h_p IS NULL OR h < h_p) AND (h_w IS NULL OR h < h_w)")
+    taken = stored(least.select("v", "p", "w"), "scc-chain")
+    left = nodes.select("v").join(taken, "v", "left_anti")
+    kept = edges.join(left.withColumnRenamed("v", "src"), "src", "left_semi").join(left.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
+    bridges = taken.filter("p <> w").select(F.col("p").alias("src"), F.col("w").alias("dst"))
+    return stored(kept.union(bridges).distinct(), "scc-edges"), taken
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """node and component of a graph of at most TASK_EDGES edges, by depth-first search."""
+    kind = edges.schema["src"].dataType
+    schema = StructType([StructField("node", kind), StructField("component", kind)])
+
+    def run(batches):
+        out: dict = {}
+        for b in batches:
+            for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+                out.setdefault(x, []).append(y)
+        number, low, stack, on, found = {}, {}, [], set(), []
+        for start in out:
+            if start in number:
+                continue
+            work = [(start, iter(out[start]))]
+            number[start] = low[start] = len(number)
+            stack.append(start)
+            on.add(start)
+            while work:
+                x, rest = work[-1]
+                y = next(rest, None)
+                if y is None:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[x])
+                    if low[x] == number[x]:
+                        part = []
+                        while not part or part[-1] != x:
+                            part.append(stack.pop())
+                            on.discard(part[-1])
+                        if len(part) > 1:
+                            first = min(part)
+                            found += [(v, first) for v in part]
+                elif y not in number:
+                    number[y] = low[y] = len(number)
+                    stack.append(y)
+                    on.add(y)
+                    work.append((y, iter(out.get(y, ()))))
+                elif y in on:
+                    low[x] = min(low[x], number[y])
+        for at in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_pydict({"node": [v for v, _ in found[at : at + 10_000]], "component": [c for _, c in found[at : at + 10_000]]}, schema=to_arrow_schema(schema))
+
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, schema)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node in a strong component of two nodes or more.
 
-    Nodes without an incoming or an outgoing edge are cut off first, round by round. Then all nodes
-    take the colour of the least node upstream; those that in turn reach that node within their
-    colour are its component. They leave, and edges between colours with them, until none is left.
+    While there are more than TASK_EDGES edges, nodes that no cycle can run through are cut off and
+    chains are shortened; where that no longer helps, all nodes take the colour of the least node
+    upstream, and those that in turn reach that node within their colour are its component, which
+    leaves. What is left, by then a counted number of edges, is searched in one task. Nodes taken
+    out of chains then join the component of their neighbours, if both have the same.
     """
-    left = stored(edges.filter("src <> dst").distinct(), "scc-edges")
-    found = None
-    while True:
-        while True:  # trimming
-            size = left.count()
-            ends = left.select(F.col("src").alias("node")).intersect(left.select("dst")).withColumnRenamed("node", "n")
-            kept = left.join(ends, left["src"] == ends["n"], "left_semi").join(ends, left["dst"] == ends["n"], "left_semi")
-            left = stored(kept, "scc-edges")
-            if left.count() == size:
-                break
-        if not size:
-            break
-        nodes = left.select(F.col("src").alias("node")).distinct()
+    left = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "scc-edges")
+    parts, cuts = [], []
+    size = left.count()
+    while size > TASK_EDGES:
+        shorter, taken = _shortened(left, len(cuts))
+        cuts.append(taken)
+        before, left, size = size, shorter, shorter.count()
+        if size <= 0.9 * before or size <= TASK_EDGES:
+            continue
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colours = _least_upstream(left, nodes)
-        same = stored(left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").filter("a = b").select("src", "dst", "a"), "scc-coloured")
-        core = reachable(reversed_edges(same), nodes.join(colours.filter("node = colour").select("node"), "node", "left_semi"))
+        same = stored(left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").filter("a = b").select("src", "dst"), "scc-coloured")
+        core = reachable(reversed_edges(same), colours.filter("node = colour").select("node"))
         members = stored(core.join(colours, "node").select("node", F.col("colour").alias("component")), "scc")
-        found = members if found is None else found.unionByName(members)
+        parts.append(members)
         done = members.select(F.col("node").alias("n"))
-        left = stored(same.join(done, same["src"] == done["n"], "left_anti").join(done, same["dst"] == done["n"], "left_anti").select("src", "dst"), "scc-edges")
-    if found is None:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
-    big = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    return found.join(big, "component", "left_semi").select("node", "component")
+        left = stored(same.join(done, same["src"] == done["n"], "left_anti").join(done, same["dst"] == done["n"], "left_anti"), "scc-edges")
+        size = left.count()
+    found = _in_one_task(left)
+    for members in parts:
+        found = found.unionByName(members)
+    for taken in reversed(cuts):
+        found = stored(found, "scc")
+        label = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))  # noqa: B023, E731
+        both = taken.join(label("p"), "p", "left").join(label("w"), "w", "left").withColumn("component", F.coalesce("c_p", "p"))
+        inside = both.filter(F.col("component") == F.coalesce("c_w", "w"))
+        found = found.union(inside.select("v", "component")).union(inside.filter("c_p IS NULL").select("p", "component")).distinct()
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    return found.join(sizes, "component").select("node", F.col("least").alias("component"))
+
+
+def _counts_below(dag: DataFrame, sizes: DataFrame) -> DataFrame:
+    """home and below, the sizes of all that it reaches, of a graph of at most TASK_EDGES edges without
+    a cycle. Sets are bits; tasks take one block of target nodes each, which bounds their memory."""
+    spark, kind = dag.sparkSession, dag.schema["x"].dataType
+    ends = dag.select(F.col("x").alias("home")).union(dag.select("y")).distinct()
+    table, weights = dag.select("x", "y").toArrow(), sizes.join(ends, "home", "left_semi").toArrow()  # at most TASK_EDGES rows, and twice that
+    names = weights.column("home").to_pylist()
+    place = {h: i for i, h in enumerate(names)}
+    bits = np.cumsum([0, *weights.column("size").to_pylist()])
+    below: list[list[int]] = [[] for _ in names]
+    for x, y in zip(table.column("x").to_pylist(), table.column("y").to_pylist()):
+        below[place[x]].append(place[y])
+    above = [0] * len(names)
+    for ys in below:
+        for y in ys:
+            above[y] += 1
+    order = [i for i, n in enumerate(above) if n == 0]
+    for i in order:
+        for y in below[i]:
+            above[y] -= 1
+            if above[y] == 0:
+                order.append(y)
+    width = max(64, BLOCK_BITS // max(1, len(names)))
+    shared = spark.sparkContext.broadcast((names, bits, below, order))
+    schema = StructType([StructField("home", kind), StructField("below", LongType())])
+
+    def run(batches):
+        names, bits, below, order = shared.value
+        for b in batches:
+            for block in b.column("id").to_pylist():
+                lo, hi = block * width, (block + 1) * width
+                own = [(1 << int(min(e, hi) - lo)) - (1 << int(max(s, lo) - lo)) if s < hi and e > lo else 0 for s, e in zip(bits[:-1], bits[1:])]
+                sets = [0] * len(names)
+                for i in reversed(order):
+                    for y in below[i]:
+                        sets[i] |= sets[y] | own[y]
+                yield pa.RecordBatch.from_pydict({"home": names, "below": [x.bit_count() for x in sets]}, schema=to_arrow_schema(schema))
+
+    blocks = -(-int(bits[-1]) // width)
+    return spark.range(0, max(1, blocks), 1, max(1, min(blocks, 1000))).mapInArrow(run, schema).groupBy("home").agg(F.sum("below").alias("below"))
 
 
 def reach_counts(edges: DataFrame) -> DataFrame:
     """node and reached, how many other nodes it reaches, for every node of an edge.
 
-    Strong components are drawn together first. The closure is then taken of the graph between
-    them, which has no cycle and is as a rule far smaller.
+    Strong components are drawn together first. Of the graph between them, which has no cycle, the
+    closure is counted in blocks of targets where it has at most TASK_EDGES edges; beyond that it is
+    made level by level.
     """
+    edges = stored(edges.select("src", "dst"), "reach-edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     parts = strong_components(edges)
     home = stored(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("home")), "homes")
     sizes = stored(home.groupBy("home").agg(F.count("*").alias("size")), "home-sizes")
     a, b = home.select(F.col("node").alias("src"), F.col("home").alias("x")), home.select(F.col("node").alias("dst"), F.col("home").alias("y"))
     dag = stored(edges.join(a, "src").join(b, "dst").filter("x <> y").select("x", "y").distinct(), "dag")
-    closure = new = stored(dag, "closure")
-    while not new.isEmpty():
-        step = new.join(dag.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")).distinct()
-        new = stored(step.join(closure, ["x", "y"], "left_anti"), "closure")
-        closure = closure.unionByName(new)
-    below = closure.join(sizes.withColumnRenamed("home", "y"), "y").groupBy("x").agg(F.sum("size").alias("below"))
-    counts = sizes.join(below, sizes["home"] == below["x"], "left").select("home", (F.col("size") - 1 + F.coalesce("below", F.lit(0))).alias("reached"))
+    if dag.count() <= TASK_EDGES:
+        below = _counts_below(dag, sizes)
+    else:
+        closure = new = dag
+        while not new.isEmpty():
+            step = new.join(dag.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")).distinct()
+            new = stored(step.join(closure, ["x", "y"], "left_anti"), "closure")
+            closure = closure.unionByName(new)
+        below = closure.join(sizes.withColumnRenamed("home", "y"), "y").groupBy(F.col("x").alias("home")).agg(F.sum("size").alias("below"))
+    counts = sizes.join(below, "home", "left").select("home", (F.col("size") - 1 + F.coalesce("below", F.lit(0))).alias("reached"))
     return home.join(counts, "home").select("node", "reached")
 
 
+def representative_cycle(edges: DataFrame, parts: DataFrame, max_length: int = 10_000) -> DataFrame:
+    """component, length and path of a shortest cycle through the least node of each strong component,
+    of equals the one that sorts first. parts: node and component of strong_components().
+
+    All components are searched side by side, a join a level within their own edges.
+    """
+    home = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    inner = stored(edges.join(home("src"), "src").join(home("dst"), "dst").filter("c_src = c_dst").select(F.col("c_src").alias("component"), "src", "dst").distinct(), "cycle-edges")
+    seen = frontier = stored(parts.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path")), "cycles")
+    found = None
+    for _ in range(max_length):
+        step = frontier.withColumnRenamed("node", "src").join(inner, ["component", "src"]).groupBy("component", "dst").agg(F.min("path").alias("path"))
+        closed = stored(step.filter("dst = component").select("component", "path"), "cycles-closed")
+        found = closed if found is None else stored(found.unionByName(closed), "cycles-found")
+        open_ = step.join(found.select("component"), "component", "left_anti").join(seen.select("component", F.col("node").alias("dst")), ["component", "dst"], "left_anti")
+        frontier = stored(open_.select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), "cycles")
+        if frontier.isEmpty():
+            break
+        seen = stored(seen.select("component", "node").unionByName(frontier.select("component", "node")), "cycles-seen")
+    return found.select("component", F.size("path").alias("length"), F.concat("path", F.array("component")).alias("path"))
+
+
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """One row, modularity, of a partition (node, community) of the graph taken as undirected; every
     edge row weighs 1."""

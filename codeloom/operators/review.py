@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.graph import reversed_edges, shortest_paths
+from codeloom.operators.graph import shortest_paths
 
 
 def seeds(changes: DataFrame) -> DataFrame:
@@ -19,15 +19,14 @@ def seeds(changes: DataFrame) -> DataFrame:
     return changes.select(F.explode(F.array_compact(F.array(target, base))).alias("s")).select("s.side", "s.node").distinct()
 
 
-def impact(before: DataFrame, after: DataFrame, changes: DataFrame, max_depth: int) -> DataFrame:
+def impact(edges: DataFrame, changes: DataFrame, max_depth: int) -> DataFrame:
     """node, depth (the least of both sides), sides (baseline, target or both) and path (of the
-    nearer side, the target's first) of files that depend on changed ones, up to max_depth."""
-    start = seeds(changes)
-    parts = []
-    for side, edges in (("baseline", before), ("target", after)):
-        found, _ = shortest_paths(reversed_edges(edges), start.filter(F.col("side") == side).select("node"), max_depth)
-        parts.append(found.filter("depth > 0").select("node", "depth", "path", F.lit(side).alias("side")))
-    both = parts[0].unionByName(parts[1])
+    nearer side, the target's first) of files that depend on changed ones, up to max_depth.
+
+    edges: side (baseline or target), src and dst; one search follows both sides at once.
+    """
+    back = edges.select("side", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = shortest_paths(back, seeds(changes), max_depth, by="side")[0].filter("depth > 0")
     best = F.min(F.struct("depth", F.when(F.col("side") == "target", 0).otherwise(1).alias("r"), "path")).alias("best")
     return both.groupBy("node").agg(best, F.array_join(F.array_sort(F.collect_set("side")), "+").alias("sides")).select("node", "best.depth", "sides", "best.path")
 

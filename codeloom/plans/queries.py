@@ -473,10 +473,11 @@ im AS (SELECT node, min((depth, CASE side WHEN 'target' THEN 0 ELSE 1 END, path)
 
 
 def _impact(spark, sf):
-    b, a = (e.filter("src <> dst").select("src", "dst").distinct() for e in _sides(spark, sf))
+    side = F.when(F.col("day") < F.lit("1998-07-01").cast("timestamp"), "baseline").otherwise("target")
+    e = source.edges(spark, sf).filter("src <> dst").select(side.alias("side"), "src", "dst").distinct()
     changed = source.files(spark, sf).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("old_node"), F.expr(_CHANGE).alias("change")).filter("change IS NOT NULL")
     tests = source.files(spark, sf).filter(patterns.is_test(F.col("path"))).select(F.col("id").alias("node"))
-    return changed, review.impact(b, a, changed, MAX_DEPTH), tests
+    return changed, review.impact(e, changed, MAX_DEPTH), tests
 
 
 @query(f"WITH {_IMPACT} SELECT node, b[1] AS depth, sides, array_to_string(b[3], '>') AS path FROM im")

@@ -33,13 +33,35 @@ def test_shortest_path_is_the_first_of_equals(spark):
         ([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]),
     ],
 )
-def test_strong_components(spark, pairs, expected):
+@pytest.mark.parametrize("task_edges", [500_000, 0])
+def test_strong_components(spark, monkeypatch, pairs, expected, task_edges):
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
     for seed in range(2):
         random.Random(seed).shuffle(pairs)
         assert rows(graph.strong_components(edges(spark, *pairs))) == expected
 
 
-def test_strong_components_and_reach_on_random_graphs(spark):
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 500)
+    made, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: made.append(name) or real(df, name))
+    n = 20_000
+    e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(edges(spark, (n - 1, 5000), (7000, 6000)))
+    found = graph.strong_components(e.repartition(4))
+    assert tuple(found.agg(F.count("*"), F.min("node"), F.max("node"), F.count_distinct("component"), F.min("component")).first()) == (n - 5000, 5000, n - 1, 1, 5000)
+    assert len(made) < 100
+
+
+def test_representative_cycles(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 1), (2, 1), (5, 6), (6, 7), (7, 5), (3, 5))
+    found = graph.representative_cycle(e, graph.strong_components(e))
+    assert sorted((r.component, r.length, r.path) for r in found.collect()) == [(1, 2, [1, 2, 1]), (5, 3, [5, 6, 7, 5])]
+
+
+@pytest.mark.parametrize("task_edges", [500_000, 0])
+def test_strong_components_and_reach_on_random_graphs(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
+    monkeypatch.setattr(graph, "BLOCK_BITS", 64)
     rnd = random.Random(7)
     pairs = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(45)}
     reach = {a: {b for x, b in pairs if x == a} for a in range(30)}
@@ -123,9 +145,9 @@ def test_fingerprint_compare(spark):
 
 
 def test_two_sided_impact(spark):
-    before, after = edges(spark, (2, 1), (3, 2)), edges(spark, (2, 1), (4, 1))
+    both = edges(spark, (2, 1), (3, 2)).withColumn("side", F.lit("baseline")).union(edges(spark, (2, 1), (4, 1)).withColumn("side", F.lit("target")))
     changed = spark.createDataFrame([(1, None, "modified")], "node long, old_node long, change string")
-    found = review.impact(before, after, changed, 3)
+    found = review.impact(both, changed, 3)
     assert rows(found.select("node", "depth", "sides")) == [(2, 1, "baseline+target"), (3, 2, "baseline"), (4, 1, "target")]
     assert rows(review.evidence(found)) == [(2, 1), (3, 2), (4, 1)]
 
