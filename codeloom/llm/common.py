@@ -173,7 +173,7 @@ class Encoder:
     path is that of a tokenizer's file, or the name of one that this machine's public_tokenizers has.
     """
 
-    def __init__(self, path: str, memo_pieces: int = 800_000) -> None:
+    def __init__(self, path: str, memo_pieces: int = 500_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -19,6 +19,10 @@ _MEASURED = "lang string, sums array<double>"
 _SCORED = "lang_pred string, score double, bits_per_char double, rejected boolean"
 
 
+#: Text that a task splits into words at a time.
+PART_BYTES = 2 << 20
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased; the models' input."""
     return _LETTERS.findall(text.lower())
@@ -102,7 +106,8 @@ class Scorer:
         new = list({w for ws in split for w in ws if w not in self.rows})
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            scores = self.models.word_scores(new)
+            # some 150 bytes a character while words are scored, so few at a time
+            scores = np.concatenate([self.models.word_scores(new[k : k + 10_000]) for k in range(0, len(new), 10_000)])
             scores[[not any(c.isalpha() for c in w) for w in new]] = 0  # superscripts, fractions and the like are no letters
             self.table = np.concatenate((self.table, scores))
         get = self.rows.__getitem__
@@ -242,7 +247,7 @@ def train(docs: DataFrame, per_lang: int = 1000, order: int = 4, lang_bytes: int
 
     def measure(batches):
         scorer, batch_of = Scorer(shared.value), arrow_table(_MEASURED)
-        for b in slices(batches):
+        for b in slices(batches, PART_BYTES):
             yield batch_of([b.column("lang"), scorer.sums(b.column("text").to_pylist()).tolist()])
 
     rows = sample.filter(part == 0).select("lang", "text").mapInArrow(measure, fields(_MEASURED)).collect()
@@ -289,7 +294,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
         batch_of = arrow_table(_SCORED)
         import pyarrow as pa
 
-        for b in slices(batches):
+        for b in slices(batches, PART_BYTES):
             texts = [t or "" for t in b.column("text").to_pylist()]
             added = batch_of([list(c) for c in zip(*decide(shared.value, scorer.sums(texts)))])
             yield pa.RecordBatch.from_arrays([*b.columns, *added.columns], names=[*b.schema.names, *added.schema.names])
@@ -309,7 +314,7 @@ def accepted(docs: DataFrame, models: Models) -> DataFrame:
         import pyarrow as pa
 
         scorer = Scorer(shared.value)
-        for b in slices(batches):
+        for b in slices(batches, PART_BYTES):
             keep = [not row[3] for row in decide(shared.value, scorer.sums([t or "" for t in b.column("text").to_pylist()]))]
             yield b.filter(pa.array(keep, pa.bool_()))
 

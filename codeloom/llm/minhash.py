@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketched = stored(sketch(texts), "sketches")
     full = sketched.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"))
+    # stored sides let Spark split a join where one of the other side's keys has very many rows
+    classes = stored(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     ours = classes.withColumnRenamed("node", "doc_id")
     nodes = stored(full.join(ours, ["n_shingles", "d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["node", "sig"]), "nodes")
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     pool = _open_shingles(live, texts)
     links.add(_across(_possible(live, pool, percent), nodes, pool, percent))
     groups = links.groups()
-    found = classes.join(groups, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    found = stored(classes.join(groups, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id")), "class-groups")
     # where rows of one doc_id differ, the least group of them holds for all
     out = full.select("doc_id", "n_shingles", "d1", "d2").join(found, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     bare = sketched.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
