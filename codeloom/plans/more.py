@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns
 from codeloom.functions.ids import under
-from codeloom.operators import findings, sections, upkeep
-from codeloom.plans.queries import _DISMISSED, _SIDES, EDGES, FILES, FINDINGS, _dismissals, _sides, query
+from codeloom.operators import findings, graph, sections, surface, upkeep
+from codeloom.plans.queries import _DISMISSED, _SIDES, BACKWARD, CLOSURE, DEPS, EDGES, FILES, FINDINGS, FORWARD, ROOT, _day_graph, _dismissals, _levels, _sides, query
 from codeloom.sources import manifests
 from codeloom.sources import projection as source
-from codeloom.tables import read
+from codeloom.tables import read, stored
 
 _CUT = "TIMESTAMP '2024-01-16'"
 
@@ -189,7 +189,7 @@ def merged_limitations(spark, sf):
     return sections.merged_limitations(rows).withColumn("paths", F.array_join("paths", ","))
 
 
-@query(f"WITH {FINDINGS} SELECT title AS text, min(finding_id) AS "at" FROM findings GROUP BY title ORDER BY "at" LIMIT 500")
+@query(f"""WITH {FINDINGS} SELECT title AS text, min(finding_id) AS "at" FROM findings GROUP BY title ORDER BY "at" LIMIT 500""")
 def first_limitations(spark, sf):
     return sections.first_limitations(source.findings(spark, sf).select(F.col("title").alias("text"), F.col("finding_id").alias("at")))
 
@@ -278,3 +278,54 @@ def tree_preflight(spark, sf):
 def exclusion_kinds(spark, sf):
     p = F.col("path")
     return manifests.exclusion_log(source.files(spark, sf), {"test": patterns.is_test(p), "user-exclude": under(p, "PROMO"), "oversize": F.col("size_bytes") > 10_000})
+
+
+# Impact and exports -----------------------------------------------------------------------------
+
+
+def _graph(spark, sf):
+    deps, files = stored(source.dependencies(spark, sf), "deps"), source.files(spark, sf)
+    tests = files.filter(patterns.is_test(F.col("path"))).select(F.col("id").alias("node"))
+    return deps, files, tests, files.filter("is_entry").select(F.col("id").alias("node")), graph.strong_components(deps)
+
+
+_CYCLIC = "cyc AS (SELECT DISTINCT x.a AS node FROM closure x WHERE x.a = x.b)"
+
+
+@query(f"""WITH RECURSIVE {FILES}, {EDGES}, {DEPS}, {CLOSURE}, {_CYCLIC}, {BACKWARD}, {_levels('be', 'SELECT id AS node FROM files WHERE weight IN (9, 31)', 8)}
+SELECT node, depth, path_ LIKE '%.test.ts' AS is_test, is_entry, node IN (SELECT node FROM cyc) AS in_cycle FROM (SELECT node, depth FROM seen WHERE depth > 0 ORDER BY depth, node LIMIT 2000) JOIN (SELECT id, path AS path_, is_entry FROM files) ON id = node""")
+def diff_impact(spark, sf):
+    """25 levels deep; the SQL's 8 reach all that there is."""
+    deps, files, tests, entries, cyclic = _graph(spark, sf)
+    return surface.diff_impact(deps, files.filter("weight IN (9, 31)").select(F.col("id").alias("node")), tests, entries, cyclic)
+
+
+@query(f"""WITH RECURSIVE {FILES}, {EDGES}, {DEPS}, {CLOSURE}, f AS ({ROOT}), r(node) AS (SELECT node FROM f UNION SELECT src FROM r JOIN deps ON dst = node)
+SELECT (SELECT node FROM f) AS node, count(*) - 1 AS dependents, count(*) FILTER (path LIKE '%.test.ts' AND node <> (SELECT node FROM f)) AS tests, count(*) FILTER (is_entry) AS entries, EXISTS (SELECT 1 FROM closure WHERE a = b AND a = (SELECT node FROM f)) AS in_cycle,
+(SELECT count(*) FROM deps WHERE dst = (SELECT node FROM f)) AS fan_in, (SELECT count(*) FROM deps WHERE src = (SELECT node FROM f)) AS fan_out FROM r JOIN files ON id = node""")
+def file_detail(spark, sf):
+    deps, _, tests, entries, cyclic = _graph(spark, sf)
+    return surface.file_detail(deps, entries.agg(F.min("node").alias("node")), tests, entries, cyclic)
+
+
+@query(f"""WITH {FILES}, {EDGES}, {DEPS}, {FORWARD}, {BACKWARD}, a AS (WITH {_levels('fe', ROOT, 2)} SELECT node, 'dependencies' AS way FROM seen WHERE depth > 0), b AS (WITH {_levels('be', ROOT, 2)} SELECT node, 'dependents' AS way FROM seen WHERE depth > 0)
+SELECT node, array_to_string(list_sort(list(DISTINCT way)), '+') AS directions FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY node""")
+def focus_both_ways(spark, sf):
+    root = source.files(spark, sf).filter("is_entry").agg(F.min("id").alias("node"))
+    return surface.both_directions(source.dependencies(spark, sf), root, 2)
+
+
+@query(f"""WITH RECURSIVE {FILES}, {EDGES}, l AS (SELECT DISTINCT src, dst FROM edges WHERE unresolved AND edge_type = 're-export' AND line <= 2),
+o(module, name, origin) AS (SELECT id, name, id FROM files UNION SELECT l.src, o.name, o.origin FROM o JOIN l ON l.dst = o.module JOIN files f ON f.id = l.src WHERE f.name <> o.name),
+g AS (SELECT module, name, count(DISTINCT origin) AS n, min(origin) AS origin FROM o WHERE module IN (SELECT id FROM files WHERE weight >= 40) GROUP BY module, name)
+SELECT module AS entry_point, name AS exported_name, CASE WHEN n = 1 THEN origin END AS origin, CASE WHEN n = 1 THEN name END AS origin_name, n > 1 AS ambiguous FROM g""")
+def reachable_exports(spark, sf):
+    f = source.files(spark, sf)
+    links = source.edges(spark, sf).filter("unresolved AND edge_type = 're-export' AND line <= 2").select(F.col("src").alias("module"), F.col("dst").alias("target"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("imported"))
+    return surface.reachable_exports(f.filter("weight >= 40").select(F.col("id").alias("module")), f.select(F.col("id").alias("module"), "name"), links)
+
+
+@query()
+def shortest_cycles(spark, sf):
+    edges = _day_graph(spark, sf)
+    return graph.representative_cycle(edges, graph.strong_components(edges)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
