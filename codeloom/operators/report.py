@@ -43,3 +43,76 @@ def sarif(found: DataFrame) -> DataFrame:
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.col("line"), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("finding_type").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("codeloom/v1")).alias("partialFingerprints"))
     return found.select(F.to_json(result).alias("value"))
+
+
+# Whole reports ----------------------------------------------------------------------------------
+
+# The sections of a project's report, in order.
+SECTIONS = ("summary", "cycles", "unused-exports", "architecture-violations", "unresolved-imports", "type-errors", "top-impact-files", "blast-radius", "limitations", "changed-since-scan")
+# Types of findings.
+FINDING_TYPES = ("circular-dependency", "unused-export-candidate", "architecture-violation", "unresolved-import", "type-error", "syntax-error", "merge-conflict", "todo-comment", "duplicate-code", "complexity-hotspot")
+
+
+def project_report(tables: dict[str, DataFrame], chosen: list[str] | None = None, limit: int = 200) -> list[dict]:
+    """The report's sections, in their order, of those chosen that there is a table for. The first
+    limit rows of a table are shown, and its title tells how many there are."""
+    wanted = set(SECTIONS if chosen is None else chosen)
+    if wanted - set(SECTIONS):
+        raise ValueError(f"no such section: {sorted(wanted - set(SECTIONS))}")
+    out = []
+    for name in SECTIONS:
+        if name in wanted and name in tables:
+            s = section(name, tables[name], limit)
+            total = tables[name].count() if s["truncated"] else len(s["rows"])
+            out.append(s | {"title": f"{name.replace('-', ' ').capitalize()} ({total})", "total": total})
+    return out
+
+
+def review_report(sections: dict[str, DataFrame], freshness: str, reasons: list[str], form: str, limit: int = 2000) -> str:
+    """A review as text, markdown, json or html: a table for each section, with how many rows it has and
+    a warning unless the review is current. An incompatible review is not reported."""
+    if freshness == "incompatible":
+        raise ValueError("the review is incompatible")
+    parts = []
+    for name, rows in sections.items():
+        s = section(name, rows, limit)
+        parts.append(s | {"total": rows.count() if s["truncated"] else len(s["rows"])})
+    warning = None if freshness == "current" else f"WARNING: This review is stale ({', '.join(sorted(set(reasons))) or 'reason unavailable'}). It does not describe the current working tree."
+    if form == "json":
+        return json.dumps({"freshness": freshness, "warning": warning, "sections": parts}, default=str, ensure_ascii=False, indent=2)
+    if form == "html":
+        return html([*([{"title": warning, "columns": [], "rows": [], "truncated": False}] if warning else []), *parts])
+    if form == "markdown":
+        return "\n".join([*([f"> {warning}", ""] if warning else []), markdown([s | {"title": f"{s['title']} ({s['total']})"} for s in parts])])
+    if form == "text":
+        lines = [warning] if warning else []
+        for s in parts:
+            lines += [f"{s['title']}: {s['total']}", *("  " + "  ".join("" if v is None else str(v) for v in r) for r in s["rows"])]
+        return "\n".join(lines) + "\n"
+    raise ValueError(f"no form {form}")
+
+
+def sarif_document(found: DataFrame, limit: int = 25_000) -> str:
+    """A SARIF 2.1.0 document of findings (finding_type, title, description), of up to limit, counted as
+    they come; more are an error, and are written as rows of sarif() instead."""
+    rows = found.select("finding_type", "title", "description").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} findings do not go into one document")
+    results = [{"ruleId": r.finding_type, "level": "warning", "message": {"text": f"{r.title}. {r.description or ''}"}} for r in rows]
+    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "codeloom"}}, "results": results}]}, indent=2)
+
+
+def write_baseline(found: DataFrame, path: str) -> None:
+    """The distinct fingerprints of findings as JSON lines, written by Spark."""
+    found.select("fingerprint").distinct().write.mode("overwrite").json(path)
+
+
+def beyond_baseline(found: DataFrame, path: str) -> DataFrame:
+    """The findings whose fingerprint the baseline at path does not hold; all, if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        known = found.sparkSession.read.schema("fingerprint string").json(path)
+    except AnalysisException:
+        return found
+    return found.join(known.distinct(), "fingerprint", "left_anti")

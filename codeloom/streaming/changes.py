@@ -18,13 +18,15 @@ def quiet_bursts(events: DataFrame, key: str, quiet: str = "1 hour", at: str = "
 
 def keep_current(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str) -> DataStreamWriter:
     """A query that keeps the newest row of each key of a stream under path, a new version for each
-    batch; read it with current()."""
+    batch; read it with current(). The two newest versions stay."""
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
         old = current(spark, path, number - 1)
         (newest if old is None else upserted(old, newest, key)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")  # a reader may still be at the one before
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
