@@ -207,6 +207,10 @@ def linked_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16, hot_rows:
     each pair of blocks is a group of its own that a task compares: first the parities of the
     characters' counts, of which an edit flips two at most, then the edit distance. So a task holds
     two blocks at a time, and rows are counts of a line's links, not pairs.
+
+    Null and empty texts, and lines of fewer than min_chars code points, have no links. Equal lines are
+    one, however often they occur; the first place of each is the least (doc_id, hash of the text,
+    line). An empty table gives no rows.
     """
     by_key = Window.partitionBy("key", "salt").orderBy("line")
     several = (F.lag("line").over(by_key) != F.col("line")) | (F.lead("line").over(by_key) != F.col("line"))

@@ -185,7 +185,9 @@ def store_texts(docs: DataFrame, unit: int = 576) -> DataFrame:
     """Writes each text as a container, in a Parquet table with a media column.
 
     Returns doc_id, n_bytes and media, read back. The payload is the text's UTF-8 bytes and bytes
-    255 up to a positive multiple of unit. Null texts count as empty.
+    255 up to a positive multiple of unit. Null texts count as empty. Rows are stored one by one, so rows
+    without or with a repeated doc_id all stay, and equal texts have equal containers. An empty table
+    gives no rows. Other columns are ignored.
     """
     schema = "doc_id long, n_bytes long, media binary"
 
