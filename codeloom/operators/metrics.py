@@ -87,3 +87,11 @@ def co_change(touches: DataFrame, file: int, last_commits: int = 50, top: int =
     own = touches.filter(F.col("file") == file).select("commit", "day").distinct().orderBy(F.desc("day"), F.desc("commit")).limit(last_commits).select("commit")
     others = touches.filter(F.col("file") != file).select("commit", "file").distinct().join(F.broadcast(own), "commit", "left_semi")  # at most last_commits rows
     return others.groupBy("file").agg(F.count("*").alias("shared_commits")).orderBy(F.desc("shared_commits"), "file").limit(top)
+
+
+def capability_counts(files: DataFrame, group: str) -> DataFrame:
+    """Files by what can be done with them, ten counts in one pass. files: status, git_ignored,
+    user_excluded."""
+    by = {"eligible": "eligible", "text_only": "text-only", "binary": "binary", "excluded": "excluded", "oversize": "oversize", "unreadable": "unreadable", "symlink": "symlink"}
+    counts = [F.count_if(F.col("status") == status).alias(name) for name, status in by.items()]
+    return files.groupBy(group).agg(F.count("*").alias("total"), *counts, F.count_if("git_ignored").alias("git_ignored"), F.count_if("user_excluded").alias("user_excluded"))

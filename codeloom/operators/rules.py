@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import ids, patterns
 from codeloom.functions.patterns import glob_regex, is_framework
 
 
@@ -66,3 +67,24 @@ def owners(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         pattern = "(?i)" + glob_regex(("" if glob.startswith("/") else "**/") + glob.strip("/"))
         out = F.when(F.col("path").rlike(pattern), owner).otherwise(out)
     return files.withColumn("owner", out)
+
+
+def excluded_by_user(path: Column, globs: list[str]) -> Column:
+    """Whether a glob matches the path or any folder above it."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda n: F.array_join(F.slice(F.split(path, "/"), F.lit(1), n), "/"))
+    return F.exists(prefixes, lambda p: patterns.any_of(p, [patterns.glob_regex(g) for g in globs]))
+
+
+def layered_ignores(files: DataFrame, ignores: DataFrame, max_files: int = 10_000) -> DataFrame:
+    """path and ignored of every file under ignore files at several depths: of all rules that match a
+    path the last one of the nearest file decides. ignores: folder ("" for the root) and text, at most
+    max_files, counted as they come; a rule meets only paths below its folder, by a join on folders."""
+    texts = ignores.select("folder", "text").limit(max_files + 1).collect()
+    if len(texts) > max_files:
+        raise ValueError(f"more than {max_files} ignore files")
+    found = [(r.folder, len(r.folder.split("/")) if r.folder else 0, n, negated, regex) for r in texts for n, negated, regex in patterns.ignore_rules(r.text, r.folder)]
+    table = files.sparkSession.createDataFrame(found, "folder string, depth int, line int, negated boolean, regex string")
+    folders = F.concat(F.array(F.lit("")), ids.ancestors(F.col("path")))
+    met = files.select("path", F.explode(folders).alias("folder")).join(F.broadcast(table), "folder").filter("path RLIKE regex")
+    last = met.groupBy("path").agg(F.max_by(~F.col("negated"), F.struct("depth", "line")).alias("hit"))
+    return files.select("path").join(last, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns
 from codeloom.functions.ids import under
-from codeloom.operators import findings, graph, sections, surface, upkeep
+from codeloom.operators import findings, graph, metrics, rules, sections, surface, upkeep
 from codeloom.plans.queries import _DISMISSED, _SIDES, BACKWARD, CLOSURE, DEPS, EDGES, FILES, FINDINGS, FORWARD, ROOT, _day_graph, _dismissals, _levels, _sides, query
 from codeloom.sources import manifests
 from codeloom.sources import projection as source
@@ -329,3 +329,30 @@ def reachable_exports(spark, sf):
 def shortest_cycles(spark, sf):
     edges = _day_graph(spark, sf)
     return graph.representative_cycle(edges, graph.strong_components(edges)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+# Policies ---------------------------------------------------------------------------------------
+
+_STATUS = "CASE weight % 7 WHEN 0 THEN 'eligible' WHEN 1 THEN 'text-only' WHEN 2 THEN 'binary' WHEN 3 THEN 'excluded' WHEN 4 THEN 'oversize' WHEN 5 THEN 'unreadable' ELSE 'symlink' END"
+
+
+@query(f"""WITH {FILES}, f AS (SELECT *, {_STATUS} AS status FROM files) SELECT kind, count(*) AS total, count(*) FILTER (status = 'eligible') AS eligible, count(*) FILTER (status = 'text-only') AS text_only, count(*) FILTER (status = 'binary') AS binary,
+count(*) FILTER (status = 'excluded') AS excluded, count(*) FILTER (status = 'oversize') AS oversize, count(*) FILTER (status = 'unreadable') AS unreadable, count(*) FILTER (status = 'symlink') AS symlink,
+count(*) FILTER (path LIKE '%.test.ts') AS git_ignored, count(*) FILTER (is_entry) AS user_excluded FROM f GROUP BY kind""")
+def capability_counts(spark, sf):
+    f = source.files(spark, sf).withColumn("status", F.expr(_STATUS)).withColumn("git_ignored", patterns.is_test(F.col("path"))).withColumn("user_excluded", F.col("is_entry"))
+    return metrics.capability_counts(f, "kind")
+
+
+@query(f"""WITH {FILES} SELECT path, CASE WHEN starts_with(path, 'ECONOMY/') AND contains(path, '/Brand#12/') THEN false WHEN starts_with(path, 'PROMO/') AND path LIKE '%.test.ts' THEN true ELSE contains(path, '/Brand#1') AND NOT contains(path, '/Brand#1/') END AS ignored FROM files""")
+def layered_ignores(spark, sf):
+    f = source.files(spark, sf)
+    text = F.when(F.col("kind") == "ECONOMY", "Brand#1*/\n!Brand#12/").when(F.col("kind") == "PROMO", "# tests\n*.test.ts").otherwise("# nothing")
+    own = f.select(F.col("kind").alias("folder"), text.alias("text")).distinct()
+    root = f.agg(F.min("kind").alias("k")).select(F.lit("").alias("folder"), F.lit("Brand#1?/").alias("text"))
+    return rules.layered_ignores(f.select("path"), own.unionByName(root))
+
+
+@query(f"WITH {FILES} SELECT path, starts_with(path, 'PROMO/') OR regexp_matches(path, '^[^/]*/Brand#2[^/]*/') AS excluded FROM files")
+def user_exclusions(spark, sf):
+    return source.files(spark, sf).select("path", rules.excluded_by_user(F.col("path"), ["PROMO", "*/Brand#2*"]).alias("excluded"))
