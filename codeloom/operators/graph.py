@@ -274,3 +274,33 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     each = ends.join(inner, "community", "left").crossJoin(F.broadcast(total))  # a single row
     gain = F.coalesce("inside", F.lit(0)) / F.col("m") - (F.col("degree") / (2 * F.col("m"))) * (F.col("degree") / (2 * F.col("m")))
     return each.agg(F.coalesce(F.round(F.sum(gain), 9), F.lit(0.0)).alias("modularity"))
+
+
+def viewed(edges: DataFrame, files: DataFrame, hide_type_only: bool = True, hide_barrels: bool = True) -> DataFrame:
+    """The edges of a view: without those for types alone, and without index files and their edges.
+    edges: src, dst, type_only; files: id, path."""
+    out = edges.filter(~F.col("type_only")) if hide_type_only else edges
+    if hide_barrels:
+        barrels = files.filter(F.col("path").rlike(r"(^|/)index\.[^/]+$")).select(F.col("id").alias("b"))
+        out = out.join(barrels.withColumnRenamed("b", "src"), "src", "left_anti").join(barrels.withColumnRenamed("b", "dst"), "dst", "left_anti")
+    return out.select(*edges.columns)
+
+
+def graph_slice(edges: DataFrame, files: DataFrame, folder: str | None = None, focus: DataFrame | None = None, depth: int = 1, cap: int = 1500) -> tuple[DataFrame, DataFrame]:
+    """Nodes and the distinct edges between them: of a folder, of what lies within depth of focus nodes
+    in either direction, and of those the cap with most edges, ties by node; and a row of nodes (how many
+    there would be) and truncated. edges: src, dst; files: id, path."""
+    from codeloom.functions.ids import under
+
+    plain = stored(edges.select("src", "dst").distinct(), "slice-edges")
+    inside = files if folder is None else files.filter(under(F.col("path"), folder))
+    nodes = inside.select(F.col("id").alias("node"))
+    if focus is not None:
+        either = plain.union(reversed_edges(plain)).distinct()
+        nodes = nodes.join(shortest_paths(either, focus, depth)[0].select("node").distinct(), "node", "left_semi")
+    ends = plain.select(F.col("src").alias("node")).union(plain.select("dst")).groupBy("node").agg(F.count("*").alias("n"))
+    ranked = stored(nodes.join(ends, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")), "slice-nodes")
+    top = stored(ranked.orderBy(F.desc("n"), "node").limit(cap).select("node"), "slice-top")
+    kept = plain.join(top.withColumnRenamed("node", "src"), "src", "left_semi").join(top.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    told = ranked.agg(F.count("*").alias("nodes")).withColumn("truncated", F.col("nodes") > cap)
+    return kept.select("src", "dst"), told

@@ -8,6 +8,7 @@ from codeloom.functions import patterns
 from codeloom.functions.ids import under
 from codeloom.operators import findings, graph, metrics, rules, sections, surface, upkeep
 from codeloom.plans.queries import _DISMISSED, _SIDES, BACKWARD, CLOSURE, DEPS, EDGES, FILES, FINDINGS, FORWARD, ROOT, _day_graph, _dismissals, _levels, _sides, query
+from codeloom.sources import files as files_of
 from codeloom.sources import manifests
 from codeloom.sources import projection as source
 from codeloom.tables import read, stored
@@ -356,3 +357,33 @@ def layered_ignores(spark, sf):
 @query(f"WITH {FILES} SELECT path, starts_with(path, 'PROMO/') OR regexp_matches(path, '^[^/]*/Brand#2[^/]*/') AS excluded FROM files")
 def user_exclusions(spark, sf):
     return source.files(spark, sf).select("path", rules.excluded_by_user(F.col("path"), ["PROMO", "*/Brand#2*"]).alias("excluded"))
+
+
+# Views ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {FILES}, {EDGES}, {DEPS} SELECT DISTINCT src, dst FROM deps JOIN files a ON a.id = src JOIN files b ON b.id = dst WHERE starts_with(a.path, 'ECONOMY/') AND starts_with(b.path, 'ECONOMY/')
+AND src IN (SELECT dst FROM deps WHERE src IN ({ROOT}) UNION SELECT src FROM deps WHERE dst IN ({ROOT}) UNION {ROOT}) AND dst IN (SELECT dst FROM deps WHERE src IN ({ROOT}) UNION SELECT src FROM deps WHERE dst IN ({ROOT}) UNION {ROOT})""")
+def focused_slice(spark, sf):
+    """A folder's part of what is next to the first entry."""
+    f = source.files(spark, sf)
+    return graph.graph_slice(source.dependencies(spark, sf), f, "ECONOMY", f.filter("is_entry").agg(F.min("id").alias("node")), 1)[0]
+
+
+@query(f"""WITH {FILES}, {EDGES} SELECT src, dst, edge_type = 're-export' AS type_only, line FROM edges WHERE edge_type <> 're-export' AND src NOT IN (SELECT id FROM files WHERE weight < 10) AND dst NOT IN (SELECT id FROM files WHERE weight < 10)""")
+def edge_view(spark, sf):
+    f = source.files(spark, sf).withColumn("path", F.when(F.col("weight") < 10, F.concat("kind", F.lit("/index.ts"))).otherwise(F.col("path")))
+    e = source.edges(spark, sf).select("src", "dst", (F.col("edge_type") == "re-export").alias("type_only"), "line")
+    return graph.viewed(e, f)
+
+
+@query(f"WITH {_EDGE_SECTION} SELECT from_path, to_path, edge_type, direction FROM sec ORDER BY from_path, to_path, edge_type, direction LIMIT 2000")
+def edge_section_kept(spark, sf):
+    """What a review keeps of a section."""
+    return findings.retained(_edge_section(spark, sf), ["from_path", "to_path", "edge_type"])[0].select("from_path", "to_path", "edge_type", "direction")
+
+
+@query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN strlen(text) > 4096 THEN 'oversize' WHEN len(regexp_split_to_array(text, '\r?\n')) > 20 THEN 'too-many-lines' END AS unavailable, len(regexp_split_to_array(text, '\r?\n'))::INT AS lines FROM documents""")
+def guarded_texts(spark, sf):
+    """With smaller bounds than a viewer's 1 MiB and 8,000 lines, as the texts are short."""
+    return files_of.guarded_text(read(spark, sf, "documents"), max_bytes=4096, max_lines=20).select("doc_id", "unavailable", "lines")

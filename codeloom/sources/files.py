@@ -101,3 +101,11 @@ def name_status(diff: DataFrame, line: str = "value") -> DataFrame:
     parts = F.split(F.col(line), "\t")
     named = F.element_at(F.create_map(*(F.lit(x) for kv in {"A": "added", "D": "deleted", "M": "modified", "R": "renamed", "C": "copied", "T": "modified"}.items() for x in kv)), kind)
     return diff.filter(F.size(parts) > 1).select(named.alias("change"), F.element_at(parts, -1).alias("path"), F.when(F.size(parts) > 2, parts[1]).alias("old_path"))
+
+
+def guarded_text(files: DataFrame, text: str = "text", max_bytes: int = 1024 * 1024, max_lines: int = 8000) -> DataFrame:
+    """Adds lines (their number) and unavailable: why a text is not shown (missing, oversize, too-many-lines),
+    or null."""
+    lines = F.size(F.split(text, "\r?\n", -1))
+    reason = F.when(F.col(text).isNull(), "missing").when(F.octet_length(text) > max_bytes, "oversize").when(lines > max_lines, "too-many-lines")
+    return files.withColumn("lines", F.when(F.col(text).isNotNull(), lines)).withColumn("unavailable", reason)
