@@ -42,16 +42,23 @@ def layer_matrix(found: DataFrame, rules: list[dict]) -> DataFrame:
     return pairs.join(counts, ["source_layer", "target_layer"], "left").na.fill(0, ["violations"])
 
 
-def unused_exports(symbols: DataFrame, used: DataFrame, excluded: list[str]) -> DataFrame:
+def unused_exports(symbols: DataFrame, used: DataFrame, excluded: list[str], package_entries: DataFrame | None = None, barrels: DataFrame | None = None, renamed: DataFrame | None = None) -> DataFrame:
     """path, name and caveats of exported symbols that nothing refers to.
 
     symbols: id, path, name, is_entry, is_re_export, is_default, is_component. used: id of symbols
-    with a resolved reference. Entry points, re-exports, paths that frameworks load and the excluded
-    globs are left out.
+    with a resolved reference. Entry points, also those of packages (path), re-exports, paths that
+    frameworks load and what is excluded, globs or path#name, are left out. Caveats: barrel and renamed
+    for paths of these tables, default and component by the symbol.
     """
-    skip = reduce(lambda a, b: a | b, (F.col("path").rlike(glob_regex(g)) for g in excluded), F.lit(False))
+    skip = reduce(lambda a, b: a | b, (F.col("path").rlike(glob_regex(g)) for g in excluded if "#" not in g), F.lit(False))
+    skip = skip | F.concat("path", F.lit("#"), "name").isin([g for g in excluded if "#" in g])
+    for paths, flag in ((barrels, "_barrel"), (renamed, "_renamed")):
+        known = symbols.select("path").limit(0) if paths is None else paths.select("path").distinct()
+        symbols = symbols.join(known.withColumn(flag, F.lit(True)), "path", "left")
+    if package_entries is not None:
+        symbols = symbols.join(package_entries.select("path").distinct(), "path", "left_anti")
     left = symbols.filter(~(F.col("is_entry") | F.col("is_re_export") | is_framework(F.col("path")) | skip)).join(used.select("id").distinct(), "id", "left_anti")
-    caveats = F.array_compact(F.array(F.when(F.col("is_default"), "default"), F.when(F.col("is_component"), "component")))
+    caveats = F.array_compact(F.array(F.when(F.col("_barrel"), "barrel"), F.when(F.col("is_default"), "default"), F.when(F.col("is_component"), "component"), F.when(F.col("_renamed"), "renamed")))
     return left.select("path", "name", F.array_join(caveats, ",").alias("caveats"))
 
 

@@ -256,13 +256,13 @@ def rule_layer_matrix(spark, sf):
     return rules.layer_matrix(rules.violations(source.edges(spark, sf), source.files(spark, sf), RULES), RULES)
 
 
-@query(f"""WITH {FILES}, {EDGES} SELECT path, name, concat_ws(',', CASE WHEN weight = 10 THEN 'default' END, CASE WHEN kind LIKE '%STEEL' THEN 'component' END) AS caveats
-FROM files WHERE NOT is_entry AND weight <> 20 AND NOT path LIKE 'PROMO%' AND id NOT IN (SELECT dst FROM edges WHERE edge_type = 'import' AND NOT unresolved)""")
+@query(f"""WITH {FILES}, {EDGES} SELECT path, name, concat_ws(',', CASE WHEN weight % 3 = 0 THEN 'barrel' END, CASE WHEN weight % 10 = 0 THEN 'default' END, CASE WHEN kind LIKE '%Y' THEN 'component' END, CASE WHEN weight % 4 = 0 THEN 'renamed' END) AS caveats
+FROM files WHERE NOT is_entry AND weight NOT IN (20, 21) AND NOT path LIKE 'PROMO%' AND id NOT IN (SELECT dst FROM edges WHERE edge_type = 'import' AND NOT unresolved)""")
 def unused_candidates(spark, sf):
     f = source.files(spark, sf)
-    symbols = f.select("id", "path", "name", "is_entry", (F.col("weight") == 20).alias("is_re_export"), (F.col("weight") == 10).alias("is_default"), F.col("kind").endswith("STEEL").alias("is_component"))
+    symbols = f.select("id", "path", "name", "is_entry", (F.col("weight") == 20).alias("is_re_export"), (F.col("weight") % 10 == 0).alias("is_default"), F.col("kind").endswith("Y").alias("is_component"))
     used = source.edges(spark, sf).filter("edge_type = 'import' AND NOT unresolved").select(F.col("dst").alias("id"))
-    return rules.unused_exports(symbols, used, ["PROMO*/**"])
+    return rules.unused_exports(symbols, used, ["PROMO*/**"], f.filter("weight = 21"), f.filter("weight % 3 = 0"), f.filter("weight % 4 = 0"))
 
 
 @query(f"""WITH {FILES} SELECT CASE WHEN path LIKE 'PROMO%' THEN 'excluded-user' WHEN regexp_matches(path, '/Brand#1[^/]*/') AND NOT regexp_matches(path, '/Brand#12/') THEN 'excluded-ignore' WHEN path LIKE '%.test.ts' THEN 'excluded-test' ELSE 'eligible' END AS status, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files GROUP BY 1""")

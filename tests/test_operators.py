@@ -163,3 +163,35 @@ def test_modularity_of_two_triangles(spark):
     e = edges(spark, (1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4))
     p = spark.createDataFrame([(n, int(n > 3)) for n in range(1, 7)], "node long, community int")
     assert graph.modularity(e, p).first()[0] == pytest.approx(0.357142857)
+
+
+def test_unused_exports_and_their_caveats(spark):
+    schema = "id long, path string, name string, is_entry boolean, is_re_export boolean, is_default boolean, is_component boolean"
+    plain = [False] * 4
+    symbols = spark.createDataFrame([(1, "a.ts", "x", *plain), (2, "a.ts", "y", False, False, True, True), (3, "b.ts", "z", *plain), (4, "main.ts", "m", *plain), (5, "e.ts", "e", True, False, False, False), (6, "gen/g.ts", "g", *plain)], schema)
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    used = spark.createDataFrame([(3,)], "id long")
+    assert rows(rules.unused_exports(symbols, used, ["gen/**", "a.ts#x"], paths("main.ts"), paths("a.ts"), paths("a.ts", "b.ts"))) == [("a.ts", "y", "barrel,default,component,renamed")]
+    assert [r.name for r in rules.unused_exports(symbols, used, []).orderBy("name").collect()] == ["g", "m", "x", "y"]
+
+
+def test_slices_tell_what_they_leave_out(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 4), (2, 4), (2, 4))
+    files = spark.createDataFrame([(1, "a/x.ts"), (2, "a/index.ts"), (3, "ab/z.ts"), (4, "b/w.ts")], "id long, path string")
+    kept, told = graph.graph_slice(e, files, cap=2)
+    assert rows(kept) == [(2, 3)] and tuple(told.first()) == (4, True)
+    assert rows(graph.graph_slice(e, files, folder="a")[0]) == [(1, 2)]
+    focus = spark.createDataFrame([(1,)], "node long")
+    assert graph.graph_slice(e, files, focus=focus, depth=2)[1].first().nodes == 4 and graph.graph_slice(e, files, focus=focus)[1].first().nodes == 2
+    typed = e.withColumn("type_only", F.col("src") == 3)
+    assert rows(graph.viewed(typed, files).select("src", "dst")) == [] and len(rows(graph.viewed(typed, files, hide_barrels=False))) == 4
+
+
+def test_origins_of_exports(spark):
+    from codeloom.operators import surface
+
+    symbols = spark.createDataFrame([("a", "one"), ("b", "one"), ("b", "two"), ("c", "default"), ("c", "three"), ("d", "one")], "module string, name string")
+    links = spark.createDataFrame([("m", "a", None, None), ("m", "b", None, None), ("m", "c", None, None), ("m", "c", "main", "default"), ("a", "m", None, None), ("d", "a", None, None), ("m", "gone", None, None)], "module string, target string, name string, imported string")
+    got = surface.reachable_exports(spark.createDataFrame([("m",), ("d",)], "module string"), symbols, links)
+    assert rows(got.na.fill("")) == [("d", "main", "c", "default", False), ("d", "one", "d", "one", False), ("d", "three", "c", "three", False), ("d", "two", "b", "two", False), ("m", "main", "c", "default", False), ("m", "one", "", "", True), ("m", "three", "c", "three", False), ("m", "two", "b", "two", False)]
+    assert rows(surface.unresolved_links(links, symbols.select("module").union(links.select("module"))).select("target")) == [("gone",)]
