@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, media, minhash, packing, sharding, substring, token_io, toxicity
+from . import decontam, langid, line_dedup, media, minhash, packing, periodic, repair, sharding, substring, token_io, toxicity, warc
 
 #: Names of public tokenizers' files; each machine finds them by public_tokenizers.path().
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -62,8 +62,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", "predicted")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_digest(periodic.periodic_runs(_table(spark, sf_dir, "documents"), placed=periodic.repeat_tail))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_near_duplicates, op3_token_files, op4_shards, op5_media, op6_decontamination, op7_language, op8_substring_dedup, op9_packing, op10_toxicity)
+    ops = (op1_line_dedup, op2_near_duplicates, op3_token_files, op4_shards, op5_media, op6_decontamination, op7_language, op8_substring_dedup, op9_packing, op10_toxicity, op11_warc, op12_periodic_runs, op13_conversation_repair)
     return {f.__name__: f for f in ops}
 
 
@@ -137,7 +150,17 @@ SELECT doc_id, item_id, matched::INT AS matched, len_of::INT AS "of", doc_word::
 """
 
 
+_WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
+d AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(sha1(h), 5 * k + 1, 5))::INT) AS fives FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what a query does. It can't where the result is a checksum it has no
-    function for (3, 4, 5, 9) or that of a fitted model (7, 10); those are tested by brute force."""
-    return {"op1_line_dedup": _LINES_SQL, "op2_near_duplicates": _NEAR_SQL, "op6_decontamination": _decontamination_sql(), "op8_substring_dedup": _SUBSTRING_SQL}
+    function for (3, 4, 5, 9, 12, 13) or that of a fitted model (7, 10); those are tested by brute force."""
+    return {"op1_line_dedup": _LINES_SQL, "op2_near_duplicates": _NEAR_SQL, "op6_decontamination": _decontamination_sql(), "op8_substring_dedup": _SUBSTRING_SQL, "op11_warc": _WARC_SQL}
