@@ -119,14 +119,17 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
-def sample_by_lang(docs: DataFrame, per_lang: int, lang_bytes: int, max_langs: int) -> DataFrame:
-    """About per_lang documents, or lang_bytes of text, of each of the max_langs languages with most
-    documents: those documents with the smallest hashes of their doc_id."""
+def sample_by_lang(docs: DataFrame, per_lang: int, lang_bytes: int, total_bytes: int) -> DataFrame:
+    """About per_lang documents, or lang_bytes of text, of every language: those documents with the
+    smallest hashes of their doc_id. Where there are so many languages that this is more than
+    total_bytes, each gives an equal part of that, and its first document at least."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), (F.sum(F.octet_length("text")) + 1).alias("bytes")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    shares = sizes.select("lang", F.least(per_lang / F.col("n"), lang_bytes / F.col("bytes")).alias("_share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(shares), "lang").filter(place < F.col("_share")).drop("_share")  # a row for each language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), (F.sum(F.octet_length("text")) + 1).alias("bytes"), F.min(place).alias("_least"))
+    langs = sizes.agg(F.count("*").alias("langs"))
+    each = F.least(F.lit(lang_bytes), total_bytes / F.col("langs"))
+    shares = sizes.crossJoin(F.broadcast(langs)).select("lang", F.least(per_lang / F.col("n"), each / F.col("bytes")).alias("_share"), "_least")  # one row
+    return rows.join(F.broadcast(shares), "lang").filter((place < F.col("_share")) | (place == F.col("_least"))).select("doc_id", "text", "lang", (place == F.col("_least")).alias("first"))  # a row for each language
 
 
 def count_grams(sample: DataFrame, order: int) -> DataFrame:
@@ -226,19 +229,19 @@ def calibrate(models: Models, langs: list[str], sums: np.ndarray, slack: float =
     return models
 
 
-def train(docs: DataFrame, per_lang: int = 1000, order: int = 4, lang_bytes: int = 16 << 20, max_langs: int = 32) -> Models:
+def train(docs: DataFrame, per_lang: int = 1000, order: int = 4, lang_bytes: int = 16 << 20, total_bytes: int = 512 << 20) -> Models:
     """Models from a bounded sample of whole texts: about per_lang documents, or lang_bytes of text, of
-    each language; of more than max_langs languages those with most documents.
+    each language, and total_bytes of all.
 
-    A tenth of the sample calibrates the rejection and is not counted. The counts come to the
+    A tenth of the sample calibrates the rejection and is not counted, but for a language's first document. The counts come to the
     driver, bounded by the sample; of the documents that calibrate only their sums do. Rows with a
     null text or lang teach nothing. Without any row to learn from there are no models, and every
     prediction is und.
     """
-    sample = sample_by_lang(docs, per_lang, lang_bytes, max_langs)
+    sample = sample_by_lang(docs, per_lang, lang_bytes, total_bytes)
     part = F.pmod(F.hash("doc_id"), F.lit(10))
     counts: dict[str, dict[str, int]] = {}
-    for lang, gram, n in count_grams(sample.filter(part != 0), order).collect():
+    for lang, gram, n in count_grams(sample.filter((part != 0) | F.col("first")), order).collect():
         counts.setdefault(lang, {})[gram] = n
     models = fit(counts, order)
     if not counts:
@@ -250,7 +253,7 @@ def train(docs: DataFrame, per_lang: int = 1000, order: int = 4, lang_bytes: int
         for b in slices(batches, PART_BYTES):
             yield batch_of([b.column("lang"), scorer.sums(b.column("text").to_pylist()).tolist()])
 
-    rows = sample.filter(part == 0).select("lang", "text").mapInArrow(measure, fields(_MEASURED)).collect()
+    rows = sample.filter((part == 0) & ~F.col("first")).select("lang", "text").mapInArrow(measure, fields(_MEASURED)).collect()
     return calibrate(models, [r.lang for r in rows], np.array([r.sums for r in rows]).reshape(len(rows), len(models.langs) + 1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_table, fields, free_name, mix, slices, stored, texts_of, window_hashes, word_hashes, word_spans
@@ -21,7 +21,7 @@ BROADCAST_NODES = 1_000_000
 #: Members of a block, and shingles of their sets, on average.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
 
-_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
+_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>, text_hash long"
 _PAIR = "a long, b long"
 _CANDIDATES = "bucket long, lo long, hi long, node long, group long, others array<long>"
 
@@ -77,7 +77,7 @@ def super_minhash(elements: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Set size, two digests of the set, signature and band hashes of every document."""
+    """Set size, two digests of the set, signature, band hashes and a hash of the text of every document."""
     size = BANDS * ROWS
 
     def run(batches):
@@ -85,18 +85,23 @@ def sketch(docs: DataFrame) -> DataFrame:
         seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for b in slices(batches):
             out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text"))):
+            for doc, text, h in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), b.column("text_hash").to_pylist()):
                 s = shingles(text)
                 if not len(s):
-                    out.append((doc, 0, 0, 0, b"", []))
+                    out.append((doc, 0, 0, 0, b"", [], h))
                     continue
                 sig = mix(super_minhash(s, size).view(np.uint64))
                 bands = window_hashes(sig, ROWS)[::ROWS] ^ seeds
                 d1, d2 = mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                out.append((doc, len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), (sig & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), mix(bands).view(np.int64)))
+                out.append((doc, len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), (sig & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), mix(bands).view(np.int64), h))
             yield batch_of([list(c) for c in zip(*out)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields(_SKETCH))
+    return docs.select(F.col("doc_id").cast("long"), "text", _text_hash().alias("text_hash")).mapInArrow(run, fields(_SKETCH))
+
+
+def _text_hash() -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _alike(percent: int):
@@ -182,6 +187,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     kept. Rows of one doc_id count as one document with the links of all of them. An empty table
     gives no rows. Other columns are ignored.
     """
+    return _judged(docs, percent, star_rounds).drop("text_hash")
+
+
+def _judged(docs: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketched = stored(sketch(texts), "sketches")
     full = sketched.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -204,8 +213,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     groups = links.groups()
     found = stored(classes.join(groups, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id")), "class-groups")
     # where rows of one doc_id differ, the least group of them holds for all
-    out = full.select("doc_id", "n_shingles", "d1", "d2").join(found, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    bare = sketched.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = full.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(found, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id", "text_hash")
+    bare = sketched.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     return out.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -339,13 +348,15 @@ def _possible(live: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     return live.join(stored(shared, "shared-shingles"), "node").filter(100 * F.col("shared") >= percent * F.col("n"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = 75, star_rounds: int = 3) -> DataFrame:
     """The documents without those that are near-duplicates of one with a smaller doc_id, their
     columns unchanged.
 
-    Rows of one doc_id stay or go together, whatever their texts; those without a doc_id, a text or a
-    word stay. An empty table gives an empty one. Further columns may have any names.
+    Rows go by themselves: of rows with one doc_id only those go whose own text has a near-duplicate
+    of a smaller doc_id. Repeated rows all go or all stay. Rows without a doc_id, a text or a word stay.
+    An empty table gives an empty one. Further columns may have any names.
     """
-    name = free_name(docs, "gone")
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    doc, text = free_name(docs, "gone"), free_name(docs, "gone_text")
+    judged = _judged(docs, percent, star_rounds).filter(~F.col("kept"))
+    gone = judged.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[doc]) & (_text_hash() == gone[text]), "left_anti")

@@ -51,18 +51,27 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 def _signs(dims: int) -> np.ndarray:
     """Random signs for each bucket of the hashed vectors and each dimension."""
     spots = np.arange(BUCKETS * dims, dtype=np.uint64).reshape(BUCKETS, dims)
-    return 1 - 2 * (mix(spots + np.uint64(1)) >> np.uint64(63)).astype(np.float32)
+    return 1 - 2 * (mix(spots + np.uint64(1)) >> np.uint64(63)).astype(np.int64)
 
 
 def project(texts: list[bytes], dims: int, bits: int) -> np.ndarray:
-    """The documents' hashed word-count vectors, projected by random signs and cut to a grid."""
-    vectors = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+    """The documents' hashed word-count vectors, projected by random signs and cut to a grid.
+
+    Roots of the counts are whole 256ths, so that sums are exact: a document's cell is the same
+    whatever others are worked on with it, on every machine.
+    """
+    spots = np.zeros((len(texts), dims), dtype=np.int64)
+    words = np.zeros(len(texts), dtype=np.int64)
+    signs = _signs(dims)
     for k, text in enumerate(texts):
         starts, ends = word_spans(text)
-        vectors[k] = np.bincount((word_hashes(text, starts, ends) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS)
-    np.sqrt(vectors, out=vectors)
-    spots = (vectors @ _signs(dims)) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
-    return np.clip((spots / 3 + 0.5) * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+        counts = np.bincount((word_hashes(text, starts, ends) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(counts)
+        spots[k] = np.floor(np.sqrt(counts[used]) * 256).astype(np.int64) @ signs[used]
+        words[k] = len(starts)
+    # a root is correctly rounded, so the last steps, one document's own, are the same everywhere too
+    length = np.maximum(np.sqrt(words.astype(np.float64)), 1)
+    return np.clip((spots / (256 * length[:, None]) / 3 + 0.5) * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
 
 
 def pieces_of(start: int, n: int, total: int, length: int) -> list[tuple[int, int, int]]:
