@@ -11,8 +11,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloom.tables import stored
 
-#: Edges that one task may search, counted first; some 200 MB.
-TASK_EDGES = 500_000
+#: Edges that one task may search, counted first; some 10 MB.
+TASK_EDGES = 20_000
 #: Bits of reached targets that one task holds at a time.
 BLOCK_BITS = 1 << 30
 
@@ -56,15 +56,31 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def _least_upstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and colour, the least node from which it can be reached."""
-    colours = stored(nodes.select("node", F.col("node").alias("colour")), "colours")
+def _labels(edges: DataFrame, turn: int, orders: int = 2) -> DataFrame:
+    """node, labels and component of every node of an edge.
+
+    For each of some random orders of all nodes, labels has the least node upstream of a node and the
+    least downstream, itself among both. A node takes the least of its neighbours' labels and of its own
+    label's label, which lies the same way; as orders are random, the stretch that is looked through
+    grows by a factor a round, so the rounds are logarithmic in the longest way a label has to go. All
+    orders and both ways go through the same tables. component is the first label that is the same
+    both ways, null without any: nodes of one strong component have the same labels.
+    """
+    ways = stored(edges.select("src", "dst", F.lit(0).alias("way")).union(edges.select("dst", "src", F.lit(1))), "scc-ways")
+    nodes = ways.select(F.col("src").alias("node")).distinct()
+    each = nodes.select("node", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("way")) for k in range(orders) for w in (0, 1)))).alias("o")).select("node", "o.k", "o.way")
+    labels = stored(each.select("*", F.struct(F.xxhash64("node", "k", F.lit(turn)).alias("h"), F.col("node").alias("v")).alias("label")), "labels")
     while True:
-        given = colours.join(edges, colours["node"] == edges["src"]).groupBy("dst").agg(F.min("colour").alias("better"))
-        new = stored(colours.join(given, colours["node"] == given["dst"], "left").select("node", F.least("colour", "better").alias("colour"), (F.col("better") < F.col("colour")).alias("changed")), "colours")
+        given = ways.join(labels.withColumnRenamed("node", "src"), ["src", "way"]).select(F.col("dst").alias("node"), "k", "way", "label")
+        leap = labels.select("node", "k", "way", F.col("label.v").alias("at")).join(labels.withColumnRenamed("node", "at"), ["at", "k", "way"]).select("node", "k", "way", "label")
+        better = given.unionByName(leap).groupBy("node", "k", "way").agg(F.min("label").alias("better"))
+        new = stored(labels.join(better, ["node", "k", "way"], "left").select("node", "k", "way", F.least("label", "better").alias("label"), (F.col("better") < F.col("label")).alias("changed")), "labels")
+        labels = new.drop("changed")
         if new.filter("changed").isEmpty():
-            return new.select("node", "colour")
-        colours = new.select("node", "colour")
+            break
+    pairs = labels.groupBy("node", "k").agg(F.min(F.when(F.col("way") == 0, F.col("label.v"))).alias("up"), F.min(F.when(F.col("way") == 1, F.col("label.v"))).alias("down"))
+    both = F.min(F.when(F.col("up") == F.col("down"), F.struct("k", "up"))).getField("up")
+    return pairs.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "up", "down"))).alias("labels"), both.alias("component"))  # one for each order
 
 
 def _shortened(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -137,9 +153,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node in a strong component of two nodes or more.
 
     While there are more than TASK_EDGES edges, nodes that no cycle can run through are cut off and
-    chains are shortened; where that no longer helps, all nodes take the colour of the least node
-    upstream, and those that in turn reach that node within their colour are its component, which
-    leaves. What is left, by then a counted number of edges, is searched in one task. Nodes taken
+    chains are shortened. Where that no longer helps, each node gets labels: of the nodes upstream and
+    of those downstream the least, in several random orders. Nodes whose labels both ways are the same
+    node are its component, which leaves; so do edges between nodes of different labels, as those of
+    a component agree. What is left, by then a counted number of edges, is searched in one task. Nodes taken
     out of chains then join the component of their neighbours, if both have the same.
     """
     left = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "scc-edges")
@@ -151,14 +168,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         before, left, size = size, shorter, shorter.count()
         if size <= 0.9 * before or size <= TASK_EDGES:
             continue
-        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colours = _least_upstream(left, nodes)
-        same = stored(left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").filter("a = b").select("src", "dst"), "scc-coloured")
-        core = reachable(reversed_edges(same), colours.filter("node = colour").select("node"))
-        members = stored(core.join(colours, "node").select("node", F.col("colour").alias("component")), "scc")
-        parts.append(members)
-        done = members.select(F.col("node").alias("n"))
-        left = stored(same.join(done, same["src"] == done["n"], "left_anti").join(done, same["dst"] == done["n"], "left_anti"), "scc-edges")
+        labels = stored(_labels(left, len(parts)), "scc-labels")
+        parts.append(labels.filter("component IS NOT NULL").select("node", "component"))
+        rest = labels.filter("component IS NULL")
+        a, b = (rest.select(F.col("node").alias(end), F.col("labels").alias(f"of_{end}")) for end in ("src", "dst"))
+        left = stored(left.join(a, "src").join(b, "dst").filter("of_src = of_dst").select("src", "dst"), "scc-edges")
         size = left.count()
     found = _in_one_task(left)
     for members in parts:
@@ -242,6 +256,79 @@ def reach_counts(edges: DataFrame) -> DataFrame:
     return home.join(counts, "home").select("node", "reached")
 
 
+def reach_up_to(edges: DataFrame, beyond: int) -> DataFrame:
+    """node and reached, for every node with an edge out: how many other nodes it reaches, where of those
+    that it has no edge to at most beyond are counted.
+
+    No closure is made. A node with an edge to one that has more than beyond + 1 edges more than itself
+    is done at once, as that many of them lead elsewhere. Others are followed level by level, and are
+    done with as soon as they have reached enough, so a node that is followed has seen fewer than beyond
+    nodes past its neighbours; after beyond levels all are done.
+    """
+    plain = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "reach-edges")
+    degree = stored(plain.groupBy("src").agg(F.count("*").alias("n")), "reach-degrees")
+    of = degree.select(F.col("src").alias("node"), F.col("n").alias("n_node"))
+    home = degree.select(F.col("src").alias("home"), F.col("n").alias("n_home"))
+    direct = plain.select(F.col("src").alias("home"), F.col("dst").alias("node"))
+    frontier, seen, full = direct, None, None
+    for _ in range(beyond + 1):
+        ways = frontier.join(of, "node").join(home, "home")
+        rich = ways.filter(F.col("n_node") > F.col("n_home") + beyond).select("home").distinct()
+        full = stored(rich if full is None else full.union(rich).distinct(), "reach-full")
+        step = ways.join(full, "home", "left_anti").select("home", F.col("node").alias("src")).join(plain, "src").select("home", F.col("dst").alias("node")).filter("home <> node").distinct()
+        new = step.join(direct, ["home", "node"], "left_anti")
+        frontier = stored(new if seen is None else new.join(seen, ["home", "node"], "left_anti"), "reach-new")
+        if frontier.isEmpty():
+            break
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        many = seen.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") >= beyond).select("home")
+        full = stored(full.union(many).distinct(), "reach-full")
+        frontier = frontier.join(full, "home", "left_anti")
+        seen = stored(seen.join(full, "home", "left_anti"), "reach-seen")
+    counts = direct.limit(0).groupBy("home").agg(F.count("*").alias("more")) if seen is None else seen.groupBy("home").agg(F.count("*").alias("more"))
+    told = home.join(counts, "home", "left").join(full.withColumn("full", F.lit(True)), "home", "left")
+    return told.select(F.col("home").alias("node"), (F.col("n_home") + F.when(F.col("full"), beyond).otherwise(F.coalesce("more", F.lit(0)))).alias("reached"))
+
+
+def search_tree(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """node, parent, edge_type and depth of what the roots reach, breadth first. edges: src, dst,
+    edge_type. Of the edges that lead to a node from the level before, that with the least (src,
+    edge_type) is kept; roots have no parent. A row holds one edge, whatever the depth."""
+    plain = stored(edges.select("src", "dst", "edge_type").distinct(), "tree-edges")
+    kind = edges.schema["src"].dataType
+    tree = frontier = stored(roots.select("node").distinct().select("node", F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("string").alias("edge_type"), F.lit(0).alias("depth")), "tree")
+    for depth in range(1, max_depth + 1):
+        step = frontier.select(F.col("node").alias("src")).join(plain, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "edge_type")).alias("e"))
+        new = step.join(tree.select("node"), "node", "left_anti").select("node", F.col("e.src").alias("parent"), "e.edge_type", F.lit(depth).alias("depth"))
+        frontier = stored(new, "tree")
+        if frontier.isEmpty():
+            break
+        tree = tree.unionByName(frontier)
+    return tree
+
+
+def tree_paths(tree: DataFrame, shown: DataFrame) -> DataFrame:
+    """node, depth, origin, path and edge_types of the shown nodes (node) of a search tree.
+
+    Only their ways are rebuilt. Each row holds a stretch of its way and the node where that begins;
+    stretches are joined to one another, so their length doubles a round.
+    """
+    ends = F.col("parent").isNull()
+    jump = stored(tree.select("node", F.coalesce("parent", "node").alias("top"), F.array("node").alias("path"), F.when(ends, F.array().cast("array<string>")).otherwise(F.array("edge_type")).alias("types"), F.when(ends, 0).otherwise(1).alias("length"), "depth"), "tree-jumps")
+    needed = jump.join(shown.select("node").distinct(), "node", "left_semi")
+    deepest = tree.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    reach = 1
+    while reach < deepest:
+        reach *= 2
+        on = jump.select(F.col("node").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"), F.col("types").alias("types2"), F.col("length").alias("length2"))
+        longer = lambda rows: rows.join(on, "top").select("node", F.col("top2").alias("top"), F.when(F.col("length2") == 0, F.col("path")).otherwise(F.concat("path2", "path")).alias("path"), F.concat("types2", "types").alias("types"), (F.col("length") + F.col("length2")).alias("length"), "depth")  # noqa: B023, E731
+        needed = stored(longer(needed), "tree-ways")
+        if reach < deepest:
+            jump = stored(longer(jump), "tree-jumps")
+    path = F.when(F.col("depth") == 0, F.col("path")).otherwise(F.concat(F.array("top"), "path"))
+    return needed.select("node", "depth", F.col("top").alias("origin"), path.alias("path"), F.col("types").alias("edge_types"))
+
+
 def representative_cycle(edges: DataFrame, parts: DataFrame, max_length: int = 10_000) -> DataFrame:
     """component, length and path of a shortest cycle through the least node of each strong component,
     of equals the one that sorts first. parts: node and component of strong_components().

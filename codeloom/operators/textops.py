@@ -17,9 +17,11 @@ def clone_groups(texts: DataFrame, key: str, size: int = 6) -> DataFrame:
     """
     lines = F.transform(F.split("text", "\r?\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), squeezed(x).alias("line")))
     kept = texts.select(key, F.filter(lines, lambda x: x["line"].isNotNull()).alias("kept"))
-    starts = kept.filter(F.size("kept") >= size).select(key, "kept", F.explode(F.sequence(F.lit(1), F.size("kept") - size + 1)).alias("at"))
-    window = F.slice("kept", F.col("at"), F.lit(size))
-    hashed = starts.select(key, window[0]["line_no"].alias("line_no"), F.sha2(F.array_join(F.transform(window, lambda x: x["line"]), "\n"), 256).alias("block"))
+    flat = kept.select(key, F.transform("kept", lambda x: x["line"]).alias("lines"), F.transform("kept", lambda x: x["line_no"]).alias("numbers"))
+    # digests are made inside the row and only they are exploded, so a start carries no copy of the lines
+    block = lambda at: F.struct(F.get("numbers", at).alias("line_no"), F.sha2(F.array_join(F.slice("lines", at + 1, F.lit(size)), "\n"), 256).alias("block"))
+    blocks = F.when(F.size("lines") >= size, F.transform(F.sequence(F.lit(0), F.size("lines") - size), block))
+    hashed = flat.select(key, F.explode(blocks).alias("b")).select(key, "b.line_no", "b.block")
     per_file = hashed.groupBy("block", key).agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
     groups = per_file.groupBy("block").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.min(F.struct(key, "line_no")).alias("first")).filter("occurrences > 1")
     return groups.select("block", "occurrences", "files", F.col(f"first.{key}").alias("first_file"), F.col("first.line_no").alias("first_line"))

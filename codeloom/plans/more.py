@@ -316,13 +316,13 @@ def focus_both_ways(spark, sf):
     return surface.both_directions(source.dependencies(spark, sf), root, 2)
 
 
-@query(f"""WITH RECURSIVE {FILES}, {EDGES}, l AS (SELECT DISTINCT src, dst FROM edges WHERE unresolved AND edge_type = 're-export' AND line <= 2),
+@query(f"""WITH RECURSIVE {FILES}, {EDGES}, l AS (SELECT DISTINCT src, dst FROM edges WHERE unresolved AND edge_type = 're-export'),
 o(module, name, origin) AS (SELECT id, name, id FROM files UNION SELECT l.src, o.name, o.origin FROM o JOIN l ON l.dst = o.module JOIN files f ON f.id = l.src WHERE f.name <> o.name),
 g AS (SELECT module, name, count(DISTINCT origin) AS n, min(origin) AS origin FROM o WHERE module IN (SELECT id FROM files WHERE weight >= 40) GROUP BY module, name)
 SELECT module AS entry_point, name AS exported_name, CASE WHEN n = 1 THEN origin END AS origin, CASE WHEN n = 1 THEN name END AS origin_name, n > 1 AS ambiguous FROM g""")
 def reachable_exports(spark, sf):
     f = source.files(spark, sf)
-    links = source.edges(spark, sf).filter("unresolved AND edge_type = 're-export' AND line <= 2").select(F.col("src").alias("module"), F.col("dst").alias("target"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("imported"))
+    links = source.edges(spark, sf).filter("unresolved AND edge_type = 're-export'").select(F.col("src").alias("module"), F.col("dst").alias("target"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("imported"))
     return surface.reachable_exports(f.filter("weight >= 40").select(F.col("id").alias("module")), f.select(F.col("id").alias("module"), "name"), links)
 
 

@@ -135,6 +135,28 @@ def blast_truncated(spark, sf):
     return graph.shortest_paths(graph.reversed_edges(source.dependencies(spark, sf)), _root(spark, sf), MAX_DEPTH)[1]
 
 
+def _typed(spark, sf):
+    return source.edges(spark, sf).filter(~F.col("unresolved") & (F.col("src") != F.col("dst"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type").distinct()
+
+
+def _tree_sql(depth: int) -> str:
+    """Levels of a search tree over te (f, t, edge_type), each node under its least parent and type."""
+    out = [f"t0 AS (SELECT node, [node] AS path, []::VARCHAR[] AS types, 0 AS depth FROM ({ROOT}))"]
+    for d in range(1, depth + 1):
+        earlier = " UNION ALL ".join(f"SELECT node FROM t{k}" for k in range(d))
+        out.append(f"t{d} AS (SELECT e.t AS node, list_append(arg_min(l.path, (l.node, e.edge_type)), e.t) AS path, list_append(arg_min(l.types, (l.node, e.edge_type)), arg_min(e.edge_type, (l.node, e.edge_type))) AS types, {d} AS depth FROM t{d - 1} l JOIN te e ON e.f = l.node WHERE e.t NOT IN ({earlier}) GROUP BY e.t)")
+    return ", ".join([*out, "tree AS (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(depth + 1)) + ")"])
+
+
+@query(f"""WITH {FILES}, {EDGES}, te AS (SELECT DISTINCT dst AS f, src AS t, edge_type FROM edges WHERE NOT unresolved AND src <> dst), {_tree_sql(5)}
+SELECT node, depth, array_to_string(path, '>') AS path, array_to_string(types, '>') AS edge_types FROM tree WHERE depth > 0""")
+def blast_typed_paths(spark, sf):
+    """What depends on the first entry, with the kinds of edges along each way."""
+    tree = graph.search_tree(_typed(spark, sf), _root(spark, sf), MAX_DEPTH)
+    ways = graph.tree_paths(tree, tree.filter("depth > 0"))
+    return ways.select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.array_join("edge_types", ">").alias("edge_types"))
+
+
 @query(f"WITH RECURSIVE {EDGES}, {DEPS}, {CLOSURE}, n AS (SELECT src AS node FROM deps UNION SELECT dst FROM deps) SELECT node, coalesce(k, 0) AS reached FROM n LEFT JOIN (SELECT b, count(*) FILTER (a <> b) AS k FROM closure GROUP BY b) ON b = node")
 def reverse_reach_counts(spark, sf):
     return graph.reach_counts(graph.reversed_edges(source.dependencies(spark, sf)))
@@ -187,7 +209,7 @@ def _scores(spark, sf):
     return metrics.impact_scores(
         files.select(F.col("id").alias("node")),
         direct,
-        graph.reach_counts(graph.reversed_edges(deps)),
+        graph.reach_up_to(graph.reversed_edges(deps), metrics.TRANSITIVE[1]),
         graph.strong_components(deps),
         graph.reachable(deps, files.filter("is_entry").select(F.col("id").alias("node"))),
         edges.filter("unresolved").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unresolved")),
