@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import running_sums, stored, utf8
 
@@ -55,15 +56,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     whole = tagged.filter("large_shard IS NOT NULL").select(*columns, "digest", F.col("large_shard").alias("shard"))
     rest = tagged.filter("large_shard IS NULL").select(*columns, "digest", F.coalesce("large", F.lit(False)).alias("large"))
     placed, _ = running_sums(rest, ["digest", "doc_id", "size", "text_crc32"], ["size"], "shard-rows")
-    group = Window.partitionBy("digest")
-    alone = placed.filter("large").withColumn("middle", 2 * F.col("size_before") + F.col("size"))
-    together = placed.filter("NOT large").withColumn("middle", 2 * F.min("size_before").over(group) + F.sum("size").over(group))
-    targets, cut = 0.0, F.lit(0)
-    for r in room[:-1]:
-        targets += r
-        cut = cut + (F.col("middle") >= 2 * targets).cast("int")
-    shard = [*columns, "digest", cut.alias("shard")]
-    cut_rows = whole.unionByName(alone.select(*shard)).unionByName(together.select(*shard))
+    placed = stored(placed.withColumn("middle", 2 * F.col("size_before") + F.col("size")), "shard-places")
+    targets = [2 * sum(room[: k + 1]) for k in range(shards - 1)]
+    # only a group of equal texts that a target falls into, at most one for each, needs its own middle;
+    # of all others each row has the same targets below it
+    begin, end = 2 * F.col("size_before"), 2 * (F.col("size_before") + F.col("size"))
+    hit = reduce(or_, ((begin <= t) & (end > t) for t in targets), F.lit(False))
+    split = F.broadcast(placed.filter(~F.col("large") & hit).select("digest").distinct())
+    middles = placed.filter("NOT large").join(split, "digest", "left_semi").groupBy("digest").agg((2 * F.min("size_before") + F.sum("size")).alias("of_group"))
+    judged = placed.join(F.broadcast(middles), "digest", "left")  # fewer than shards rows
+    middle = F.when(F.col("large"), F.col("middle")).otherwise(F.coalesce("of_group", "middle"))
+    shard = sum(((middle >= t).cast("int") for t in targets), F.lit(0)).alias("shard")
+    cut_rows = whole.unionByName(judged.select(*columns, "digest", shard))
     order = ["shard", "digest", "doc_id", "size", "text_crc32"]
     final, _ = running_sums(cut_rows, order, ["size"], "shards")
     first = final.groupBy("shard").agg(F.min("row_before").alias("first"))

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_llm import WORDS, table
 
-from codeloom.llm import decontam, langid, minhash, packing
+from codeloom.llm import decontam, langid, minhash, packing, sharding
 
 
 def test_clean_rows_of_dirty_ids_stay(spark):
@@ -47,3 +48,20 @@ def test_no_language_is_left_out(spark):
     want = {d: lang for d, _, lang in rows}
     assert {r.lang_pred for r in got} == set(words)
     assert np.mean([r.lang_pred == want[r.doc_id] for r in got]) > 0.95
+
+
+def test_a_very_large_group_of_small_rows(spark):
+    """Many rows without a text: shards stay near equal, and no group of equal texts is cut that fits."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(1, 60))) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts * 2)] + [(1000 + k, None) for k in range(700)]
+    docs = table(spark, rows).repartition(3).unionByName(table(spark, []).limit(0)).cache()
+    lots = docs.unionByName(spark.range(5000, 305_000).join(docs.filter("doc_id = 1000").drop("doc_id")).withColumnRenamed("id", "doc_id").select(*docs.columns))
+    out = sharding.shard_by_bytes(lots)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = out.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
+    sizes = [r.bytes for r in got]
+    assert sum(r.n for r in got) == 301_300 and len(got) == 16
+    assert all(r.lo == 0 and r.hi == r.n - 1 for r in got) and max(sizes) - min(sizes) < 0.03 * max(sizes)
+    whole = out.filter("size > 1").groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0]
+    assert whole == 1
