@@ -2,9 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and, but for the last,
 returns the columns of documents. What a stage does with odd rows is its operator's: null and empty
-texts go in the language stage and would stay in the others; rows without a doc_id stay unless they
-hold a benchmark passage; repeated rows stay or go together, save that near-duplicates of a smaller
-doc_id go. Each stage makes an empty table of an empty one. Further columns of documents stay, whatever
+texts go in the language stage and would stay in the others; rows go by themselves, so a
+clean row stays whatever others of its doc_id, or of none, hold; repeated rows stay or go together. Each stage makes an empty table of an empty one. Further columns of documents stay, whatever
 their names; packing returns its own.
 """
 
