@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.canonical import canonical_json, canonical_key
 from codeloom.functions.ids import under
+from codeloom.operators.digests import set_digest
 
 # Filters that a section knows, and the names of its directions.
 FILTERS = {
@@ -46,6 +47,11 @@ def cycle_key() -> Column:
     return canonical_key(memberPaths=F.array_sort(F.array_distinct("member_paths")))
 
 
+def member_key() -> Column:
+    """Of a cycle told by the digest of its members' set, so that no list of them is made."""
+    return canonical_key(members="identity")
+
+
 def export_key() -> Column:
     return canonical_key(entryPoint="entry_point", exportedName="exported_name", symbolKind="symbol_kind", originPath="origin_path")
 
@@ -160,7 +166,8 @@ def freshness(reviews: DataFrame, now: DataFrame, key: str, parts: dict[str, str
 
 
 def tree_fingerprint(rows: DataFrame, group: list[str], order: list[str], parts: list[str]) -> DataFrame:
-    """group and fingerprint, a digest of a tree's rows in order: rows are digested first, so what is
-    gathered for one tree is 32 bytes a row."""
-    each = rows.select(*group, F.struct(*order, F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256).alias("d")).alias("x"))
-    return each.groupBy(*group).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(*group, F.sha2(F.array_join(F.transform("xs", lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
+    """group and fingerprint, a digest of a tree's rows, each with its place (order) and what it holds
+    (parts). Digests of rows are summed before they are shuffled, so nothing is gathered."""
+    named = list(dict.fromkeys([*order, *parts]))
+    each = rows.select(*group, F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256).alias("_d"))
+    return each.groupBy(*group).agg(set_digest("_d").alias("fingerprint"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.findings import latest_per, severity_rank, with_dismissals
+from codeloom.tables import stored as written
 
 
 def carried(stored: DataFrame, new: DataFrame, changed: DataFrame, owner: str, scan: str, scan_id: Column) -> DataFrame:
@@ -132,3 +133,77 @@ def replace_table(rows: DataFrame, path: str) -> None:
         files.rename(old, at)
         raise OSError(f"{path} could not be replaced")
     files.delete(old, True)
+
+
+# Tables that are published in versions ----------------------------------------------------------
+
+
+def publish(rows: DataFrame, path: str, keep_seconds: int = 3600) -> str:
+    """Publishes rows as the newest version of the table at path; returns the version's name.
+
+    The rows are written to a folder of their own. Then a file whose name is the version's is made in
+    path/_published, which is one step: readers take the greatest name there, so they find the former
+    version or this one, and never part of one. Versions that have been followed for longer than
+    keep_seconds go; a reader has that long to read what it found. What a failed write left has no
+    name there and goes likewise.
+    """
+    spark = rows.sparkSession
+    at, files, path_of = _folder(spark, path)
+    names = path_of(f"{path}/_published")
+    files.mkdirs(names)
+    known = _published(files, names)
+    number = int(known[-1][0].partition("-")[0]) + 1 if known else 0
+    version = f"{number:012d}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    files.create(path_of(names, version), False).close()
+    known = _published(files, names)
+    now = max(t for _, t in known)
+    live = {known[-1][0]} | {name for (name, _), (_, followed) in zip(known, known[1:]) if now - followed <= 1000 * keep_seconds}
+    for name, _ in known:
+        if name not in live:
+            files.delete(path_of(names, name), False)
+    for status in files.listStatus(at):
+        name = status.getPath().getName()
+        if name != "_published" and name not in live and now - status.getModificationTime() > 1000 * keep_seconds:
+            files.delete(status.getPath(), True)
+    return version
+
+
+def _published(files, names) -> list[tuple[str, int]]:
+    return sorted((s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(names) if not s.getPath().getName().startswith("."))
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest published version of the table at path; None before the first."""
+    _, files, path_of = _folder(spark, path)
+    names = path_of(f"{path}/_published")
+    known = _published(files, names) if files.exists(names) else []
+    return spark.read.parquet(f"{path}/{known[-1][0]}") if known else None
+
+
+# Tables in buckets ------------------------------------------------------------------------------
+
+
+def merge_buckets(rows: DataFrame, path: str, key: list[str], order: str, buckets: int = 256) -> int:
+    """Puts rows into the table at path, which keeps the row of the greatest order for each key; returns
+    how many buckets were rewritten.
+
+    The table is partitioned by a hash of the key. Only buckets that rows fall into are read and
+    replaced; all others are not touched. A batch that is put in twice changes nothing, so one that
+    failed halfway is put in again.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    new = written(rows.withColumn("_bucket", bucket), "merge-batch")
+    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most buckets
+    if not touched:
+        return 0
+    at, files, _ = _folder(spark, path)
+    both = new
+    if files.exists(at):
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("_bucket").isin(touched))
+        both = new.unionByName(old)
+    newest = both.groupBy(*key, "_bucket").agg(F.max_by(F.struct(*rows.columns), F.struct(order, F.to_json(F.struct(*rows.columns)))).alias("r"))
+    merged = written(newest.select("r.*", "_bucket"), "merged-buckets")
+    merged.repartition("_bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("_bucket").parquet(path)
+    return len(touched)

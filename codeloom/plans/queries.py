@@ -571,11 +571,16 @@ _VALUE = r"""\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
 _REFERENCE = {"(script|img|iframe|source)": "src", "(link)": "href"}
 
 
-@query("WITH x AS (" + " UNION ALL ".join(rf"SELECT page_id, unnest(regexp_extract_all(html, '(?i)<{tags}\b[^>]*?\s{name}{_VALUE}', 2)) AS target, unnest(regexp_extract_all(html, '(?i)<{tags}\b[^>]*?\s{name}{_VALUE}', 1)) AS tag FROM pages" for tags, name in _REFERENCE.items()) + """)
+#: Tags that the pages lack, so that there is something to find.
+_TAGS = """concat(html, '<script defer src="/js/', cast(page_id % 7 AS VARCHAR(9)), '.js"></script><IMG alt=x src="p', cast(page_id AS VARCHAR(20)), '.png"><link rel=stylesheet href=/s.css><iframe src="', url, '"></iframe>')"""
+
+
+@query(f"WITH tagged AS (SELECT page_id, {_TAGS} AS html FROM pages), x AS (" + " UNION ALL ".join(rf"SELECT page_id, unnest(regexp_extract_all(html, '(?i)<{tags}\b[^>]*?\s{name}{_VALUE}', 2)) AS target, unnest(regexp_extract_all(html, '(?i)<{tags}\b[^>]*?\s{name}{_VALUE}', 1)) AS tag FROM tagged" for tags, name in _REFERENCE.items()) + """)
 SELECT page_id, lower(tag) AS tag, regexp_replace(target, '^["'']|["'']$', '', 'g') AS target, count(*) AS n FROM x GROUP BY ALL""")
 def page_references(spark, sf):
-    """What pages depend on."""
-    return textops.html_references(read(spark, sf, "pages"), "page_id", "html")
+    """What pages depend on, with a few tags added to each."""
+    pages = read(spark, sf, "pages").withColumn("html", F.expr(_TAGS))
+    return textops.html_references(pages, "page_id", "html")
 
 
 @query()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.tables import stored
+
 # Languages by extension; other files are plaintext.
 LANGUAGES = {
     ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "typescript",
@@ -184,3 +186,53 @@ def config_facts(configs: DataFrame) -> DataFrame:
     root = F.coalesce(options["baseUrl"], F.lit("."))
     aliases = F.transform(F.map_entries(options["paths"]), lambda e: F.struct(e["key"].alias("pattern"), F.transform(e["value"], lambda t: base(F.concat_ws("/", root, t))).alias("targets")))
     return configs.select("config_path", "folder", F.when(options["baseUrl"].isNotNull(), base(root)).alias("base_url"), aliases.alias("aliases"))
+
+
+def inherited_facts(configs: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """config_path, folder, base_url, aliases, chain (the configs read, the config itself first) and
+    problem (null, or cycle or missing) of configs with what they inherit by "extends".
+
+    configs: path and text of every config that may be used or inherited from; used: config_path of
+    those asked for, all if not given. A config takes base_url and aliases each from the nearest config
+    of its chain that has it; aliases are relative to the base, or, without one, to the config that has
+    them. Of a list of parents a later one comes before an earlier one. Parents are sought beside the
+    config, as named or with .json; packages are not followed and count as missing. The chain grows by
+    one config a round, for all configs at once, and ends where a config would come again.
+    """
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    bare = F.regexp_replace(F.regexp_replace("text", r"""("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/""", "$1"), r"""("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])""", "$1")
+    options = F.from_json(bare, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
+    parents = F.coalesce(F.from_json(bare, "extends array<string>")["extends"], F.array_compact(F.array(F.get_json_object(bare, "$.extends"))))
+    plain = lambda *parts: F.aggregate(F.filter(F.split(F.concat_ws("/", *parts), "/"), lambda x: (x != "") & (x != ".")), F.array().cast("array<string>"), lambda a, x: F.when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(x))))
+    named = F.transform(parents, lambda e: F.array_join(plain("folder", F.when(e.startswith("."), e).otherwise(F.concat(F.lit("node_modules/"), e))), "/"))
+    rows = configs.withColumn("folder", folder).withColumn("parents", named)
+    known = stored(rows.select("path", "folder", options["baseUrl"].alias("base"), options["paths"].alias("paths"), "parents"), "configs")
+    names = known.select(F.explode(F.array("path", F.regexp_replace("path", r"\.json$", ""))).alias("name"), "path").groupBy("name").agg(F.min_by("path", F.struct(F.col("path") != F.col("name"), "path")).alias("parent"))
+    links = stored(known.select("path", F.posexplode("parents").alias("k", "name")).join(names, "name", "left").select("path", (-F.col("k")).alias("k"), "name", "parent"), "config-links")
+    start = known.select(F.col("path").alias("config_path"), F.col("path").alias("at"), F.array("path").alias("chain"), F.array().cast("array<int>").alias("rank"), F.lit(None).cast("string").alias("problem"))
+    if used is not None:
+        start = start.join(used.select("config_path").distinct(), "config_path", "left_semi")
+    frontier = stored(start, "config-chains")
+    chains = frontier
+    while True:
+        step = frontier.filter("problem IS NULL").join(links.withColumnRenamed("path", "at"), "at")
+        again = F.array_contains("chain", F.col("parent"))
+        problem = F.when(F.col("parent").isNull(), "missing").when(again, "cycle")
+        nxt = step.select("config_path", F.col("parent").alias("at"), F.when(problem.isNull(), F.concat("chain", F.array("parent"))).otherwise(F.col("chain")).alias("chain"), F.concat("rank", F.array("k")).alias("rank"), problem.alias("problem"))
+        frontier = stored(nxt, "config-chains")
+        if frontier.isEmpty():
+            break
+        chains = chains.unionByName(frontier)
+    facts = chains.filter("problem IS NULL").join(known.select(F.col("path").alias("at"), "folder", "base", "paths"), "at")
+    root = F.array_join(plain("folder", "base"), "/")
+    order = F.col("rank")  # of two chains the one that is the other's beginning is nearer
+    best = facts.groupBy("config_path").agg(
+        F.min_by(F.when(F.col("base").isNotNull(), root), F.when(F.col("base").isNotNull(), order)).alias("base_url"),
+        F.min_by(F.when(F.col("paths").isNotNull(), F.struct("folder", "paths")), F.when(F.col("paths").isNotNull(), order)).alias("p"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "at"))), lambda x: x["at"]).alias("chain"),
+    )
+    problems = chains.groupBy("config_path").agg(F.min("problem").alias("problem"))
+    base = F.coalesce("base_url", "p.folder")
+    aliases = F.transform(F.map_entries("p.paths"), lambda e: F.struct(e["key"].alias("pattern"), F.transform(e["value"], lambda t: F.array_join(plain(base, t), "/")).alias("targets")))
+    out = best.select("config_path", F.regexp_replace("config_path", "/?[^/]*$", "").alias("folder"), "base_url", aliases.alias("aliases"), "chain")
+    return out.join(problems, "config_path")

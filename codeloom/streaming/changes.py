@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from codeloom.operators.findings import upserted
+from codeloom.operators.upkeep import merge_buckets
 
 
 def quiet_bursts(events: DataFrame, key: str, quiet: str = "1 hour", at: str = "ts", what: str = "event_id") -> DataFrame:
@@ -34,3 +35,17 @@ def keep_current(stream: DataFrame, path: str, key: list[str], order: str, check
 def current(spark, path: str, version: int):
     """The table as of a batch; None before the first."""
     return None if version < 0 else spark.read.parquet(f"{path}/v={version}")
+
+
+def keep_buckets(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str, buckets: int = 256) -> DataStreamWriter:
+    """A query that keeps the newest row of each key of a stream in a table in buckets: each batch
+    rewrites only the buckets that its rows fall into."""
+    return stream.writeStream.foreachBatch(lambda rows, _: merge_buckets(rows, path, key, order, buckets)).option("checkpointLocation", checkpoint)
+
+
+def watched(spark, folder: str, pruned: list[str], glob: str = "*.json", schema: str = "path string, change string, at timestamp") -> DataFrame:
+    """A stream of change notifications from the files that appear in a folder, without those below
+    folders that are never watched: a path with such a folder anywhere in it does not enter."""
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).json(folder)
+    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    return rows.filter(F.col("path").isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, pruned)))) if pruned else rows
