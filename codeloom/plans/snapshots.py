@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import digests, graph, ranges, resolve, rules, sections, surface
 from codeloom.plans.queries import _RULE_HITS, EDGES, FILES, RULES, _sides, query
-from codeloom.sources import manifests
+from codeloom.sources import imports, manifests
 from codeloom.sources import projection as source
 from codeloom.tables import read
 
@@ -182,3 +182,19 @@ def blamed_findings(spark, sf):
     blame = item.withColumn("hi", upto).select("file", "commit", (F.col("hi") - F.col("n") + 1).alias("lo"), "hi")
     found = read(spark, sf, "events").select("event_id", (F.col("event_id") % 150 + 1).alias("file"), (F.col("event_id") % 1777 + 1).alias("line"))
     return ranges.in_ranges(found, blame, "file", "line", "lo", "hi").select("event_id", "file", "line", "commit")
+
+
+# Imports of other languages ----------------------------------------------------------------------
+
+_SCRIPT = """concat('import os, sys.path as p; import one\\n\"\"\"\\nimport hidden\\n\"\"\"\\nfrom .sib', cast(doc_id % 5 AS VARCHAR(2)), '.deep import (a,  # first\\n    b)\\nfrom pkg', cast(doc_id % 3 AS VARCHAR(2)), '.mod import x # c\\n', coalesce(text, ''), '\\nfrom .. import up, \\\\\\n  two as t\\n')"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+r AS (SELECT doc_id, unnest([1, 1, 1, 5, 7, 8 + n, 8 + n]) AS line, unnest(['os', 'sys.path', 'one', './sib' || doc_id % 5 || '/deep', CASE doc_id % 3 WHEN 0 THEN '../lib/zero/mod' WHEN 1 THEN './one/mod' ELSE 'pkg2.mod' END, '../up', '../two']) AS specifier FROM d)
+SELECT doc_id, line::INT AS line, specifier FROM r""")
+def script_imports(spark, sf):
+    """What documents import that have Python statements around their text, below two local packages."""
+    docs = read(spark, sf, "documents").select("doc_id", F.expr(_SCRIPT).alias("text"))
+    roots = spark.createDataFrame([("pkg0", "lib/zero"), ("pkg1", "app/one"), ("pkg", "far")], "name string, root string")
+    found = imports.python_imports(docs, "doc_id").withColumn("path", F.lit("app/main.py"))
+    return imports.below_roots(found, roots, ".").select("doc_id", "line", "specifier")
