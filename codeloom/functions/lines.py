@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Fixed value: what a marker comment looks like.
 MARKER = r"(?i)(?:^|//|#|--|/\*)\s*(TODO|FIXME|HACK)\b[:\s-]*(.*)$"
 
 

@@ -198,3 +198,12 @@ def script_imports(spark, sf):
     roots = spark.createDataFrame([("pkg0", "lib/zero"), ("pkg1", "app/one"), ("pkg", "far")], "name string, root string")
     found = imports.python_imports(docs, "doc_id").withColumn("path", F.lit("app/main.py"))
     return imports.below_roots(found, roots, ".").select("doc_id", "line", "specifier")
+
+
+@query("""SELECT event_id, CASE WHEN props IS NULL OR trim(props) = '' OR event_id % 5 = 4 THEN 'empty' WHEN event_id % 5 = 3 THEN 'broken' WHEN event_id % 5 = 0 THEN 'valid' ELSE 'tolerant' END AS verdict FROM events""")
+def json_diagnostics(spark, sf):
+    """Whether events' JSON holds, where some got a comment, a trailing comma, or lost their end or all."""
+    kind, props = F.col("event_id") % 5, F.col("props")
+    inner = F.expr("left(props, length(props) - 1)")
+    text = F.when(kind == 0, props).when(kind == 1, F.concat(inner, F.lit(", /* a, } */}"))).when(kind == 2, F.concat(F.lit("// {\n"), props)).when(kind == 3, inner).otherwise(F.lit(" \n"))
+    return manifests.json_verdicts(read(spark, sf, "events").select("event_id", text.alias("text")), "event_id")

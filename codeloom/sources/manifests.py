@@ -177,10 +177,25 @@ def nearest_configs(configs: DataFrame, max_depth: int = 3, keep: int = 12) -> D
     return one.select(F.col("c.path").alias("config_path"), "folder", "c.text").orderBy("config_path").limit(keep)
 
 
+def tolerant_json(text: str) -> Column:
+    """The text without comments and commas before a closing bracket; what stands in strings stays."""
+    return F.regexp_replace(F.regexp_replace(text, r"""("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/""", "$1"), r"""("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])""", "$1")
+
+
+def json_verdicts(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key and verdict of texts that should be JSON: valid, tolerant (once comments and trailing commas are
+    out), empty (nothing but white space, or null) or broken."""
+    # the parser stops after one value; that nothing follows is told by putting the text inside of others
+    parses = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("\n]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("\n}"))).isNotNull()
+    t = F.col(text)
+    verdict = F.when(t.isNull() | t.rlike(r"^\s*$"), "empty").when(parses(t), "valid").when(parses(tolerant_json(text)), "tolerant").otherwise("broken")
+    return files.select(key, verdict.alias("verdict"))
+
+
 def config_facts(configs: DataFrame) -> DataFrame:
     """config_path, folder, base_url and aliases of nearest_configs(), for import resolution. Comments
     and trailing commas are taken out first; a config that is no JSON has no facts."""
-    bare = F.regexp_replace(F.regexp_replace("text", r"""("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/""", "$1"), r"""("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])""", "$1")
+    bare = tolerant_json("text")
     options = F.from_json(bare, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
     base = lambda p: F.array_join(F.filter(F.split(F.concat_ws("/", "folder", p), "/"), lambda x: (x != "") & (x != ".")), "/")
     root = F.coalesce(options["baseUrl"], F.lit("."))
@@ -200,7 +215,7 @@ def inherited_facts(configs: DataFrame, used: DataFrame | None = None) -> DataFr
     one config a round, for all configs at once, and ends where a config would come again.
     """
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    bare = F.regexp_replace(F.regexp_replace("text", r"""("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/""", "$1"), r"""("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])""", "$1")
+    bare = tolerant_json("text")
     options = F.from_json(bare, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
     parents = F.coalesce(F.from_json(bare, "extends array<string>")["extends"], F.array_compact(F.array(F.get_json_object(bare, "$.extends"))))
     plain = lambda *parts: F.aggregate(F.filter(F.split(F.concat_ws("/", *parts), "/"), lambda x: (x != "") & (x != ".")), F.array().cast("array<string>"), lambda a, x: F.when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(x))))

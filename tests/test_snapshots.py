@@ -141,3 +141,9 @@ def test_a_watched_folder_keeps_buckets(spark, tmp_path):
     stream = changes.watched(spark, str(tmp_path / "in"), ["node_modules", "dist"])
     changes.keep_buckets(stream, f"{tmp_path}/out/t", ["path"], "at", f"{tmp_path}/out/c", 4).trigger(availableNow=True).start().awaitTermination(60)
     assert rows(spark.read.parquet(f"{tmp_path}/out/t").select("path", "change")) == [("dist.ts", "add"), ("src/a.ts", "change")]
+
+
+def test_json_verdicts(spark):
+    texts = {"a": '{"x": "// no, }"}', "b": '{"x": [1, 2,], /* c */ }', "c": '{"x": 1', "d": " \n", "e": None, "f": "[1] // end", "g": '{"x": "/* ", }', "h": "{'x': 1}", "i": "3", "j": "1, 2", "k": '1, "b": 2', "l": "1] , [2", "m": "{} x"}
+    got = dict(map(tuple, manifests.json_verdicts(spark.createDataFrame(list(texts.items()), "path string, text string"), "path").collect()))
+    assert got == {"a": "valid", "b": "tolerant", "c": "broken", "d": "empty", "e": "empty", "f": "tolerant", "g": "tolerant", "h": "broken", "i": "valid", "j": "broken", "k": "broken", "l": "broken", "m": "broken"}
