@@ -116,9 +116,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 13, matc
     An empty table on either side gives no rows. Other columns are ignored.
     """
     checked = _alignments(docs, benchmark, window, matched_percent, id_col, text_col, item_col, item_text)
-    # the best alignment, the first of equals; the filter comes last, lest it be moved into the join
+    return _best(checked, ["doc_id", "item_id"], matched_percent)
+
+
+def _best(checked: DataFrame, key: list[str], matched_percent: int) -> DataFrame:
+    """The best alignment of each key, the first of equals, if it has enough equal words. The filter
+    comes last, lest it be moved into the join, and all columns are kept up to the aggregate, as equal
+    words that only one column needs would be worked out again for each place."""
     top = F.min(F.struct((-F.col("matched")).alias("m"), "doc_word", "of", "seeds")).alias("top")
-    pairs = checked.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", (-F.col("top.m")).alias("matched"), "top.of", "top.doc_word", "top.seeds")
+    pairs = checked.groupBy(*key).agg(top).select(*key, (-F.col("top.m")).alias("matched"), "top.of", "top.doc_word", "top.seeds")
     return pairs.filter(F.col("matched") * 100 >= F.col("of") * matched_percent)
 
 
@@ -131,7 +137,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, match
     """
     doc, text = free_name(docs, "dirty"), free_name(docs, "dirty_text")
     checked = _alignments(docs, benchmark, window, matched_percent, id_col, text_col, item_col, item_text)
-    # an aggregate, so that the filter is not moved into the join
-    least = checked.groupBy("doc_id", "_text").agg(F.max(F.col("matched") * 100 - F.col("of") * matched_percent).alias("over"))
-    dirty = least.filter("over >= 0").select(F.col("doc_id").alias(doc), F.col("_text").alias(text))
+    dirty = _best(checked, ["doc_id", "_text"], matched_percent).select(F.col("doc_id").alias(doc), F.col("_text").alias(text))
     return docs.join(dirty, docs[id_col].eqNullSafe(dirty[doc]) & (text_key(text_col) == dirty[text]), "left_anti")
