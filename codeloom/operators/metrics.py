@@ -95,3 +95,13 @@ def capability_counts(files: DataFrame, group: str) -> DataFrame:
     by = {"eligible": "eligible", "text_only": "text-only", "binary": "binary", "excluded": "excluded", "oversize": "oversize", "unreadable": "unreadable", "symlink": "symlink"}
     counts = [F.count_if(F.col("status") == status).alias(name) for name, status in by.items()]
     return files.groupBy(group).agg(F.count("*").alias("total"), *counts, F.count_if("git_ignored").alias("git_ignored"), F.count_if("user_excluded").alias("user_excluded"))
+
+
+def examples(rows: DataFrame, group: str, value: str, keep: int = 3) -> DataFrame:
+    """group, n (its rows), examples (the keep least values, in order) and more (how many are left).
+
+    The least values are picked before rows are shuffled, so no task gets a group as a whole."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(value))
+    least = rows.select(group, value).withColumn("_n", nth).filter(F.col("_n") <= keep).groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("examples"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    return sizes.join(least, group, "left").select(group, "n", "examples", F.greatest(F.col("n") - keep, F.lit(0)).alias("more"))

@@ -95,3 +95,12 @@ def layered_ignores(files: DataFrame, ignores: DataFrame, max_files: int = 10_00
     met = files.select("path", F.explode(folders).alias("folder")).join(F.broadcast(table), "folder").filter("path RLIKE regex")
     last = met.groupBy("path").agg(F.max_by(~F.col("negated"), F.struct("depth", "line")).alias("hit"))
     return files.select("path").join(last, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))
+
+
+def entry_points(files: DataFrame, named: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and inferred of the entries: the files whose path is named (path), or, where no named path
+    exists, those that no edge leads to."""
+    known = files.join(named.select("path").distinct(), "path", "left_semi").select("id", F.lit(False).alias("inferred"))
+    bare = files.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("inferred"))
+    none = F.broadcast(known.agg(F.count("*").alias("_named")))  # one row
+    return known.unionByName(bare.crossJoin(none).filter("_named = 0").drop("_named"))

@@ -171,3 +171,9 @@ def tree_fingerprint(rows: DataFrame, group: list[str], order: list[str], parts:
     named = list(dict.fromkeys([*order, *parts]))
     each = rows.select(*group, F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256).alias("_d"))
     return each.groupBy(*group).agg(set_digest("_d").alias("fingerprint"))
+
+
+def normalised_evidence(edges: DataFrame) -> DataFrame:
+    """One row for each from_path, to_path, edge_type and type_only with the distinct lines and
+    specifiers of its edges, in order. A line or specifier that is null is left out."""
+    return edges.groupBy("from_path", "to_path", "edge_type", "type_only").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sort_array(F.collect_set("specifier")).alias("specifiers"))

@@ -378,8 +378,7 @@ def inventory_counts(spark, sf):
 @query(f"""WITH {FILES}, x AS (SELECT {FOLDER} AS folder, path FROM files WHERE path LIKE '%.test.ts') SELECT folder, count(*) AS excluded, array_to_string(list_slice(list(path ORDER BY path), 1, 3), '|') AS examples, greatest(count(*) - 3, 0) AS more FROM x GROUP BY folder""")
 def exclusion_groups(spark, sf):
     f = source.files(spark, sf).filter(patterns.is_test(F.col("path"))).select(ids.folder_of(F.col("path")).alias("folder"), "path")
-    first = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
-    return f.withColumn("n", first).groupBy("folder").agg(F.count("*").alias("excluded"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") <= 3, F.col("path")))), "|").alias("examples"), F.greatest(F.count("*") - 3, F.lit(0)).alias("more"))
+    return metrics.examples(f, "folder", "path").select("folder", F.col("n").alias("excluded"), F.array_join("examples", "|").alias("examples"), "more")
 
 
 @query("SELECT regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) AS extension, count(*) AS pages FROM pages GROUP BY 1")

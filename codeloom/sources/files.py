@@ -109,3 +109,14 @@ def guarded_text(files: DataFrame, text: str = "text", max_bytes: int = 1024 * 1
     lines = F.size(F.split(text, "\r?\n", -1))
     reason = F.when(F.col(text).isNull(), "missing").when(F.octet_length(text) > max_bytes, "oversize").when(lines > max_lines, "too-many-lines")
     return files.withColumn("lines", F.when(F.col(text).isNotNull(), lines)).withColumn("unavailable", reason)
+
+
+def content_states(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """path, content_hash and state (new, changed, unchanged or gone) of texts against stored hashes.
+
+    texts: path and text, decoded; known: path and content_hash. A null text has no hash and is as one
+    that can't be read: changed, if its path is known. Paths are unique on both sides."""
+    now = texts.select("path", F.sha2("text", 256).alias("content_hash"), F.lit(True).alias("_now"))
+    met = now.join(known.select("path", F.col("content_hash").alias("_old"), F.lit(True).alias("_known")), "path", "full")
+    state = F.when(F.col("_now").isNull(), "gone").when(F.col("_known").isNull(), "new").when(F.col("content_hash") == F.col("_old"), "unchanged").otherwise("changed")
+    return met.select("path", "content_hash", state.alias("state"))
