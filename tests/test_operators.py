@@ -195,3 +195,24 @@ def test_origins_of_exports(spark):
     got = surface.reachable_exports(spark.createDataFrame([("m",), ("d",)], "module string"), symbols, links)
     assert rows(got.na.fill("")) == [("d", "main", "c", "default", False), ("d", "one", "d", "one", False), ("d", "three", "c", "three", False), ("d", "two", "b", "two", False), ("m", "main", "c", "default", False), ("m", "one", "", "", True), ("m", "three", "c", "three", False), ("m", "two", "b", "two", False)]
     assert rows(surface.unresolved_links(links, symbols.select("module").union(links.select("module"))).select("target")) == [("gone",)]
+
+
+def test_named_entries_or_those_without_edges(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, path string")
+    edges = spark.createDataFrame([(1, 2), (2, 2)], "src long, dst long")
+    named = lambda *paths: sorted(map(tuple, rules.entry_points(files, spark.createDataFrame([(p,) for p in paths], "path string"), edges).collect()))
+    assert named("b", "b", "lost") == [(2, False)]
+    assert named("lost", None) == named() == [(1, True), (3, True)]
+
+
+def test_examples_and_how_many_are_left(spark):
+    rows = spark.createDataFrame([("f", x) for x in "dacb"] + [("g", "z"), ("g", None)], "folder string, path string")
+    assert sorted(map(tuple, metrics.examples(rows, "folder", "path").collect())) == [("f", 4, ["a", "b", "c"], 1), ("g", 2, ["z"], 0)]
+
+
+def test_states_of_contents(spark):
+    from codeloom.sources import files
+
+    texts = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "é")], "path string, text string")
+    known = texts.filter("path <> 'd'").select("path", F.coalesce(F.sha2(F.when(F.col("path") == "b", "old").otherwise(F.col("text")), 256), F.lit("x")).alias("content_hash")).union(spark.createDataFrame([("e", "y")], "path string, content_hash string"))
+    assert {r.path: r.state for r in files.content_states(texts, known).collect()} == {"a": "unchanged", "b": "changed", "c": "changed", "d": "new", "e": "gone"}
