@@ -120,7 +120,8 @@ def running_sums(rows: DataFrame, order: list[str], measures: list[str], name: s
 
     rows should be narrow: they are range-partitioned and written. Totals of the partitions, one
     row each, give the partitions' offsets; within a partition a window adds up. The order must be
-    total up to rows that are alike.
+    total up to rows that are alike. Nulls come first in the order; a null measure adds nothing. An empty
+    table gives no rows and totals of 0.
     """
     placed = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
     parts = placed.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(m).alias(f"_{m}") for m in measures))

@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each task unites up to TASK_LINKS links to a forest. If one task holds them all, that is the
     answer. Else all roots move to their least neighbour, links are drawn between what has been
-    united, and what is left is united again, in ever fewer tasks.
+    united, and what is left is united again, in ever fewer tasks. Neither end of a link may be null;
+    repeated links and links of a node to itself change nothing, and no links give no rows.
     """
     edges = stored(links.select("u", "v"), "links")
     roots = None

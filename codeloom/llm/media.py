@@ -168,7 +168,8 @@ def media_columns(files: DataFrame, key: str = "doc_id", media: str = "media") -
     """Codec, duration and keyframe byte ranges of the first track of each container.
 
     Only boxes and sample tables are read. A value that is null, empty or no container gives nulls
-    and a message in error.
+    and a message in error. Each row has its own result, so rows with a null or repeated key all stay;
+    an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     schema = f"key {dict(files.dtypes)[key]}, {_INFO}"
 
