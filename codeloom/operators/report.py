@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,48 @@ def sarif(found: DataFrame) -> DataFrame:
 
 # Whole reports ----------------------------------------------------------------------------------
 
+# What is taken out of texts of a report, in this order, and what stands in its place.
+REMOVED = (
+    ("\u001b\\[[0-?]*[ -/]*[@-~]", ""),
+    ("(?i)https?://[^\\s<>'\"]+", "[remote URL removed]"),
+    ("(?i)\\b(?:api[-_ ]?key|token|password|secret)\\s*[:=]\\s*[^\\s,;]+", "[credential removed]"),
+    ("\\b[A-Za-z]:[\\\\/][^\\s<>'\"),;]*", "[absolute path removed]"),
+    ("(^|[\\s(\"'=])/(?:[^\\s<>'\"),;]+/?)+", "$1[absolute path removed]"),
+    ("[\u0000-\u001f\u007f-\u009f]+", " "),
+    ("(?U)\\s+", " "),
+)
+# Fixed value: what a path is called that is not below the project's root.
+NO_PATH = "[invalid relative path]"
+
+
+def safe_text(text: Column) -> Column:
+    """A text without machine paths, addresses, credentials and control characters."""
+    for pattern, instead in REMOVED:
+        text = F.regexp_replace(text, pattern, instead)
+    return F.trim(text)
+
+
+def safe_path(path: Column) -> Column:
+    """A path below the root with forward slashes, as a safe text; NO_PATH for any other. Null stays."""
+    plain = F.replace(F.trim(F.regexp_replace(path, REMOVED[5][0], " ")), F.lit("\\"), F.lit("/"))
+    parts = F.split(plain, "/")
+    outside = plain.rlike("^(/|[A-Za-z]:(/|$)|(?i:https?://))") | F.exists(parts, lambda p: p.isin("", ".", ".."))
+    safe = safe_text(plain)
+    return F.when(path.isNotNull(), F.when(outside | (safe == ""), NO_PATH).otherwise(safe))
+
+
+def sanitised(rows: DataFrame) -> DataFrame:
+    """The rows with safe texts, and safe paths in columns whose name ends in path or paths."""
+
+    def safe(name: str, kind: str) -> Column:
+        one = safe_path if name.lower().endswith(("path", "paths")) else safe_text
+        if kind == "string":
+            return one(F.col(f"`{name}`")).alias(name)
+        return F.transform(f"`{name}`", one).alias(name) if kind == "array<string>" else F.col(f"`{name}`")
+
+    return rows.select(*(safe(n, k) for n, k in rows.dtypes))
+
+
 # The sections of a project's report, in order.
 SECTIONS = ("summary", "cycles", "unused-exports", "architecture-violations", "unresolved-imports", "type-errors", "top-impact-files", "blast-radius", "limitations", "changed-since-scan")
 # Types of findings.
@@ -69,13 +111,13 @@ def project_report(tables: dict[str, DataFrame], chosen: list[str] | None = None
 
 
 def review_report(sections: dict[str, DataFrame], freshness: str, reasons: list[str], form: str, limit: int = 2000) -> str:
-    """A review as text, markdown, json or html: a table for each section, with how many rows it has and
-    a warning unless the review is current. An incompatible review is not reported."""
+    """A review as text, markdown, json or html: a table for each section, its texts and paths sanitised,
+    with how many rows it has and a warning unless the review is current. An incompatible review is not reported."""
     if freshness == "incompatible":
         raise ValueError("the review is incompatible")
     parts = []
     for name, rows in sections.items():
-        s = section(name, rows, limit)
+        s = section(name, sanitised(rows), limit)
         parts.append(s | {"total": rows.count() if s["truncated"] else len(s["rows"])})
     warning = None if freshness == "current" else f"WARNING: This review is stale ({', '.join(sorted(set(reasons))) or 'reason unavailable'}). It does not describe the current working tree."
     if form == "json":

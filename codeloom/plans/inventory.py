@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import rules, sections
+from codeloom.operators import report, rules, sections
 from codeloom.plans.queries import _SCORES, EDGES, FILES, FINDINGS, _scores, query
 from codeloom.sources import files as files_of
 from codeloom.sources import projection as source
@@ -72,3 +72,17 @@ def dashboard_summary(spark, sf):
     ranked = _scores(spark, sf).join(f.select(F.col("id").alias("node"), "path"), "node").select("path", "score").orderBy(F.desc("score"), "path").limit(10)
     top = ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "path"))), lambda x: x["path"]), "|").alias("top_files"))
     return inventory.crossJoin(counts).crossJoin(change).crossJoin(titles).crossJoin(top)  # single rows
+
+
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat('src/p', page_id, '.ts') WHEN 5 THEN concat('win/p', page_id, '.ts') WHEN 6 THEN 'a [credential removed]' WHEN 7 THEN concat('a b/', page_id) ELSE '[invalid relative path]' END AS path,
+concat('see [remote URL removed] or [absolute path removed], [credential removed]; ', page_id) AS note FROM pages""")
+def sanitised_rows(spark, sf):
+    """Paths and notes of pages as a report may show them."""
+    pid, url = F.col("page_id").cast("string"), F.regexp_extract("url", r"^[^\s<>'\"]+", 0)
+    odd = [F.concat(F.lit("/etc/p"), pid), F.concat(F.lit("C:\\temp\\"), pid), url, F.concat(F.lit("a/../"), pid)]
+    path = F.when(F.col("page_id") % 8 == 0, F.concat(F.lit("src/p"), pid, F.lit(".ts")))
+    for k, c in enumerate(odd):
+        path = path.when(F.col("page_id") % 8 == k + 1, c)
+    path = path.when(F.col("page_id") % 8 == 5, F.concat(F.lit(" win\\p"), pid, F.lit(".ts"))).when(F.col("page_id") % 8 == 6, F.concat(F.lit("a token=t"), pid)).otherwise(F.concat(F.lit("a\t  b/"), pid))
+    note = F.concat(F.lit("see  "), url, F.lit(" or /var/log/x.txt, password: hunter2; "), pid)
+    return report.sanitised(read(spark, sf, "pages").select("page_id", path.alias("path"), note.alias("note")))

@@ -52,3 +52,12 @@ def test_project_reports(spark):
     assert [s["title"] for s in report.project_report(tables, ["cycles"])] == ["Cycles (3)"]
     with pytest.raises(ValueError):
         report.project_report(tables, ["none"])
+
+
+def test_reports_hold_no_machine_paths(spark):
+    rows = [("src/a.ts", "see https://x.y/z?q and /home/me/a, C:\\\\x\\\\y", ["../up", "ok"]), (None, "api_key = 12,ok \x1b[31mred\x1b[0m\x07 b", None), ("/abs", "", []), ("c:/x", None, ["a//b", "HTTP://h"]), ("a\\b", "(/x/y) =/z", [" ./x "]), ("secret:1/x", "plain", [""])]
+    got = report.sanitised(spark.createDataFrame(rows, "file_path string, note string, memberPaths array<string>")).collect()
+    bad = report.NO_PATH
+    assert [r.file_path for r in got] == ["src/a.ts", None, bad, bad, "a/b", "[credential removed]"]
+    assert [r.memberPaths for r in got] == [[bad, "ok"], None, [], [bad, bad], [bad], [bad]]
+    assert [r.note for r in got] == ["see [remote URL removed] and [absolute path removed], [absolute path removed]", "[credential removed],ok red b", "", None, "([absolute path removed]) =[absolute path removed]", "plain"]
