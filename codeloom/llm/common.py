@@ -302,6 +302,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget_encoders() -> None:
+    """Gives back what encoders of earlier tasks keep in this worker, which lives on between stages."""
+    if encoder.cache_info().currsize:
+        import ctypes
+        import gc
+
+        encoder.cache_clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 # Documents --------------------------------------------------------------------------------------
 
 

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_table, fields, mix, slices
+from .common import arrow_table, fields, forget_encoders, mix, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FIRST, _LAST = "\x02", "\x03"
@@ -126,9 +127,9 @@ def sample_by_lang(docs: DataFrame, per_lang: int, lang_bytes: int, total_bytes:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), (F.sum(F.octet_length("text")) + 1).alias("bytes"), F.min(place).alias("_least"))
-    langs = sizes.agg(F.count("*").alias("langs"))
-    each = F.least(F.lit(lang_bytes), total_bytes / F.col("langs"))
-    shares = sizes.crossJoin(F.broadcast(langs)).select("lang", F.least(per_lang / F.col("n"), each / F.col("bytes")).alias("_share"), "_least")  # one row
+    langs = F.count("*").over(Window.partitionBy())  # of a row for each language
+    each = F.least(F.lit(lang_bytes), total_bytes / langs)
+    shares = sizes.select("lang", F.least(per_lang / F.col("n"), each / F.col("bytes")).alias("_share"), "_least")
     return rows.join(F.broadcast(shares), "lang").filter((place < F.col("_share")) | (place == F.col("_least"))).select("doc_id", "text", "lang", (place == F.col("_least")).alias("first"))  # a row for each language
 
 
@@ -136,6 +137,7 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
     """How often each gram of order characters, or a shorter one at a word's start, occurs by language."""
 
     def run(batches):
+        forget_encoders()
         counts: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -249,6 +251,7 @@ def train(docs: DataFrame, per_lang: int = 1000, order: int = 4, lang_bytes: int
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
 
     def measure(batches):
+        forget_encoders()
         scorer, batch_of = Scorer(shared.value), arrow_table(_MEASURED)
         for b in slices(batches, PART_BYTES):
             yield batch_of([b.column("lang"), scorer.sums(b.column("text").to_pylist()).tolist()])
@@ -293,6 +296,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     shared = spark.sparkContext.broadcast(models)  # bounded by the training sample
 
     def run(batches):
+        forget_encoders()
         scorer = Scorer(shared.value)
         batch_of = arrow_table(_SCORED)
         import pyarrow as pa
@@ -314,6 +318,7 @@ def accepted(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
 
     def run(batches):
+        forget_encoders()
         import pyarrow as pa
 
         scorer = Scorer(shared.value)
