@@ -355,8 +355,8 @@ def repair_conversations(rows: DataFrame, piece_rows: int = 20_000, piece_bytes:
     """Finds each conversation's faults and the cheapest edits that give it the roles (s?(ua)+)?.
 
     rows are conv_id, turn, role, text and copies (as those of damaged; a row of no copies only tells
-    that its conversation is there). Rows are ordered by turn, nulls first, then by role and text, so
-    that ties and repeated rows have one order. A row's first fault counts: blank (nothing but white
+    that its conversation is there). Rows are ordered by turn, nulls first, then by role, by the text's
+    first 32 characters and by a hash of it, so that ties and repeated rows have one order. A row's first fault counts: blank (nothing but white
     space), duplicate (role and text of an earlier row), truncated (the last sign is none of .!?). Keeping
     costs 0, another role 1, deleting 2 (blank and duplicate rows must go), inserting an empty row 5, and
     a truncated row that stays 5. Returns conv_id, gaps (turns missing between the least and greatest),
