@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import tables
-from codeloom.operators import graph, textops
+from codeloom.operators import graph, sections, surface, textops
 
 
 def random_graph(seed, n, m):
@@ -90,3 +90,54 @@ def test_blocks_of_a_very_long_text(spark):
     docs = spark.createDataFrame([("a", text), ("b", "short"), ("c", None)], "path string, text string")
     got = textops.clone_groups(docs, "path").agg(F.count("*").alias("n"), F.max("occurrences"), F.max("files"), F.min("first_line"), F.max("first_line")).first()
     assert tuple(got) == (half - 5, 2, 1, 1, half - 5)
+
+
+def test_components_of_a_dense_graph_by_a_few_edges(spark, monkeypatch):
+    """Two dense parts with an edge from one to the other, a cycle through both where one leads back, and
+    nodes around them."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 50)
+    made = counted(monkeypatch)
+    rnd = random.Random(7)
+    dense = {(base + a, base + rnd.randrange(40)) for base in (0, 100) for a in range(40) for _ in range(15)}
+    tails = {(200 + k, k) for k in range(10)} | {(100 + k, 300 + k) for k in range(10)} | {(400, 401), (401, 402), (402, 400)}
+    for back in (set(), {(105, 7)}):
+        pairs = sorted(dense | tails | {(3, 104)} | back)
+        got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+        reach = {x: below(pairs, x) for x in {v for p in pairs for v in p}}
+        groups = {x: {y for y in reach[x] if x in reach[y]} for x in reach}
+        assert got == {x: min(g) for x, g in groups.items() if len(g) > 1}
+    assert "scc-inner" in made
+
+
+def test_tables_between_rounds_are_not_broadcast(spark):
+    nodes = graph.stored(spark.range(1000).withColumnRenamed("id", "src"), "plan")
+    plan = nodes.join(spark.range(10).withColumnRenamed("id", "src"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_file_in_a_cycle_longer_than_the_search(spark):
+    pairs = [(k, (k + 1) % 5) for k in range(5)] + [(20, 21)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    nothing = spark.createDataFrame([], "node long")
+    for file, depth, cyclic, dependents in ((0, 2, True, 2), (0, 25, True, 4), (21, 25, False, 1)):
+        row = surface.file_detail(edges, spark.createDataFrame([(file,)], "node long"), nothing, nothing, depth).first()
+        assert (row.node, row.in_cycle, row.dependents) == (file, cyclic, dependents)
+
+
+def test_a_slice_without_a_cap_holds_every_node(spark):
+    n = 1600
+    files = spark.range(n).select("id", F.concat(F.lit("a/"), F.col("id").cast("string")).alias("path"))
+    edges = spark.range(1, n).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    focus = spark.createDataFrame([(0,)], "node long")
+    kept, told = graph.graph_slice(edges, files, "a", focus, 1, cap=None)
+    assert kept.count() == n - 1 and tuple(told.first()) == (n, False)
+
+
+def test_tree_fingerprints_depend_on_the_order_alone(spark):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows_ = [("a", k, k % 7) for k in range(3000)] + [("b", 5, 1), ("b", 2, 9)]
+    got = {r.g: r.fingerprint for r in sections.tree_fingerprint(spark.createDataFrame(rows_, "g string, at long, p long").repartition(5), ["g"], ["at"], ["p"]).collect()}
+    want = {g: sha("\n".join(sha(f'{{"p":{p}}}') for _, at, p in sorted(r for r in rows_ if r[0] == g))) for g in ("a", "b")}
+    assert got == want
