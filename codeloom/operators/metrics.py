@@ -46,9 +46,11 @@ def impact_scores(nodes: DataFrame, direct: DataFrame, reached: DataFrame, cycli
     """The score of each node with the points of its six factors and its mid-rank percentile.
 
     nodes: node. direct: node, direct (distinct dependents). reached: node, reached (all dependents).
-    cyclic, from_entry, tested: node. unresolved: node, unresolved.
+    cyclic, from_entry, tested: node. unresolved: node, unresolved. All meet by shuffles: a number for each
+    node takes little room in a shuffle's files, by which Spark would broadcast it, and much in memory.
     """
-    flag = lambda df, name: df.select("node").distinct().withColumn(name, F.lit(True))
+    flag = lambda df, name: df.select("node").distinct().withColumn(name, F.lit(True)).hint("merge")
+    direct, reached, unresolved = (df.hint("merge") for df in (direct, reached, unresolved))
     rows = nodes.select("node").join(direct, "node", "left").join(reached, "node", "left").join(unresolved, "node", "left").na.fill(0, ["direct", "reached", "unresolved"])
     rows = rows.join(flag(cyclic, "cyc"), "node", "left").join(flag(from_entry, "ent"), "node", "left").join(flag(tested, "tst"), "node", "left").na.fill(False, ["cyc", "ent", "tst"])
     cap = lambda col, rule: F.least(col * rule[0], F.lit(rule[1]))
