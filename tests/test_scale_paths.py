@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import tables
-from codeloom.operators import graph, sections, surface, textops
+from codeloom.operators import graph, metrics, sections, surface, textops
 
 
 def random_graph(seed, n, m):
@@ -141,3 +141,45 @@ def test_tree_fingerprints_depend_on_the_order_alone(spark):
     got = {r.g: r.fingerprint for r in sections.tree_fingerprint(spark.createDataFrame(rows_, "g string, at long, p long").repartition(5), ["g"], ["at"], ["p"]).collect()}
     want = {g: sha("\n".join(sha(f'{{"p":{p}}}') for _, at, p in sorted(r for r in rows_ if r[0] == g))) for g in ("a", "b")}
     assert got == want
+
+
+def kept(monkeypatch):
+    made = []
+    real = tables.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: made.append((name, real(df, name))) or made[-1][1].hint("merge"))
+    return made
+
+
+def test_reach_of_a_dense_graph_is_not_followed_to_the_end(spark, monkeypatch):
+    made = kept(monkeypatch)
+    pairs = random_graph(11, 300, 4000)
+    got = {r.node: r.reached for r in graph.reach_up_to(spark.createDataFrame(pairs, "src long, dst long"), 5).collect()}
+    direct = {x: {b for a, b in pairs if a == x and b != x} for x in {a for a, b in pairs if a != b}}
+    assert got == {x: len(d) + min(5, len(below(pairs, x) - d - {x})) for x, d in direct.items()}
+    assert [t.count() for name, t in made if name == "reach-new"] == [0]
+
+
+def test_labels_of_labels_wait_for_long_ways(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 50)
+    made = counted(monkeypatch)
+    short = random_graph(12, 60, 400)
+    assert graph.strong_components(spark.createDataFrame(short, "src long, dst long")).count() == 60
+    assert "labels" in made and "label-hashes" not in made
+
+
+def test_an_impact_searches_no_level_that_is_not_kept(spark, monkeypatch):
+    made = kept(monkeypatch)
+    edges = spark.range(2000).select((F.col("id") + 1).alias("src"), (F.col("id") / 10).cast("long").alias("dst")).filter("src <> dst")
+    nodes = lambda *x: spark.createDataFrame([(v,) for v in x], "node long")
+    got = surface.diff_impact(edges, nodes(0), nodes(3), nodes(15), nodes(), 25, 12)
+    rows = sorted((r.depth, r.node, r.is_test, r.is_entry, r.in_cycle) for r in got.collect())
+    assert rows == [(1, k, k == 3, False, False) for k in range(1, 11)] + [(2, k, False, False, False) for k in (11, 12)]
+    assert len([name for name, _ in made if name == "levels"]) == 3
+    assert {r.depth for r in graph.levels(graph.reversed_edges(edges), nodes(0), 25).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_scores_meet_by_shuffles(spark):
+    n = spark.range(100).select(F.col("id").alias("node"))
+    counts = lambda name: n.select("node", F.lit(1).cast("long").alias(name))
+    out = metrics.impact_scores(n, counts("direct"), counts("reached"), n, n, counts("unresolved"), n)
+    assert out.count() == 100 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
