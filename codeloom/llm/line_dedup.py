@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import arrow_table, fields, free_name, slices, stored, texts_of
+from .common import arrow_table, fields, forget_encoders, free_name, slices, stored, texts_of
 
 #: Up to so many candidate lines, their hashes are broadcast to fetch the lines.
 BROADCAST_LINES = 1_000_000
@@ -129,6 +129,7 @@ def _seed_rows(docs: DataFrame, edits: int, min_chars: int, hot_rows: int) -> Da
     among them."""
 
     def run(batches):
+        forget_encoders()
         batch_of = arrow_table(_SEEDS)
         seen: set[int] = set()
         for b in slices(batches, 2 << 20):
@@ -227,6 +228,7 @@ def linked_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16, hot_rows:
     pairs = dealt.select("key", "line", "h2", "place.*", "text", "block", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def compare(batches):
+        forget_encoders()
         batch_of = arrow_table(_JUDGED)
         last, group, out = None, [], {}
         for b in batches:
@@ -277,6 +279,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16, hot_rows:
     per_doc = judged.groupBy("doc_id", "th").agg(F.collect_list(F.when(~F.col("late"), F.col("at"))).alias("keep"), F.sum("links").alias("links"))
 
     def apply(batches):
+        forget_encoders()
         batch_of = arrow_table(_DONE)
         for b in slices(batches):
             out = []

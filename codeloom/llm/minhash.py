@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_table, fields, free_name, mix, slices, stored, texts_of, window_hashes, word_hashes, word_spans
+from .common import arrow_table, fields, forget_encoders, free_name, mix, slices, stored, texts_of, window_hashes, word_hashes, word_spans
 from .components import components
 
 #: Bands of so many rows. Of pairs at a similarity of 0.75 they miss 2 in 100,000, above it fewer.
@@ -81,6 +81,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     size = BANDS * ROWS
 
     def run(batches):
+        forget_encoders()
         batch_of = arrow_table(_SKETCH)
         seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for b in slices(batches):
@@ -106,6 +107,7 @@ def _text_hash() -> Column:
 
 def _alike(percent: int):
     def run(batches):
+        forget_encoders()
         batch_of = arrow_table(_PAIR)
         key, first = None, None
         for b in slices(batches, column="text_b"):
@@ -250,6 +252,7 @@ def _across(left: DataFrame, nodes: DataFrame, pool: DataFrame, percent: int) ->
     by_pair = dealt.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
 
     def candidates(batches):
+        forget_encoders()
         batch_of = arrow_table(_CANDIDATES)
         for (bucket, lo, hi), columns in _groups(batches, key, ["node", "n", "group", "shared", "block", "sig", "bands"]):
             node, n, group, shared, block = (np.array(c, dtype=np.int64) for c in columns[:5])
@@ -277,9 +280,10 @@ def _across(left: DataFrame, nodes: DataFrame, pool: DataFrame, percent: int) ->
     sets = stored(pool.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("set")), "open-sets")
 
     def unite(batches):
+        forget_encoders()
         batch_of = arrow_table(_PAIR)
-        for _, (node, group, others, shingle) in _groups(batches, key, ["node", "group", "others", "set"]):
-            own, top = {x: np.array(v, dtype=np.int64) for x, v in zip(node, shingle)}, dict(zip(node, group))
+        for _, (node, group, others, shingle) in _groups(slices(batches, column="set"), key, ["node", "group", "others", "set"]):
+            own, top = dict(zip(node, shingle)), dict(zip(node, group))
             up: dict[int, int] = {}
 
             def root(x, up=up):
@@ -303,12 +307,19 @@ def _across(left: DataFrame, nodes: DataFrame, pool: DataFrame, percent: int) ->
     return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(unite, fields(_PAIR))
 
 
+def _arrays(column) -> list[np.ndarray]:
+    """The rows of an Arrow column of lists of longs, each in memory of its own."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def _groups(batches, key: list[str], columns: list[str]):
-    """(key, columns) of each run of rows that have the same key, as lists."""
+    """(key, columns) of each run of rows that have the same key, as lists; of sets and bands as arrays of
+    whole numbers, a fifth of the room that they would take as objects."""
     last, kept = None, [[] for _ in columns]
     for b in batches:
         keys = list(zip(*(b.column(c).to_pylist() for c in key)))
-        values = [b.column(c).to_pylist() for c in columns]
+        values = [_arrays(b.column(c)) if c in ("set", "bands") else b.column(c).to_pylist() for c in columns]
         at = 0
         while at < len(keys):
             end = at + 1
@@ -330,6 +341,7 @@ def _open_shingles(live: DataFrame, texts: DataFrame) -> DataFrame:
     schema = "node long, shingle long"
 
     def run(batches):
+        forget_encoders()
         batch_of = arrow_table(schema)
         for b in slices(batches):
             for node, text in zip(b.column("node").to_pylist(), texts_of(b.column("text"))):
