@@ -169,7 +169,8 @@ def cuts_of(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Whole texts to token ids by the tokenizers library, with a memo of at most memo_pieces pieces.
+    """Whole texts to token ids by the tokenizers library, with a memo of at most memo_pieces pieces, of
+    which those that came again stay when it is full.
 
     path is that of a tokenizer's file, or the name of one that this machine's public_tokenizers has.
     """
@@ -195,6 +196,18 @@ class Encoder:
         self.memo: dict[bytes, int] = {}  # the number of a piece, under which its ids are found
         self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0  # all pieces' ids, one after another
         self.places = np.zeros((2, 1 << 14), dtype=np.int64)  # by number of piece, start and number of its ids
+        self.again = np.zeros(1 << 14, dtype=bool)  # by number of piece, whether it came again
+
+    def _make_room(self) -> None:
+        """Forgets pieces that did not come again; all, if that leaves more than half of what fits."""
+        stay = np.flatnonzero(self.again[: len(self.memo)])
+        names = list(self.memo) if len(stay) <= self.memo_pieces // 2 else []
+        stay = stay if names else stay[:0]
+        starts, counts = self.places[:, stay]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat(starts - ends + counts, counts) + np.arange(int(counts.sum()))]
+        self._forget()
+        self._keep([names[k] for k in stay.tolist()], ids, ends - counts, ends)
 
     def _keep(self, pieces: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Notes pieces whose ids are ids[start:end]."""
@@ -203,6 +216,7 @@ class Encoder:
         first, last = len(self.memo), len(self.memo) + len(pieces)
         if last > self.places.shape[1]:
             self.places = np.concatenate((self.places, np.zeros((2, max(last, self.places.shape[1])), dtype=np.int64)), axis=1)
+            self.again = np.concatenate((self.again, np.zeros(self.places.shape[1] - len(self.again), dtype=bool)))
         self.ids[self.used : self.used + len(ids)] = ids
         self.places[:, first:last] = starts + self.used, ends - starts
         self.memo.update(zip(pieces, range(first, last)))
@@ -263,9 +277,10 @@ class Encoder:
         edges, raw = np.frombuffer(edges, dtype=np.int32)[: len(coded.dictionary) + 1].tolist(), raw.to_pybytes()
         pieces = [raw[a:b] for a, b in zip(edges, edges[1:])]
         if len(self.memo) > self.memo_pieces:
-            self._forget()
+            self._make_room()
         numbers = list(map(self.memo.get, pieces))
         new = [k for k, n in enumerate(numbers) if n is None]
+        self.again[np.array([n for n in numbers if n is not None], dtype=np.int64)] = True
         if new:
             self._learn_all([pieces[k] for k in new])
             for k in new:
@@ -303,17 +318,18 @@ def encoder(path: str) -> Encoder:
 
 
 def forget_encoders() -> None:
-    """Gives back what encoders of earlier tasks keep in this worker, which lives on between stages."""
-    if encoder.cache_info().currsize:
-        import ctypes
-        import gc
-
-        encoder.cache_clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+    """Gives back what earlier tasks keep in this worker, which lives on between stages: encoders, and
+    memory that was freed but stays with the process."""
+    import ctypes
+    import gc
+
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 # Documents --------------------------------------------------------------------------------------

@@ -65,3 +65,30 @@ def test_a_very_large_group_of_small_rows(spark):
     assert all(r.lo == 0 and r.hi == r.n - 1 for r in got) and max(sizes) - min(sizes) < 0.03 * max(sizes)
     whole = out.filter("size > 1").groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0]
     assert whole == 1
+
+
+def test_pieces_that_came_again_stay_in_a_full_memo():
+    from codeloom.llm.common import Encoder, encoder, forget_encoders
+
+    plain, small = Encoder("word_bpe_49k.json"), Encoder("word_bpe_49k.json", memo_pieces=300)
+    texts = [" ".join(["common", "words", "here", *(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(26))]).encode() for k in range(60)]
+    learnt, learn = [], small._learn_all
+    small._learn_all = lambda pieces: learnt.extend(pieces) or learn(pieces)
+    for t in texts:
+        assert small.encode([t]) == plain.encode([t])
+    assert len(small.memo) < 600 and learnt.count(b" words") == learnt.count(b" here") == 1
+    encoder("word_bpe_49k.json")
+    forget_encoders()
+    assert encoder.cache_info().currsize == 0
+
+
+def test_sets_of_a_group_are_arrays():
+    import numpy as np
+    import pyarrow as pa
+
+    from codeloom.llm.minhash import _groups
+
+    b = pa.RecordBatch.from_pydict({"k": [1, 1, 2], "set": [[5, 6], [], [7]]}, schema=pa.schema([("k", pa.int64()), ("set", pa.list_(pa.int64()))]))
+    got = [(key, [v.tolist() for v in sets]) for key, (sets,) in _groups([b.slice(0, 1), b.slice(1)], ["k"], ["set"])]
+    assert got == [((1,), [[5, 6], []]), ((2,), [[7]])]
+    assert all(isinstance(v, np.ndarray) for _, (sets,) in _groups([b], ["k"], ["set"]) for v in sets)
