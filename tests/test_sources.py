@@ -65,6 +65,30 @@ def test_aliases_of_the_nearest_config(spark):
     assert got == {("x.ts", "@/a"): "lib/a.ts", ("x.ts", "@/deep/b"): "deep/b.ts", ("x.ts", "one"): "lib/a.ts", ("x.ts", "@/none"): "file-not-found", ("x.ts", "c"): "external-package", ("app/z/y.ts", "@/a"): "external-package", ("app/z/y.ts", "c"): "app/other/c.ts", ("app/z/y.ts", "d"): "external-package"}
 
 
+def test_imports_are_dealt_once_for_their_names(spark):
+    files_ = spark.createDataFrame([("src/a.ts",), ("b.ts",)], "path string")
+    imports = spark.createDataFrame([("src/m.ts", "./a"), ("src/m.ts", "../b"), ("src/m.ts", "lib")], "from_path string, specifier string")
+    plan = resolve.resolved(imports, files_)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
+
+
+def test_paths_that_are_cut_are_those_that_are_walked(spark):
+    rnd = random.Random(3)
+    path = lambda n: "/".join(rnd.choice(["a", "b.c", ".", "..", "..", "", "...", ".h", "..x"]) for _ in range(rnd.randrange(n)))
+    pairs = [(path(5), path(6)) for _ in range(3000)] + [(None, "a"), ("a", None), ("a/b", "../../../c"), ("a/b", "../.././c")]
+    both = spark.createDataFrame(pairs, "f string, s string").select(resolve.joined(F.col("f"), F.col("s")).alias("x"), resolve._walked(F.concat_ws("/", "f", "s")).alias("y"))
+    assert both.filter("NOT x <=> y").isEmpty()
+
+
+def test_imports_that_occur_twice_and_aliases_with_several_targets(spark):
+    configs = spark.createDataFrame([("tsconfig.json", "", None, [("@/*", ["none/*", "lib/*", "src/*"]), ("@/x", ["src/x"])])], "config_path string, folder string, base_url string, aliases array<struct<pattern:string,targets:array<string>>>")
+    imports = spark.createDataFrame([(f, s, k) for f in ("m.ts", "src/m.ts") for s in ("@/a", "@/x", "@/no", "./a") for k in range(2)], "from_path string, specifier string, k int")
+    files_ = spark.createDataFrame([("lib/a.ts",), ("src/a.ts",), ("lib/x.ts",), ("src/x.ts",)], "path string")
+    got = sorted((r.from_path, r.specifier, r.k, r.target or r.reason) for r in resolve.resolved(imports, files_, configs=configs).collect())
+    want = {"@/a": "lib/a.ts", "@/x": "src/x.ts", "@/no": "file-not-found"}
+    assert got == sorted((f, s, k, want.get(s, "src/a.ts" if f == "src/m.ts" else "file-not-found")) for f in ("m.ts", "src/m.ts") for s in ("@/a", "@/x", "@/no", "./a") for k in range(2))
+
+
 def test_hunks_turn_old_into_new():
     rnd = random.Random(0)
     for _ in range(500):
