@@ -183,3 +183,18 @@ def test_scores_meet_by_shuffles(spark):
     counts = lambda name: n.select("node", F.lit(1).cast("long").alias(name))
     out = metrics.impact_scores(n, counts("direct"), counts("reached"), n, n, counts("unresolved"), n)
     assert out.count() == 100 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_origins_of_a_name_are_enough(spark, monkeypatch):
+    """Thirty modules export one name through a hub to thirty others, which take it from each other too."""
+    made = []
+    monkeypatch.setattr(surface, "stored", lambda df, name: made.append(tables.stored(df, name)) or made[-1].hint("merge"))
+    symbols = spark.createDataFrame([(k, "x") for k in range(30)] + [(7, "y"), (200, "z")], "module long, name string")
+    links = [(50, k) for k in range(30)] + [(100 + k, 50) for k in range(30)] + [(100 + k, 100 + (k + 1) % 30) for k in range(30)] + [(50, 200), (200, 100)]
+    stars = spark.createDataFrame(links, "module long, target long").selectExpr("*", "null::string AS name", "null::string AS imported")
+    got = {(r.entry_point, r.exported_name): (r.origin, r.ambiguous) for r in surface.reachable_exports(spark.createDataFrame([(7,), (50,), (111,), (200,)], "module long"), symbols, stars).collect()}
+    shared = {(m, n): v for m in (50, 111, 200) for n, v in (("x", (None, True)), ("y", (7, False)), ("z", (200, False)))}
+    assert got == shared | {(7, "x"): (7, False), (7, "y"): (7, False)}
+    assert max(t.count() for t in made) <= 30 + 2 + 32 * 3
+    every = {(r.module, r.name, r.origin) for r in surface.export_origins(symbols, stars).collect()}
+    assert {k: (v.pop(), False) if len(v) == 1 else (None, True) for k in shared for v in [{o for m, n, o in every if (m, n) == k}]} == shared
